@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import piece_codec, token_counts
+from lamina.llm import piece_codec, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +24,23 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return wavelet.read_documents(shards).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op2_piece_codec": op2_piece_codec,
+    "op4_wavelet": op4_wavelet,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE: dict[str, str] = {}
