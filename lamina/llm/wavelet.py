@@ -185,7 +185,9 @@ class ChunkEncoder:
         if not text:
             return []
         if "\x01" not in text and "\x02" not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            return ("\x02" + text.replace("\n", " \x01")).split(" ")  # white space is single spaces and line feeds
+            keys = ("\x02" + text.replace("\n", " \x01")).split(" ")
+            if not {"", "\x01", "\x02"} & set(keys):  # each space or line feed stands alone before something
+                return keys
         return ["\x02" + c for c in _CHUNK.split(text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
