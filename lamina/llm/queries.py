@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import piece_codec, token_counts, wavelet
+from lamina.llm import mixing, piece_codec, sharding, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), 16).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return wavelet.read_documents(shards).select(
@@ -34,13 +38,20 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op2_piece_codec": op2_piece_codec,
+    "op3_sharding": op3_sharding,
     "op4_wavelet": op4_wavelet,
+    "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE: dict[str, str] = {}
