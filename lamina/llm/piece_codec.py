@@ -66,7 +66,7 @@ class PieceCodec:
 
     NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         with open(path, "rb") as f:
             model = f.read()
         pieces, self.kinds, scores, trainer, normaliser = [], [], [], {}, {}
@@ -222,8 +222,8 @@ class PieceCodec:
             self.cache.clear()
         cache = self.cache
         fresh = list(set(chain.from_iterable(keys)).difference(cache))
-        for k in range(0, len(fresh), 50_000):
-            part = fresh[k : k + 50_000]
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
             words = [w[1:] if w[:1] == _GLUED else w if w[:1] == SPACE else SPACE + w.replace(" ", SPACE) for w in part]
             for key, w, s in zip(part, words, self.merge_rounds(words), strict=True):
                 cache[key] = self._ids(w.replace(SPACE, " "), s)
@@ -279,22 +279,22 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes of text each, one row at least."""
+def _slices(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes of text, or ids of lists, each; one row at least."""
     import pyarrow.compute as pc
 
     start = held = 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+    for i, n in enumerate((pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length)(values).to_pylist()):
         if held and held + (n or 0) > most:
             yield start, i
             start = i
             held = 0
         held += n or 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(values):
+        yield start, len(values)
 
 
-def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
     """Per row: the id and ``ids`` (array<int>) of the whole text, with the end id after it if ``end``."""
     plain = ids_and_text(docs, id_col, text_col)
     schema = T.StructType([plain.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
@@ -311,17 +311,19 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     return plain.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", into: str = "text") -> DataFrame:
+def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", into: str = "text", slice_ids: int = 1 << 19) -> DataFrame:
     """All columns, and the text of the ids (null ids: empty)."""
     schema = T.StructType([*(f for f in encoded.schema if f.name != into), T.StructField(into, T.StringType())])
-    others = [f.name for f in encoded.schema if f.name != into]
+    kept = [f.name for f in encoded.schema if f.name != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
             held = b.column(b.schema.get_field_index(ids_col))
-            texts = pa.array([codec(model).decode(x or ()) for x in held.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in others), texts], names=[*others, into])
+            for start, stop in _slices(held, slice_ids):
+                part = held.slice(start, stop - start)
+                flat, ends = part.flatten().to_numpy(zero_copy_only=False), np.cumsum([len(x) if x.is_valid else 0 for x in part])
+                texts = [codec(model).decode(flat[a:z].tolist()) for a, z in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+                others = [b.column(b.schema.get_field_index(c)).slice(start, stop - start) for c in kept]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string())], names=[*kept, into])
 
     return encoded.mapInArrow(run, schema)
