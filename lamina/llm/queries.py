@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import mixing, piece_codec, sharding, token_counts, wavelet
+from lamina.llm import jaccard, mixing, piece_codec, sharding, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +47,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_documents(spark, sf_dir), percent=85, words=4).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op2_piece_codec": op2_piece_codec,
     "op3_sharding": op3_sharding,
     "op4_wavelet": op4_wavelet,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLE: dict[str, str] = {}
