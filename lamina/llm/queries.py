@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, mixing, piece_codec, sharding, token_counts, wavelet
+from lamina.llm import jaccard, mixing, piece_codec, sharding, syncmers, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare(_documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_piece_codec": op2_piece_codec,
     "op3_sharding": op3_sharding,
     "op4_wavelet": op4_wavelet,
+    "op5_syncmers": op5_syncmers,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
