@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, mixing, piece_codec, sharding, syncmers, token_counts, wavelet
+from lamina.llm import jaccard, line_crf, mixing, piece_codec, sharding, syncmers, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_documents(spark, sf_dir), percent=85, words=4).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5
+    crf = line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 0)
+    scored = line_crf.score(docs.select("doc_id", "text"), crf)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_piece_codec": op2_piece_codec,
     "op3_sharding": op3_sharding,
@@ -63,5 +70,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_line_crf": op10_line_crf,
 }
 ORACLE: dict[str, str] = {}
