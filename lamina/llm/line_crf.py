@@ -32,8 +32,8 @@ _OTHER = len(_KINDS)
 _KIND_OF = np.full(256, _OTHER, dtype=np.uint8)
 for _k, _chars in enumerate(_KINDS):
     _KIND_OF[[ord(c) for c in _chars]] = _k
-_OWN = len(_KINDS) + 1 + 7
-N_FEATURES = 3 * _OWN + 2
+_OWN = len(_KINDS) + 1 + 5
+N_FEATURES = 3 * _OWN
 _WEIGHT = np.random.default_rng(5).integers(1, 1 << 62, size=(256,), dtype=np.uint64) | np.uint64(1)
 
 
@@ -75,18 +75,14 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[:, _OTHER + 3] = np.bincount(line, weights=(capitals >= 2), minlength=len(ends)) / some
         last_kind = kinds[stop - 1]
         out[:, _OTHER + 4] = np.bincount(line, weights=(last_kind >= 5) & (last_kind <= 8), minlength=len(ends)) / some
-        out[:, _OTHER + 5] = np.log1p(words) / 3
         # words of a line that its text has met before within the last 64 words
-        out[:, _OTHER + 6] = np.bincount(line, weights=_repeats(hashes, np.searchsorted(text_ends, begin, side="right")), minlength=len(ends)) / some
-    out[:, _OTHER + 7] = kinds[np.maximum(ends - 1, 0)] == 4
+        out[:, _OTHER + 5] = np.bincount(line, weights=_repeats(hashes, np.searchsorted(text_ends, begin, side="right")), minlength=len(ends)) / some
     before, after = np.zeros_like(out), np.zeros_like(out)
     before[1:] = out[:-1]
     after[:-1] = out[1:]
     before[first[:-1]] = out[first[:-1]]
     after[first[1:] - 1] = out[first[1:] - 1]
-    lines = np.repeat(np.diff(first), np.diff(first))
-    edge = np.stack([np.log1p(sizes) / 5, np.log1p(lines) / 3], axis=1).astype(np.float32)
-    return np.concatenate([out, before, after, edge], axis=1), sizes, first
+    return np.concatenate([out, before, after], axis=1), sizes, first
 
 
 def _repeats(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
