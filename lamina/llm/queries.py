@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, line_crf, mixing, piece_codec, sharding, syncmers, token_counts, wavelet
+from lamina.llm import jaccard, line_crf, mixing, ngram_lm, piece_codec, sharding, syncmers, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare(_documents(spark, sf_dir))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_wavelet": op4_wavelet,
     "op5_syncmers": op5_syncmers,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
