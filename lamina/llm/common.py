@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,10 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def input_partitions(df: DataFrame) -> int:
     """Tasks that a scan takes; no job is run."""
     return max(1, df.select(df.columns[0]).rdd.getNumPartitions())
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's
+    garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, line_crf, mixing, ngram_lm, piece_codec, sharding, syncmers, token_counts, wavelet
+from lamina.llm import ann, jaccard, line_crf, mixing, ngram_lm, piece_codec, sharding, syncmers, token_counts, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     both = piece_codec.decode(piece_codec.encode(_documents(spark, sf_dir), model, end=True), model)
@@ -67,6 +71,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_piece_codec": op2_piece_codec,
     "op3_sharding": op3_sharding,
     "op4_wavelet": op4_wavelet,
