@@ -1,17 +1,24 @@
 """Jaccard join of word n-gram sets with prefix trees, and the groups that its links make.
 
 Every text becomes the set of its distinct shingles (hashes of consecutive words). Equal sets are one class, so copies
-cost no pairs. Two sets as alike as asked share one of their first few shingles in any order common to all sets. The
-order takes shingles by hash, but those that begin many sets go last; they are counted over all sets, and whichever
-they are the result is the same. Classes that share a beginning shingle make a family; a family's sets meet in one
-task (a very large family is cut into blocks, and each two blocks meet). There the sets, commonest shingle first, are
-stored in a trie. One walk down the trie carries the overlap of the path with every set at once, so that sets with a
-common start share that work; it turns back where the lengths that remain can't reach the similarity for any set.
-Overlaps found at the leaves are exact, and a task returns only as many links as join its sets.
+cost no pairs. Then, without losing a link:
+
+1. Of a set's first quarter by hash, a linked partner shares all but the few shingles that the partner may lack. Sets
+   with fewer shared ones (by any other class) drop out. A shingle that several sets of a batch hold is known as shared
+   there and leaves the batch once, so a common shingle makes no large group.
+2. For the others all shingles are counted. Two linked sets share one of their first few shingles in any order common
+   to all, here the rarest first. A set whose first few nobody else has drops out; the others, by the shared shingles
+   among their first, make families.
+3. A family's sets meet in one task (a very large family is cut into blocks, and each two blocks meet). There the
+   sets, commonest shingle first, are stored in a trie. One walk down the trie carries the overlap of the path with
+   every set at once, so that sets with a common start share that work; it turns back where the lengths that remain
+   can't reach the similarity for any set. Overlaps found at the leaves are exact, and a task returns only as many
+   links as join its sets.
 
 Texts with fewer words than a shingle have one: the whole sequence. Texts without words (null, empty, white space)
-have the empty set and are linked with nothing, not even with one another. Null ids are kept but never
-name a component, and a class that has no other ids is linked with no other class. Repeated rows are equal sets. Other columns are ignored. No rows give no rows.
+have the empty set and are linked with nothing, not even with one another. Null ids are kept but never name a
+component, and a class that has no other ids is linked with no other class. Repeated rows are equal sets. Other columns
+are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,19 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import LOWER, ids_and_text, written
 from lamina.llm.components import components
 
-#: A shingle that begins this many sets goes last in the order.
+#: A shared shingle of more sets than this joins them to the least of them instead of in a chain by size.
 _COMMON = 48
-#: At most so many shingles go last (the commonest): 8 MB to send.
-_MOST_COMMON = 1 << 20
 #: A block of a family holds about so many shingles and so many sets.
 _BLOCK_SHINGLES = 4 << 20
-_BLOCK_SETS = 4096
+_BLOCK_SETS = 1024
+#: Size of the bit map that picks the texts to read again: 16 MB.
+_MOST_BITS = 1 << 27
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,16 +77,8 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _begin(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the order: by hash, common ones last."""
-    n = len(s) - needed(len(s), percent) + 1
-    if len(common):
-        at = np.searchsorted(common, s)
-        at[at == len(common)] = 0
-        last = common[at] == s
-        if last.any():
-            s = np.concatenate([s[~last], s[last]])
-    return s[:n]
+def _quarter(size: int) -> int:
+    return -(-size // 4)
 
 
 def _common_start(a: np.ndarray, b: np.ndarray) -> int:
@@ -197,91 +196,103 @@ def _joined(classes: list[int], sets: list[np.ndarray], blocks: list[int], perce
 
 def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``n_shingles`` (size of its set), ``class_id`` (of equal sets; null for the empty one) and
-    ``component_id``: the least id that links of at least ``percent`` / 100 Jaccard similarity reach, itself included."""
-    spark = docs.sparkSession
+    ``component_id``: the least id that links of at least ``percent`` / 100 Jaccard similarity reach, itself included.
+    ``percent``: above 75."""
+    if not 75 < percent <= 100:
+        raise ValueError("percent must be above 75 and at most 100")
     plain = ids_and_text(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        none = np.zeros(0, np.int64)
         for b in batches:
             for k in range(0, len(b), 256):
                 rows = b.slice(k, 256)
                 sets = shingler.sets(rows.column(1).to_pylist())
-                begins = [_begin(s, none, percent) if len(s) else s for s in sets]
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in begins])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(begins)))],
-                    names=["doc_id", "n_shingles", "class_id", "begins"],
-                )
-
-    known = written(plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long, begins array<long>"), "shingled")
-    common = known.select("class_id", F.explode("begins").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > _COMMON)
-    common = [r[0] for r in common.orderBy(F.desc("n"), "shingle").limit(_MOST_COMMON).select("shingle").toLocalIterator()]
-    last = spark.sparkContext.broadcast(np.sort(np.array(common, dtype=np.int64)))
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class_id"])
+
+    known = written(plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long"), "shingled")
+    firsts = known.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+
+    # 1. sets with enough shared shingles in their first quarter
+    started = written(plain.select("text").mapInArrow(_starts(words), "shingle long, class_id long, shared long"), "started")
+    local = started.filter("shingle is null").select("class_id", "shared")
+    sent = started.filter("shingle is not null").select("shingle", "class_id").repartition("shingle").sortWithinPartitions("shingle", "class_id")
+    shared = sent.mapInArrow(_shared, "class_id long, shared long").unionByName(local).groupBy("class_id").agg(F.sum("shared").alias("shared"))
+    # the partner whose quarter ends first shares all of it but what it may lack; for the other, rounding costs one
+    quarter, may_lack = F.ceil(F.col("size") / 4), F.col("size") - F.ceil(F.col("size") * percent / 100)
+    active = firsts.filter("doc_id is not null").join(shared, "class_id").filter(F.col("shared") >= F.greatest(F.lit(1), quarter - may_lack - 1)).select("doc_id", "class_id", "size")
+    active = written(active, "active")
+
+    # 2. sets that share one of their first shingles, rarest first
+    bits, wanted = _wanted(active)
+    sent_bits = docs.sparkSession.sparkContext.broadcast(wanted)
+    marked = plain.filter("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("_bit"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
+            bit = b.column(1).to_numpy()
+            b = b.filter(pa.array((sent_bits.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for k in range(0, len(b), 256):
-                sets = [s for s in shingler.sets(b.column(1).slice(k, 256).to_pylist()) if len(s)]
-                if not sets:
-                    continue
-                begins = [_begin(s, last.value, percent) for s in sets]
-                n = [len(x) for x in begins]
-                flat = np.concatenate(begins)
-                at = np.minimum(np.searchsorted(last.value, flat), max(0, len(last.value) - 1))
-                is_common = last.value[at] == flat if len(last.value) else np.zeros(len(flat), bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat), pa.array(np.repeat([_class(s) for s in sets], n)), pa.array(np.repeat([len(s) for s in sets], n).astype(np.int32)), pa.array(is_common)],
-                    names=["shingle", "class_id", "size", "common"],
-                )
-
-    begins = plain.select("doc_id", "text").mapInArrow(begin, "shingle long, class_id long, size int, common boolean")
-    # each rare shingle's classes by size, neighbours joined; they are few, as common ones go another way
-    rare = begins.filter("not common").select("shingle", "class_id", "size").repartition("shingle").sortWithinPartitions("shingle", "size", "class_id")
+                sets = shingler.sets(b.column(0).slice(k, 256).to_pylist())
+                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), lists], names=["class_id", "shingles"])
+
+    fetched = marked.mapInArrow(fetch, "class_id long, shingles array<long>")
+    sets = written(fetched.join(active.select("class_id"), "class_id").groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
+    held = sets.select("class_id", F.explode("shingles").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    common = written(held.join(counts, "shingle"), "common")
+    sizes = sets.select("class_id", F.size("shingles").alias("size"))
+    first_few = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    left = common.groupBy("class_id").agg(F.count("*").alias("others")).join(sizes, "class_id").withColumn("take", first_few - (F.col("size") - F.col("others"))).filter("take > 0")
+    by_count = Window.partitionBy("class_id").orderBy("n", "shingle")
+    begins = written(common.join(left.select("class_id", "size", "take"), "class_id").withColumn("_at", F.row_number().over(by_count)).filter("_at <= take").select("shingle", "class_id", "size", "n"), "begins")
+    rare = begins.filter(F.col("n") <= _COMMON).select("shingle", "class_id", "size").repartition("shingle").sortWithinPartitions("shingle", "size", "class_id")
     edges = rare.mapInArrow(_neighbours(percent), "a long, b long")
-    # a common shingle's classes join the least of them, apart by length
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)))
-    shared = begins.filter("common").select("shingle", "class_id", F.explode(F.array(band, band + 1)).alias("band"))
-    heads = shared.groupBy("shingle", "band").agg(F.min("class_id").alias("head"))
-    more = shared.join(heads, ["shingle", "band"]).filter("class_id <> head").select(F.col("head").alias("a"), F.col("class_id").alias("b"))
-    edges = written(edges.unionByName(more).distinct(), "edges")
-    families = components(edges).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
-
-    firsts = known.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
-    members = written(families.join(firsts.filter("doc_id is not null"), "class_id"), "members")
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) if percent < 100 else F.col("size").cast("double"))
+    far = begins.filter(F.col("n") > _COMMON).select("shingle", "class_id", F.explode(F.array(band, band + 1)).alias("band"))
+    heads = far.groupBy("shingle", "band").agg(F.min("class_id").alias("head"))
+    more = far.join(heads, ["shingle", "band"]).filter("class_id <> head").select(F.col("head").alias("a"), F.col("class_id").alias("b"))
+    families = components(written(edges.unionByName(more).distinct(), "edges")).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
+
+    # 3. families meet
+    members = families.join(sizes, "class_id")
     loads = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / _BLOCK_SHINGLES), F.ceil(F.count("*") / _BLOCK_SETS)).alias("blocks"))
     dealt = members.join(loads, "family").withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
-    # a block meets every other one, and itself where there is only one
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    meeting = dealt.withColumn("_other", other).select("doc_id", "family", "block", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            for k in range(0, len(b), 256):
-                rows = b.slice(k, 256)
-                sets = shingler.sets(rows.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in range(1, 5)), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["family", "block", "one", "two", "class_id", "shingles"])
-
-    texts = plain.join(meeting, "doc_id").select("text", "family", "block", "one", "two")
-    packed = texts.mapInArrow(pack, "family long, block long, one long, two long, class_id long, shingles binary")
+    zero = F.lit(0).cast("long")  # a block meets every other one, and itself where there is only one
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda x: x != F.col("block"))))
+    meeting = dealt.withColumn("_other", other).select("class_id", "family", "block", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"))
 
     def meet(table: pa.Table) -> pa.Table:
         rows = {}
-        for c, b, s in zip(*(table.column(x).to_pylist() for x in ("class_id", "block", "shingles")), strict=True):
-            rows[c] = (b, np.frombuffer(s, np.int64))
+        for c, b, s in zip(table.column("class_id").to_pylist(), table.column("block").to_pylist(), table.column("shingles"), strict=True):
+            rows[c] = (b, s.values.to_numpy())
         classes = sorted(rows)
         found = _joined_all(classes, [rows[c][1] for c in classes], [rows[c][0] for c in classes], percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = written(packed.groupBy("family", "one", "two").applyInArrow(meet, "a long, b long"), "class_links")
+    links = written(sets.join(meeting, "class_id").groupBy("family", "one", "two").applyInArrow(meet, "a long, b long"), "class_links")
     found = components(links).select(F.col("node").alias("class_id"), F.col("root").alias("root"))
-    labelled = firsts.filter("class_id is not null").select("class_id", "doc_id").join(found, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    labelled = firsts.select("class_id", "doc_id").join(found, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = labelled.join(least, "root").select("class_id", "component_id")
-    return known.drop("begins").join(of_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return known.join(of_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _wanted(active: DataFrame) -> tuple[int, np.ndarray]:
+    """A number of bits, and a bit map of hashes of the ids: 16 bits an id, ``_MOST_BITS`` at most. Ids that only meet a
+    bit of others are told apart later, so a full map costs time and no correctness."""
+    bits = 1 << 16
+    while bits < min(_MOST_BITS, 16 * active.count()):
+        bits *= 2
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = active.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) % 64 as int))").alias("mask"))
+    table = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most _MOST_BITS / 64 rows
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[table.column("word").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
+    return bits, out
 
 
 def _joined_all(classes: list[int], sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tuple[int, int]]:
@@ -293,6 +304,72 @@ def _joined_all(classes: list[int], sets: list[np.ndarray], blocks: list[int], p
     return out
 
 
+def _starts(words: int):
+    """From texts: the first quarter of each set as rows of shingle and class, each shingle once a batch. For shingles
+    that several classes of the batch hold the class is null, and rows without shingle count them for these classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            starts: dict[int, np.ndarray] = {}
+            for k in range(0, len(b), 256):
+                for s in shingler.sets(b.column(0).slice(k, 256).to_pylist()):
+                    if len(s):
+                        starts[_class(s)] = s[: _quarter(len(s))]
+            if not starts:
+                continue
+            classes = np.repeat(np.fromiter(starts, np.int64, len(starts)), [len(x) for x in starts.values()])
+            shingles = np.concatenate(list(starts.values()))
+            kinds, at, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+            own = counts[at] == 1
+            held, n = np.unique(classes[~own], return_counts=True)
+            known = kinds[counts > 1]
+            nulls = np.zeros(len(held), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([shingles[own], known, nulls]), mask=np.repeat([False, False, True], [own.sum(), len(known), len(held)])),
+                    pa.array(np.concatenate([classes[own], np.zeros(len(known), np.int64), held]), mask=np.repeat([False, True, False], [own.sum(), len(known), len(held)])),
+                    pa.array(np.concatenate([np.zeros(own.sum() + len(known), np.int64), n])),
+                ],
+                names=["shingle", "class_id", "shared"],
+            )
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by shingle and class (null first): for the classes of a batch, how many of their shingles have
+    a null class or another class."""
+    kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    def settle(shingle: np.ndarray, classes: np.ndarray, null: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(shingle) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[starts, len(shingle)])
+        last = starts + n - 1
+        shared = null[starts] | (classes[starts] != classes[last])
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (classes[1:] != classes[:-1]) | null[:-1]] if len(shingle) else np.zeros(0, bool)
+        found, count = np.unique(classes[np.repeat(shared, n) & ~null & new], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], names=["class_id", "shared"])
+
+    for b in batches:
+        if not len(b):
+            continue
+        classes = b.column(1)
+        own = [b.column(0).to_numpy(zero_copy_only=False), classes.fill_null(0).to_numpy(zero_copy_only=False), classes.is_null().to_numpy(zero_copy_only=False)]
+        rows = [np.concatenate([x, y]) for x, y in zip(kept, own, strict=True)]
+        open_at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on in the next batch
+        kept = [x[open_at:] for x in rows]
+        if kept[2][0] or kept[1][0] != kept[1][-1]:  # it is shared, whatever follows: one row says so
+            yield settle(*rows)
+            kept = [kept[0][:1], kept[1][-1:], np.array([True])]
+            continue
+        kept = [x[:1] for x in kept]  # one class so far
+        if open_at:
+            yield settle(*(x[:open_at] for x in rows))
+    if len(kept[0]):
+        yield settle(*kept)
+
+
 def _class(s: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
