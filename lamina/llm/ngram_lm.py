@@ -38,7 +38,10 @@ _SHAPES = 256
 _COARSE = 16
 _DISCOUNT = 0.75
 _CHUNK_BYTES = 8 << 20
-_BATCH_TOKENS = 1 << 21
+_BATCH_TOKENS = 1 << 22
+#: Steps (states times classes) up to which a worker tabulates the automaton.
+_TABLE = 1 << 23
+_PART = 512
 
 
 def words(text: str) -> list[bytes]:
@@ -72,7 +75,8 @@ def coarse(classes: np.ndarray, count: int) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """``arcs`` maps state * ``n`` + class to a place in ``weight`` (log10) and ``target``. State 0 has every class."""
+    """Arcs: ``keys`` (state * ``n`` + class, ascending), ``weight`` (log10) and ``target``. State 0 has every class,
+    states from 1 stand for the class before, those from ``n`` + 2 for longer histories."""
 
     n: int
     keys: np.ndarray
@@ -86,20 +90,67 @@ class Automaton:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ready": None}
 
-    def walk(self, classes: list[int]) -> float:
+    def _table(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Weight and target of every step, failure arcs followed, if that is a table of bounded size."""
+        if len(self.fail) * self.n > _TABLE:
+            return None
         if self._ready is None:
-            self._ready = (dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True)), self.weight.tolist(), self.target.tolist(), self.fail.tolist(), self.fail_weight.tolist())
-        arcs, weight, target, fail, fail_weight = self._ready
-        get, n, state, total = arcs.get, self.n, self.start, 0.0
-        for c in classes:
-            at = get(state * n + c)
-            while at is None:
-                total += fail_weight[state]
-                state = fail[state]
-                at = get(state * n + c)
-            total += weight[at]
-            state = target[at]
-        return total
+            weight, target = np.empty((len(self.fail), self.n)), np.empty((len(self.fail), self.n), dtype=np.int32)
+            state, c = self.keys // self.n, self.keys % self.n
+            bounds = [0, 1, self.n + 2, len(self.fail)]  # no history, one class, two
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                if low:
+                    weight[low:high] = weight[self.fail[low:high]] + self.fail_weight[low:high, None]
+                    target[low:high] = target[self.fail[low:high]]
+                own = (state >= low) & (state < high)
+                weight[state[own], c[own]] = self.weight[own]
+                target[state[own], c[own]] = self.target[own]
+            self._ready = (weight, target)
+        return self._ready
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and targets of steps from states on classes."""
+        if table := self._table():
+            return table[0][state, c], table[1][state, c]
+        weight, target, lost = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64), np.zeros(len(state))
+        left, at_state = np.arange(len(state)), state.copy()
+        while len(left):
+            key = at_state[left] * self.n + c[left]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            weight[left[hit]], target[left[hit]] = self.weight[at[hit]], self.target[at[hit]]
+            left = left[~hit]
+            lost[left] += self.fail_weight[at_state[left]]
+            at_state[left] = self.fail[at_state[left]]
+        return weight + lost, target
+
+    def walk(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Log10 probability of each sequence of classes. All are walked at once, class by class; long ones in parts, as
+        the two classes before a part tell its first state."""
+        parts, owner, begin = [], [], []
+        for i, classes in enumerate(texts):
+            for k in range(0, len(classes), _PART):
+                parts.append(classes[k : k + _PART])
+                owner.append(i)
+                begin.append(self.start if k == 0 else int(self.after(classes[k - 2], classes[k - 1])))
+        order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+        lengths = np.array([len(parts[i]) for i in order])
+        flat = np.zeros((len(parts), _PART), dtype=np.int64)
+        for row, i in enumerate(order):
+            flat[row, : lengths[row]] = parts[i]
+        state, total = np.array([begin[i] for i in order], dtype=np.int64), np.zeros(len(parts))
+        for t in range(lengths[0] if len(lengths) else 0):
+            n = int(np.searchsorted(-lengths, -t))  # parts longer than t
+            weight, state = self.step(state[:n], flat[:n, t])
+            total[:n] += weight
+        return np.bincount(np.array(owner, dtype=np.int64)[order], weights=total, minlength=len(texts)) if len(parts) else np.zeros(len(texts))
+
+    def after(self, a: int, b: int) -> int:
+        """The state after two classes. A kept trigram's last two classes are a kept bigram, so the bigram's arc leads
+        where every walk over both leads; without one, the walk has come by state 0."""
+        key = (1 + int(a)) * self.n + int(b)
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.target[at]) if at < len(self.keys) and self.keys[at] == key else 1 + int(b)
 
 
 def build(n: int, history: np.ndarray, following: np.ndarray, counts: np.ndarray, history_counts: np.ndarray, lower: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], unigrams: np.ndarray) -> Automaton:
@@ -149,7 +200,8 @@ def build(n: int, history: np.ndarray, following: np.ndarray, counts: np.ndarray
     fail = np.concatenate([np.zeros(n + 2, np.int64), 1 + states % (n + 1)])
     fail_weight = np.log10(np.concatenate([[1.0], back2, back3]))
     begin = np.array([n])
-    return Automaton(n, keys, weight, target, fail, fail_weight, int(state(begin, begin)[0]))
+    order = np.argsort(keys)
+    return Automaton(n, keys[order], weight[order], target[order], fail, fail_weight, int(state(begin, begin)[0]))
 
 
 def _class_ngrams(classes: Classes):
@@ -287,14 +339,16 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
         if not n_train:
             own[-1] = 0.0
         base = np.log10((c + 1) / (tokens + kinds + 1))
-        n, n_known, base_scores, scores = [], [], [], []
+        n, n_known, base_scores, scores, walked = [], [], [], [], []
         for text in texts.column("text").to_pylist():
             tokens_of = words(text)
             at = np.fromiter((*map(place.__getitem__, tokens_of), len(listed)), np.int64, len(tokens_of) + 1)
             n.append(len(at))
             n_known.append(int((c[at] > 0).sum()))
             base_scores.append(float(base[at].sum()))
-            scores.append(float(own[at].sum()) + automaton.walk(of[at].tolist()))
+            scores.append(float(own[at].sum()))
+            walked.append(of[at])
+        scores = np.array(scores) + automaton.walk(walked)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_scores, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     known = asked.select("chunk", "word").join(counts, "word").select("chunk", "word", "c")
