@@ -153,6 +153,15 @@ class Automaton:
         return int(self.target[at]) if at < len(self.keys) and self.keys[at] == key else 1 + int(b)
 
 
+def _backed(p: np.ndarray, lower: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the arcs of histories that start at ``first``, and the weights of the failure arcs: what is left
+    over what the shorter history gives to other classes. Where it gives them nothing, the arcs take all."""
+    sums, below = np.add.reduceat(p, first), 1 - np.add.reduceat(lower, first)
+    whole = below < 1e-9
+    per_arc = np.diff(np.r_[first, len(p)])
+    return p / np.repeat(np.where(whole, sums, 1.0), per_arc), np.where(whole, 1.0, np.maximum(1 - sums, 1e-12) / np.maximum(below, 1e-9))
+
+
 def build(n: int, history: np.ndarray, following: np.ndarray, counts: np.ndarray, history_counts: np.ndarray, lower: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], unigrams: np.ndarray) -> Automaton:
     """The automaton of trigrams (``history`` = coarse * (n + 1) + class before, sorted with ``following``), whose
     histories occur ``history_counts`` times; ``lower``: bigrams' history, class, count and the history's count."""
@@ -163,9 +172,7 @@ def build(n: int, history: np.ndarray, following: np.ndarray, counts: np.ndarray
     back2 = np.ones(n + 1)
     seen, first = np.unique(h2, return_index=True)
     if len(seen):
-        rest = 1 - np.add.reduceat(p2, first)
-        below = 1 - np.add.reduceat(p1[c2], first)
-        back2[seen] = np.maximum(rest, 1e-9) / np.maximum(below, 1e-9)
+        p2, back2[seen] = _backed(p2, p1[c2], first)
     key2 = h2 * n + c2
 
     def after(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -179,9 +186,7 @@ def build(n: int, history: np.ndarray, following: np.ndarray, counts: np.ndarray
     states, first = np.unique(history, return_index=True)
     back3 = np.zeros(0)
     if len(states):
-        rest = 1 - np.add.reduceat(p3, first)
-        below = 1 - np.add.reduceat(after(history % (n + 1), following), first)
-        back3 = np.maximum(rest, 1e-9) / np.maximum(below, 1e-9)
+        p3, back3 = _backed(p3, after(history % (n + 1), following), first)
     # states: 0, then 1 + class before (the start of a text too), then the longer histories
     longer = n + 2
 
