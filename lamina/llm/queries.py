@@ -82,4 +82,26 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_crf": op10_line_crf,
 }
-ORACLE: dict[str, str] = {}
+_OP1_SQL = """
+with v as (select vec_id, embedding::double[] e from embeddings where list_count(embedding) = len(embedding)
+    and list_bool_and(list_transform(embedding, lambda x: isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+n as (select vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y)) norm from v),
+s as (select q.vec_id query_id, c.vec_id, list_reduce(list_transform(list_zip(c.e, q.e), lambda t: t[1] * t[2]), lambda x, y: x + y) / (c.norm * q.norm) score
+    from n q join n c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+select query_id, "rank", vec_id, score from r where "rank" <= 5
+"""
+
+_OP9_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+g as (select distinct doc_id, shingle from (select doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) shingle from w)),
+n as (select doc_id, count(*) n from g group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) i from g a join g b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.other)
+select r.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.other) component_id from r left join n on n.doc_id = r.doc_id group by 1
+"""
+
+#: The first holds where the graph search finds all true neighbours, as on tables of few vectors.
+ORACLE: dict[str, str] = {"op1_ann": _OP1_SQL, "op9_jaccard_join": _OP9_SQL}
