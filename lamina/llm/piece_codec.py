@@ -66,7 +66,7 @@ class PieceCodec:
 
     NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         with open(path, "rb") as f:
             model = f.read()
         pieces, self.kinds, scores, trainer, normaliser = [], [], [], {}, {}
@@ -94,6 +94,10 @@ class PieceCodec:
             self.symbols[c] = len(pieces) + len(self.symbols)
         self.lone = max(self.symbols.values(), default=0) + 1  # any other character: merges with nothing
         self.width = self.lone + 1
+        self.symbol_of = np.full(1 << 16, self.lone, dtype=np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1 and ord(c) < len(self.symbol_of):
+                self.symbol_of[ord(c)] = i
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in normal.values()}, reverse=True))}
         pairs = []
         for p, i in normal.items():
@@ -128,16 +132,19 @@ class PieceCodec:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == wanted, at, len(self.keys)) if len(self.keys) else np.zeros(len(wanted), np.int64)
 
-    def merge_rounds(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols that each word (spaces already as the space symbol, none empty) ends with."""
-        lookup, lone = self.symbols.get, self.lone
-        symbols = np.fromiter((lookup(c, lone) for c in chain.from_iterable(words)), dtype=np.int32)
+    def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that the words (spaces already as the space symbol, none empty) end with, one after another, and
+        where each word's start."""
+        places = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        symbols = self.symbol_of[np.minimum(places, len(self.symbol_of) - 1)]
+        for i in np.flatnonzero(places >= len(self.symbol_of) - 1).tolist():  # beyond the table
+            symbols[i] = self.symbols.get(chr(places[i]), self.lone)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        out: list[np.ndarray] = [None] * len(words)
         word = np.repeat(np.arange(len(words)), lengths)
         pair = np.full(len(symbols), len(self.keys))
         inner = np.flatnonzero(word[1:] == word[:-1])
         pair[inner] = self._pairs(symbols[inner], symbols[inner + 1])
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             rank = self.ranks[pair]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -145,10 +152,9 @@ class PieceCodec:
             best = np.minimum.reduceat(rank, starts)
             done = best == _NEVER
             if done.any():
-                for s, n in zip(starts[done].tolist(), counts[done].tolist(), strict=True):
-                    out[word[s]] = symbols[s : s + n]
-                stay = np.repeat(~done, counts)
-                symbols, word, pair, rank = symbols[stay], word[stay], pair[stay], rank[stay]
+                out = np.repeat(done, counts)
+                ended.append((word[out], symbols[out]))
+                symbols, word, pair, rank = symbols[~out], word[~out], pair[~out], rank[~out]
                 best, counts = best[~done], counts[~done]
                 if not len(symbols):
                     break
@@ -159,35 +165,44 @@ class PieceCodec:
             even = (np.arange(len(at)) - np.repeat(runs, np.diff(np.r_[runs, len(at)]))) % 2 == 0
             at = at[first | (self.everywhere[pair[at]] & even)]
             symbols[at] = self.merged[pair[at]]
-            gone = np.zeros(len(symbols), dtype=bool)
-            gone[at + 1] = True
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[at + 1] = False
             now = at - np.arange(len(at))  # after the gaps are closed
-            keep = ~gone
             symbols, word, pair = symbols[keep], word[keep], pair[keep]
-            near = np.concatenate([now, now[now > 0] - 1])
-            near = np.unique(near)
-            last = near == len(symbols) - 1
-            pair[near[last]] = len(self.keys)
-            near = near[~last]
+            changed = np.zeros(len(symbols), dtype=bool)
+            changed[now] = True
+            changed[now[now > 0] - 1] = True
+            near = np.flatnonzero(changed)
+            if near[-1] == len(symbols) - 1:
+                pair[near[-1]] = len(self.keys)
+                near = near[:-1]
             same = word[near] == word[near + 1]
             pair[near[~same]] = len(self.keys)
             near = near[same]
             pair[near] = self._pairs(symbols[near], symbols[near + 1])
-        return out
-
-    def _ids(self, word: str, symbols: np.ndarray) -> bytes:
+        if not ended:
+            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
+        word, symbols = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))]
+
+    def _ids(self, words: list[str], symbols: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Ids of words from their symbols; characters that no piece has become bytes."""
         n = len(self.kinds)
-        if (symbols < n).all():
-            return symbols.astype("<i4").tobytes()
-        ids, at = [], 0
-        for s in symbols.tolist():
-            if s < n:
-                ids.append(s)
-                at += len(self.surface[s].decode())
-            else:
-                ids += [self.bytes.get(b, self.unknown) for b in word[at].encode()] if self.bytes else [self.unknown]
-                at += 1
-        return np.array(ids, dtype="<i4").tobytes()
+        raw, at = symbols.astype("<i4").tobytes(), (4 * starts).tolist()
+        out = [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(symbols >= n), side="right") - 1)
+        for i in odd.tolist():
+            ids, place = [], 0
+            for s in symbols[starts[i] : starts[i + 1]].tolist():
+                if s < n:
+                    ids.append(s)
+                    place += len(self.surface[s].decode())
+                else:
+                    ids += [self.bytes.get(b, self.unknown) for b in words[i][place].encode()] if self.bytes else [self.unknown]
+                    place += 1
+            out[i] = np.array(ids, dtype="<i4").tobytes()
+        return out
 
     def _words(self, text: str) -> list[str]:
         """Keys of the words: the word without its space, or marked if there is none, or whole from its space symbol."""
@@ -218,15 +233,14 @@ class PieceCodec:
     def encode(self, texts: list[str], end: bool = False) -> list[np.ndarray]:
         """Ids of each whole text, as the library gives them."""
         keys = [self._words(t) for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cache = self.cache
-        fresh = list(set(chain.from_iterable(keys)).difference(cache))
+        cache, every = self.cache, set(chain.from_iterable(keys))
+        if len(cache) > self.cache_words:  # what this batch has again stays
+            cache = self.cache = {k: cache[k] for k in every & cache.keys()}
+        fresh = list(every.difference(cache))
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
             words = [w[1:] if w[:1] == _GLUED else w if w[:1] == SPACE else SPACE + w.replace(" ", SPACE) for w in part]
-            for key, w, s in zip(part, words, self.merge_rounds(words), strict=True):
-                cache[key] = self._ids(w.replace(SPACE, " "), s)
+            cache.update(zip(part, self._ids([w.replace(SPACE, " ") for w in words], *self.merge_rounds(words)), strict=True))
         tail = np.array([self.end], dtype="<i4").tobytes() if end else b""
         return [np.frombuffer(b"".join(map(cache.__getitem__, k)) + tail, dtype="<i4") for k in keys]
 
