@@ -17,6 +17,7 @@ from lamina.operators import reducers
 from lamina.operators.predicates import Predicate, and_, eq, gt, gte, lt, lte, neq, not_, or_
 from lamina.operators.predicates import test as callback
 from lamina.operators.records import Records
+from lamina.plans import source_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -227,3 +228,6 @@ _query(
         F.count("payload").alias("payloads"),
     )
 )
+
+QUERIES |= source_queries.QUERIES
+ORACLE |= source_queries.ORACLE
