@@ -31,6 +31,8 @@ SPACE = "▁"
 _NEVER = np.iinfo(np.int32).max
 #: Marks a word that follows a line feed and so has no space before it.
 _GLUED = "\x01"
+#: Words of more characters are cut where that is safe.
+_LONG = 64
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -109,6 +111,7 @@ class PieceCodec:
         self.keys = np.array([k for k, _, _ in pairs], dtype=np.int64)
         self.ranks = np.array([r for _, r, _ in pairs] + [_NEVER], dtype=np.int32)
         self.merged = np.array([i for _, _, i in pairs] + [-1], dtype=np.int32)
+        self.inside = {p[k : k + 2] for p in normal for k in range(len(p) - 1)}
         rank_of = {i: order[scores[i]] for i in normal.values()}
         #: A piece may be merged everywhere at once if no pair that holds it ranks as high as itself or higher.
         lone_first = {s for k, r, _ in pairs for s in divmod(k, self.width) if s in rank_of and r <= rank_of[s]}
@@ -204,6 +207,13 @@ class PieceCodec:
             out[i] = np.array(ids, dtype="<i4").tobytes()
         return out
 
+    def _segments(self, word: str) -> list[str]:
+        """A long word cut between characters that no piece has next to each other, where nothing can merge."""
+        if len(word) <= _LONG:
+            return [word]
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
+        return [word[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+
     def _words(self, text: str) -> list[str]:
         """Keys of the words: the word without its space, or marked if there is none, or whole from its space symbol."""
         if not text:
@@ -240,7 +250,10 @@ class PieceCodec:
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
             words = [w[1:] if w[:1] == _GLUED else w if w[:1] == SPACE else SPACE + w.replace(" ", SPACE) for w in part]
-            cache.update(zip(part, self._ids([w.replace(SPACE, " ") for w in words], *self.merge_rounds(words)), strict=True))
+            segments = [self._segments(w) for w in words]
+            flat = list(chain.from_iterable(segments))
+            ids = iter(self._ids([w.replace(SPACE, " ") for w in flat], *self.merge_rounds(flat)))
+            cache.update((key, b"".join(next(ids) for _ in s)) for key, s in zip(part, segments, strict=True))
         tail = np.array([self.end], dtype="<i4").tobytes() if end else b""
         return [np.frombuffer(b"".join(map(cache.__getitem__, k)) + tail, dtype="<i4") for k in keys]
 
