@@ -36,9 +36,10 @@ from lamina.llm.components import components
 
 #: A shared shingle of more sets than this joins them to the least of them instead of in a chain by size.
 _COMMON = 48
-#: A block of a family holds about so many shingles and so many sets.
+#: A block of a family holds about so many shingles at most, and so many sets (or four times the root of the family's
+#: number, if that is more: blocks and sets in a block then grow alike).
 _BLOCK_SHINGLES = 4 << 20
-_BLOCK_SETS = 1024
+_BLOCK_SETS = 256
 #: Size of the bit map that picks the texts to read again: 16 MB.
 _MOST_BITS = 1 << 27
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,7 +48,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sets of shingle hashes of texts; the hashes of words met before are kept, up to a bound."""
 
-    def __init__(self, words: int, cache_words: int = 400_000):
+    def __init__(self, words: int, cache_words: int = 200_000):
         self.words, self.cache, self.cache_words = words, {}, cache_words
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
@@ -259,7 +260,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
 
     # 3. families meet
     members = families.join(sizes, "class_id")
-    loads = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / _BLOCK_SHINGLES), F.ceil(F.count("*") / _BLOCK_SETS)).alias("blocks"))
+    loads = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / _BLOCK_SHINGLES), F.ceil(F.count("*") / F.greatest(F.lit(float(_BLOCK_SETS)), 4 * F.sqrt(F.count("*"))))).alias("blocks"))
     dealt = members.join(loads, "family").withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
     zero = F.lit(0).cast("long")  # a block meets every other one, and itself where there is only one
     other = F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda x: x != F.col("block"))))
