@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +105,19 @@ class Records:
         """Each record whole, absent fields left out."""
         return self.df.select(self.rec, F.to_json(F.struct(*(F.col(f"`{k}`") for k in self.keys))).alias("json"))
 
+    # -- whole scans and warm columns
+    def map_batches(self, function: Callable[[Iterator], Iterator], schema: str, *keys: str) -> DataFrame:
+        """``function`` over Arrow batches of the ordinal and some fields: a scan with a callback."""
+        return self.df.select(self.rec, *(self.column(k).alias(k) for k in keys)).mapInArrow(function, schema)
+
+    def warmed(self, *keys: str) -> Records:
+        """The ordinal and some fields (all, without keys), kept by the executors once read; ``release`` lets them go."""
+        kept = self.df.select(self.rec, *(self.column(k).alias(k) for k in keys)) if keys else self.df
+        return Records(kept.persist(), self.rec)
+
+    def release(self) -> None:
+        self.df.unpersist()
+
     # -- reducers
     def reduce(self, **wanted: tuple[str, str]) -> DataFrame:
         return reducers.reduce(self.df, **wanted)

@@ -219,6 +219,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordSource)
 
 
+def describe(spark: SparkSession, path: str) -> DataFrame:
+    """A row per file: its layout, records, pages, keys, type marks, and whether it is sealed. Only heads and tails are
+    touched."""
+    rows = []
+    for name in files(path):
+        f = mapped(name, streaming=True)
+        rows.append((name, f.layout, f.n, len(f.pages), f.keys, "".join(map(chr, f.sigils)), f.sealed))
+    return spark.createDataFrame(rows, "file string, layout string, records long, pages int, keys array<string>, marks string, sealed boolean")
+
+
 def read_anywhere(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Files on any file system that Spark reads, whole (each under 2 GB), one a task. ``_rec`` counts within a file,
     which ``_file`` names. The schema is the first file's."""

@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,19 @@ def test_terminals(records):
     assert records.column_buffer("s").to_pylist() == ["a", "b", None, "a", ""]
 
 
+def test_batches_and_warm_columns(records):
+    def doubled(batches):
+        for b in batches:
+            yield b.set_column(1, "v", pa.array([None if v is None else 2 * v for v in b.column(1).to_pylist()], pa.float64()))
+
+    got = {r["_rec"]: r["v"] for r in records.map_batches(doubled, "_rec long, v double", "v").collect()}
+    assert got[0] == 2.0 and got[1] is None and got[4] == -10.0
+    warm = records.warmed("v", "s")
+    assert warm.df.columns == ["_rec", "v", "s"] and warm.count() == 5 and warm.df.is_cached
+    warm.release()
+    assert not warm.df.is_cached
+
+
 def test_reducers(spark, records):
     got = records.where(neq("_rec", 2)).reduce(total=("sum_f64", "v"), least=("min_f64", "v"), greatest=("max_f64", "v"), n=("count", "v")).first()
     assert (got["total"], got["least"], got["greatest"], got["n"]) == (math.inf, -5.0, math.inf, 3)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.sources import encode, wire
-from lamina.sources.record_source import RecordSource, read_anywhere, register
+from lamina.sources.record_source import RecordSource, describe, read_anywhere, register
 from lamina.sources.wire import FormatError, RecordFile
 from lamina.streaming.running import arriving, running_sum
 
@@ -181,3 +181,20 @@ def test_stream_of_a_growing_file(spark, tmp_path, kind):
     path.write_bytes(head + b"".join(parts) + w.tail())
     assert total() == (249750.0, 1000)
     assert RecordFile.open(path.read_bytes(), streaming=True).sealed
+
+
+def test_describe(spark, tmp_path):
+    for name, how in (("a", encode.encode_rows), ("b", encode.encode_columns), ("c", encode.encode_pages)):
+        (tmp_path / f"{name}.rec").write_bytes(how([FLAT], FLAT.schema))
+    got = describe(spark, str(tmp_path)).orderBy("file").collect()
+    assert [(r["layout"], r["records"], r["pages"], r["marks"], r["sealed"]) for r in got] == [("row", 1000, 0, '="~?="<', True), ("columnar", 1000, 0, '="~?="<', True), ("paged", 1000, 4, '="~?="<', True)]
+    assert got[0]["keys"] == FLAT.schema.names
+    assert wire.is_record_file((tmp_path / "a.rec").read_bytes()) and not wire.is_record_file(b"PAR1")
+
+
+def test_append_log():
+    """Records without head and tail, as an append log takes them, are what a whole file holds between the two."""
+    w = encode.RowWriter(FLAT.schema)
+    head = w.head()
+    log = b"".join(w.sector(FLAT.slice(i, 100)) for i in range(0, 1000, 100))
+    assert head + log + w.tail() == encode.encode_rows([FLAT], FLAT.schema)
