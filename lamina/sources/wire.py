@@ -24,6 +24,7 @@ INT, FLOAT, BOOL, STR, TIME, BINARY, NULL, KEYWORD, LINK = b'=~?"@<^$&'
 LETTERS = {ord("i"): INT, ord("d"): FLOAT, ord("b"): BOOL, ord("n"): NULL, ord("B"): BINARY}
 HASH_SEED, HASH_ONE, HASH_TWO = 0x93681D6255313A99, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 _M64 = (1 << 64) - 1
+_DEEPEST = 32
 
 
 class FormatError(ValueError):
@@ -267,7 +268,9 @@ class RecordFile:
                     del out[key]
         return pa.schema([pa.field("_rec", pa.int64()), *(pa.field(k, t) for k, t in out.items())])
 
-    def _kind_at(self, at: np.ndarray) -> pa.DataType | None:
+    def _kind_at(self, at: np.ndarray, depth: int = 0) -> pa.DataType | None:
+        if depth > _DEEPEST:
+            raise FormatError("ERR_OUT_OF_BOUNDS", "records nested too deep")
         for a in at.tolist():
             if a + 9 > len(self.data):
                 continue
@@ -275,16 +278,16 @@ class RecordFile:
             if magic == LIST:
                 return pa.list_(pa.int64() if self.data[a + 8] == INT else pa.float64())
             if magic == OBJECT:
-                return pa.struct([pa.field(k, t) for k, t in self._nested_kinds(a).items()])
+                return pa.struct([pa.field(k, t) for k, t in self._nested_kinds(a, depth).items()])
         return None
 
-    def _nested_kinds(self, at: int) -> dict[str, pa.DataType]:
+    def _nested_kinds(self, at: int, depth: int) -> dict[str, pa.DataType]:
         kinds = {INT: pa.int64(), FLOAT: pa.float64(), BOOL: pa.bool_(), TIME: pa.int64(), BINARY: pa.binary()}
         out = {}
         for slot, key in enumerate(self.keys):
             inner = self._positions(np.array([at]), [slot])[slot]
             if inner[0] >= 0:
-                out[key] = self._kind_at(inner) or kinds.get(self.sigils[slot], pa.string())
+                out[key] = self._kind_at(inner, depth + 1) or kinds.get(self.sigils[slot], pa.string())
         return out
 
     # -- records
