@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pages that one window orders.
+_CHUNK = 4096
+
+
+def running(df: DataFrame, order: str, value: Column, how: str, into: str, by: list[str] | None = None, chunk: int = _CHUNK) -> DataFrame:
+    """Adds ``into``: the ``sum`` or ``max`` of ``value`` over all rows up to this one by the whole number ``order``. Rows
+    are windowed in chunks of ``chunk`` consecutive numbers, and only the chunks' totals together, so no task orders
+    everything."""
+    keys, total = by or [], {"sum": F.sum, "max": F.max}[how]
+    cut = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}")).withColumn("_value", value)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy(*keys, "_chunk").agg(total("_value").alias("_total")).withColumn("_base", total("_total").over(before)).drop("_total")
+    joined = cut.withColumn("_inside", total("_value").over(Window.partitionBy(*keys, "_chunk").orderBy(order))).join(bases, [*keys, "_chunk"])
+    base, inside = F.col("_base"), F.col("_inside")
+    return joined.withColumn(into, F.greatest(base, inside) if how == "max" else F.coalesce(base + inside, base, inside)).drop("_chunk", "_value", "_inside", "_base")
+
+
 def coalesced_pages(pages: DataFrame, page: str, gap: int = 1, by: str | None = None) -> DataFrame:
-    """Runs of pages that are at most ``gap`` missing pages apart: ``first_page``, ``last_page``, ``n_pages``. Give
-    ``by`` (a reader or file) to keep windows apart; without it one window spans all distinct pages, which are few."""
+    """Runs of pages that are at most ``gap`` missing pages apart: ``first_page``, ``last_page``, ``n_pages``, for each
+    ``by`` (a reader or file) if given. A page starts a run if none of the ``gap`` + 1 before it is wanted."""
     keys = [by] if by else []
-    wanted = pages.select(*keys, page).distinct()
-    order = Window.partitionBy(*keys).orderBy(page)
-    starts = (F.col(page) - F.lag(page).over(order) - 1 > gap).cast("int")
-    runs = wanted.withColumn("_run", F.sum(F.coalesce(starts, F.lit(0))).over(order))
-    return runs.groupBy(*keys, "_run").agg(F.min(page).alias("first_page"), F.max(page).alias("last_page"), F.count("*").alias("n_pages")).drop("_run")
+    wanted = pages.select(*keys, F.col(page).cast("long").alias("_page")).distinct()
+    followed = wanted.select(*keys, F.explode(F.sequence(F.col("_page") + 1, F.col("_page") + gap + 1)).alias("_page")).distinct().withColumn("_goes_on", F.lit(True))
+    marked = wanted.join(followed, [*keys, "_page"], "left")
+    runs = running(marked, "_page", F.when(F.col("_goes_on").isNull(), F.col("_page")), "max", "_run", keys)
+    return runs.groupBy(*keys, "_run").agg(F.min("_page").alias("first_page"), F.max("_page").alias("last_page"), F.count("*").alias("n_pages")).drop("_run")
 
 
 def patterns(log: DataFrame, reader: str, order: str, record: str, *, near: int = 10, far: int = 100, least: int = 8, ratio: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import access, text
@@ -135,8 +135,7 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 _query("q35_partitioned_sum", "select event_id // 256 page, round(sum(value), 2) part, count(*) n from events group by 1")(lambda s, d: _rounded(_pages(s, d), "part"))
 _query("q36_running_sum", "select page, round(sum(part) over (order by page), 2) running from (select event_id // 256 page, sum(value) part from events group by 1)")(
-    # one row a page; the pages of a file are few next to its records
-    lambda s, d: _pages(s, d).select("page", F.round(F.sum("part").over(Window.orderBy("page")), 2).alias("running"))
+    lambda s, d: access.running(_pages(s, d), "page", F.col("part"), "sum", "running").select("page", F.round("running", 2).alias("running"))
 )
 _query("q37_is_uniform", "select false uniform")(lambda s, d: _sparse(events(s, d)).is_uniform())
 _query("q37b_is_uniform_dense", "select true uniform")(lambda s, d: events(s, d).is_uniform())

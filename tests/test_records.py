@@ -105,3 +105,18 @@ def test_pages_coalesce(spark):
     pages = spark.createDataFrame([(p,) for p in (3, 4, 6, 7, 12)], "page long")
     assert sorted(map(tuple, access.coalesced_pages(pages, "page", 1).select("first_page", "last_page").collect())) == [(3, 7), (12, 12)]
     assert access.coalesced_pages(pages, "page", 0).count() == 3
+
+
+def test_running_over_many_chunks(spark):
+    rows = [(i, (i * 7919) % 101) for i in range(0, 3000, 3)]
+    df = spark.createDataFrame(rows, "i long, v long").repartition(5)
+    sums = {r["i"]: r["t"] for r in access.running(df, "i", F.col("v"), "sum", "t", chunk=64).collect()}
+    tops = {r["i"]: r["t"] for r in access.running(df, "i", F.when(F.col("v") > 90, F.col("v")), "max", "t", chunk=64).collect()}
+    total, top = 0, None
+    for i, v in rows:
+        total += v
+        top = max(top or 0, v) if v > 90 else top
+        assert sums[i] == total and tops[i] == top
+    by = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), ("b", 9000), ("b", 9001)], "who string, page long")
+    got = sorted(map(tuple, access.coalesced_pages(by, "page", 1, "who").select("who", "first_page", "last_page", "n_pages").collect()))
+    assert got == [("a", 1, 3, 2), ("b", 2, 2, 1), ("b", 9000, 9001, 2)]
