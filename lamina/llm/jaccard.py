@@ -275,10 +275,11 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     links = written(sets.join(meeting, "class_id").groupBy("family", "one", "two").applyInArrow(meet, "a long, b long"), "class_links")
-    found = components(links).select(F.col("node").alias("class_id"), F.col("root").alias("root"))
-    labelled = firsts.select("class_id", "doc_id").join(found, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = labelled.join(least, "root").select("class_id", "component_id")
+    found = written(components(links).select(F.col("node").alias("class_id"), F.col("root").alias("root")), "joined")
+    # written, so that the join with a component of very many classes can be split
+    least = written(found.join(firsts, "class_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    linked = found.join(least, "root").select("class_id", "component_id")
+    of_class = firsts.join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     return known.join(of_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
