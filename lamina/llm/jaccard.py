@@ -213,6 +213,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
 
     known = written(plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long"), "shingled")
     firsts = known.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    firsts = written(firsts, "firsts")
 
     # 1. sets with enough shared shingles in their first quarter
     started = written(plain.select("text").mapInArrow(_starts(words), "shingle long, class_id long, shared long"), "started")
@@ -280,6 +281,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
     least = written(found.join(firsts, "class_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     linked = found.join(least, "root").select("class_id", "component_id")
     of_class = firsts.join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = written(of_class, "of_class")  # as above, for a class of very many copies
     return known.join(of_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
