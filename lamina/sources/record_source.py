@@ -2,7 +2,7 @@
 
 Reading: ``path`` is a file or folder on a file system that all executors mount; ``columns`` (comma separated) reads
 only those; ``records_per_partition`` sets the split. Records are numbered through the files in the order of their
-names, in ``_rec``; filters on ``_rec`` narrow the partitions (with ``spark.sql.python.filterPushdown.enabled``). For
+names, in ``_rec``; filters on ``_rec`` narrow the partitions. ``register`` comes first. For
 other file systems ``read_anywhere`` reads whole files through Spark. Writing: a file per partition in ``layout`` (row,
 columnar or paged), renamed into place when the job commits. Streaming reads one growing paged or row file.
 """
@@ -216,6 +216,8 @@ class RecordSource(ds.DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and turns on the filter pushdown that its reader needs there."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordSource)
 
 
