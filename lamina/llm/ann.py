@@ -3,8 +3,8 @@
 Equal vectors are one node. The first neighbours of a node come from blocks of vectors next to each other along a few
 random directions. NN-descent then joins: every node gathers its neighbours and a sample of those that count it as
 theirs, compares these with one another in its task, and sends each what is nearer than its worst neighbour so far.
-Rounds end when few lists change, or after ``rounds``. A query keeps a beam of the nearest nodes found. Each step joins
-its nearest unvisited nodes with the graph (a table bucketed by node, so only the frontier moves) and takes in their
+Rounds end when few lists change (``rounds`` is only a guard). A query keeps a beam of the nearest nodes found, which
+grows with the root of the number of nodes. Each step joins its nearest unvisited nodes with the graph (a table bucketed by node, so only the frontier moves) and takes in their
 neighbours, until every node of the beam has been visited. Vectors travel as bytes (one a component) while the graph
 is built and searched; the beam's best are then compared on the original vectors in double precision.
 
@@ -29,6 +29,14 @@ _BLOCK = 2048
 _DIRECTIONS = 5
 _FIRST = 12
 _GROUPS = 512
+#: Nodes up to which a beam of ``_LEAST_BEAM`` finds what is asked; beyond, the beam grows with the root of their number.
+_BEAM_NODES = 50_000
+_LEAST_BEAM = 320
+
+
+def beam_for(n: int) -> int:
+    """Nodes that a query's beam holds in a graph of ``n`` nodes."""
+    return int(np.ceil(_LEAST_BEAM * np.sqrt(max(1.0, n / _BEAM_NODES))))
 
 
 def _unit_bytes(x: np.ndarray) -> np.ndarray:
@@ -207,7 +215,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
 
 
-def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, rounds: int = 3, send: int = 2, least_change: float = 0.02) -> DataFrame:
+def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, rounds: int = 60, send: int = 2, least_change: float = 0.02) -> DataFrame:
     """NN-descent over ``nodes`` (``node``, ``vec``): per node its ``k`` nearest found, ``near`` and ``sims``."""
     spark = nodes.sparkSession
     n = nodes.count()
@@ -278,10 +286,12 @@ _STATE = pa.schema([("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list
 _STATE_SQL = "query long, vec binary, ids array<long>, sims array<float>, visited array<boolean>, go array<long>"
 
 
-def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, *, sample: int = 16, beam: int = 320, width: int = 64) -> DataFrame:
+def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, *, sample: int = 16, beam: int | None = None, width: int | None = None) -> DataFrame:
     """Greedy search from each query's own node. ``queries``: ``query`` and ``vec``, the query a node. Per query the
-    beam: ``ids`` and approximate ``sims``, nearest first."""
+    beam: ``ids`` and approximate ``sims``, nearest first. A step visits ``width`` nodes, a fifth of the beam."""
     spark = nodes.sparkSession
+    beam = beam or beam_for(nodes.count())
+    width = width or max(1, beam // 5)
     out = graph.select("node", F.explode("near").alias("member"))
     back = out.select(F.col("member").alias("node"), F.col("node").alias("member"))
     some = Window.partitionBy("node").orderBy(F.xxhash64("node", "member"))
@@ -308,7 +318,7 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
     return state.select("query", "ids", "sims")
 
 
-def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = 320, rounds: int = 3) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", beam: int | None = None, rounds: int = 60) -> DataFrame:
     """For the rows for which ``is_query`` (a condition on ``vec_id``) holds: the ``k`` nearest other rows found.
     ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the cosine of the original vectors."""
     spark = vectors.sparkSession

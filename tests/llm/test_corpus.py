@@ -245,6 +245,24 @@ def test_neighbours(spark, monkeypatch):
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_neighbour_graph_settles(spark, monkeypatch):
+    """Rounds go on while lists change; the beam follows the number of nodes."""
+    monkeypatch.setattr(ann, "_BLOCK", 32)
+    rounds, compared = [], ann._compared
+    monkeypatch.setattr(ann, "_compared", lambda *a: rounds.append(1) or compared(*a))
+    x = np.random.default_rng(8).normal(size=(2000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<double>")
+    nodes = df.mapInArrow(ann._packed, "node long, vec binary")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for r in ann.build_graph(nodes, 48, least_change=1e-3).filter("node % 20 = 0").collect():
+        s = x @ x[r["node"]]
+        s[r["node"]] = -9
+        hits += len(set(r["near"][:5]) & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 100 and len(rounds) > 3, (hits, rounds)
+    assert ann.beam_for(2_000) == 320 and ann.beam_for(200_000) == 640
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
