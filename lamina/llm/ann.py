@@ -5,8 +5,9 @@ random directions. NN-descent then joins: every node gathers its neighbours and
 theirs, compares these with one another in its task, and sends each what is nearer than its worst neighbour so far.
 Rounds end when few lists change (``rounds`` is only a guard). A query keeps a beam of the nearest nodes found, which
 grows with the root of the number of nodes. Each step joins its nearest unvisited nodes with the graph (a table bucketed by node, so only the frontier moves) and takes in their
-neighbours, until every node of the beam has been visited. Vectors travel as bytes (one a component) while the graph
-is built and searched; the beam's best are then compared on the original vectors in double precision.
+neighbours, until every node of the beam has been visited. Vectors travel in the precision of their column (float or
+double) and are compared in double precision throughout, so near copies are told apart while the graph is built and
+searched; the beam's best are then scored on the original vectors.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from most others take no part,
 as queries or candidates. Copies of a vector are candidates each; a query's own id never is. Rows that repeat an id
@@ -39,15 +40,17 @@ def beam_for(n: int) -> int:
     return int(np.ceil(_LEAST_BEAM * np.sqrt(max(1.0, n / _BEAM_NODES))))
 
 
-def _unit_bytes(x: np.ndarray) -> np.ndarray:
-    """Vectors as signed bytes, each scaled so that its largest component is 127 (cosines don't see the scale)."""
-    return np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+def _units(packed: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors (double) from packed ones; how many bytes a component has tells its type."""
+    values = packed.to_pylist()
+    kind = np.float32 if values and len(values[0]) == 4 * dim else np.float64
+    return _scaled(np.frombuffer(b"".join(values), kind).reshape(-1, dim))
 
 
-def _floats(packed: pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors (float32) from byte vectors."""
-    x = np.frombuffer(b"".join(packed.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -59,10 +62,10 @@ def _by_node(node: np.ndarray, near: np.ndarray, sim: np.ndarray) -> pa.RecordBa
     order = np.lexsort((-sim, node))
     node, near, sim = node[order], near[order], sim[order]
     kinds, counts = np.unique(node, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(kinds), _lists(counts, near), _lists(counts, sim.astype(np.float32))], names=["node", "near", "sims"])
+    return pa.RecordBatch.from_arrays([pa.array(kinds), _lists(counts, near), _lists(counts, sim.astype(np.float64))], names=["node", "near", "sims"])
 
 
-_LISTS = "node long, near array<long>, sims array<float>"
+_LISTS = "node long, near array<long>, sims array<double>"
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -112,13 +115,13 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
 
 
 def _projected(dim: int):
-    directions = np.random.default_rng(3).normal(size=(dim, _DIRECTIONS)).astype(np.float32)
+    directions = np.random.default_rng(3).normal(size=(dim, _DIRECTIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            along = _floats(b.column(1), dim) @ directions
+            along = _units(b.column(1), dim) @ directions
             n = np.arange(len(b))
             for d in range(_DIRECTIONS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), d, np.int32)), pa.array(along[:, d]), b.column(0), b.column(1)], names=["direction", "along", "node", "vec"])
@@ -137,7 +140,7 @@ def _blocks(dim: int):
             direction = table.column(0).to_numpy()
             for d in np.unique(direction):
                 part = table.slice(int(np.searchsorted(direction, d)), int((direction == d).sum())).combine_chunks()
-                ids, x = part.column(2).to_numpy(), _floats(part.column(3).combine_chunks(), dim)
+                ids, x = part.column(2).to_numpy(), _units(part.column(3).combine_chunks(), dim)
                 k = min(_FIRST, len(ids) - 1)
                 if k < 1:
                     continue
@@ -170,7 +173,7 @@ def _compared(dim: int, send: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 12_000):
             group, member, worst = (table.column(i).to_numpy() for i in (0, 1, 3))
-            x = _floats(table.column(2).combine_chunks(), dim)
+            x = _units(table.column(2).combine_chunks(), dim)
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             counts = np.diff(np.r_[starts, len(group)])
             found = []
@@ -208,11 +211,16 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return plain.filter(F.size("vector") == dim).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit(1), "vector")).dropDuplicates(["vec_id", "k1", "k2"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if len(b):
-            x = _unit_bytes(b.column(1).flatten().to_numpy().reshape(len(b), -1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
+def _packed(kind: type = np.float32):
+    """Vectors as bytes of a numpy type that holds their column's values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = b.column(1).flatten().to_numpy().reshape(len(b), -1).astype(kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
+
+    return run
 
 
 def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, rounds: int = 60, send: int = 2, least_change: float = 0.02) -> DataFrame:
@@ -220,7 +228,7 @@ def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, ro
     spark = nodes.sparkSession
     n = nodes.count()
     parts = max(1, -(-n * _DIRECTIONS // (8 * _BLOCK)))
-    along = nodes.mapInArrow(_projected(dim), "direction int, along float, node long, vec binary")
+    along = nodes.mapInArrow(_projected(dim), "direction int, along double, node long, vec binary")
     blocks = along.repartitionByRange(parts, "direction", "along").sortWithinPartitions("direction", "along", "node").mapInArrow(_blocks(dim), _LISTS)
     graph = written(_merged(blocks, k), "graph")
     for _ in range(rounds if n > _BLOCK else 0):  # one block has compared all with all
@@ -228,7 +236,7 @@ def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, ro
         back = out.select(F.col("member").alias("node"), F.col("node").alias("member"))
         some = Window.partitionBy("node").orderBy(F.xxhash64("node", "member"))
         back = back.withColumn("_at", F.row_number().over(some)).filter(F.col("_at") <= sample).drop("_at")
-        own = nodes.join(graph.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("worst")), "node").withColumnRenamed("node", "member")
+        own = nodes.join(graph.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).alias("worst")), "node").withColumnRenamed("node", "member")
         members = out.unionByName(back).distinct().join(own, "member").select("node", "member", "vec", "worst")
         news = written(members.repartition("node").sortWithinPartitions("node", "member").mapInArrow(_compared(dim, send), _LISTS), "news")
         after = written(_merged(graph.unionByName(news), k), "graph")
@@ -251,7 +259,8 @@ def _adjacent(dim: int):
             flat = b"".join(table.column(2).to_pylist())
             starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             ends = np.r_[starts[1:], len(node)]
-            vecs = [flat[a * dim : z * dim] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+            wide = len(flat) // len(node)
+            vecs = [flat[a * wide : z * wide] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(node[starts]), _lists(ends - starts, member), pa.array(vecs, pa.binary())], names=["node", "near", "vecs"])
 
     return run
@@ -262,13 +271,14 @@ def _step(dim: int, beam: int, width: int):
 
     def run(state: pa.Table, found: pa.Table) -> pa.Table:
         row = state.to_pylist()[0]
-        q = np.frombuffer(row["vec"], np.int8).astype(np.float32)
-        q /= max(float(np.linalg.norm(q)), 1e-9)
-        ids, sims, visited = np.array(row["ids"], np.int64), np.array(row["sims"], np.float32), np.array(row["visited"], bool)
+        q = _units(pa.array([row["vec"]], pa.binary()), dim)[0]
+        kind = np.float32 if len(row["vec"]) == 4 * dim else np.float64
+        ids, sims, visited = np.array(row["ids"], np.int64), np.array(row["sims"], np.float64), np.array(row["visited"], bool)
         near = [x.values.to_numpy() for x in found.column("near")]
         if near:
             near = np.concatenate(near)
-            more = _floats(found.column("vecs").combine_chunks(), dim) @ q if len(near) else np.zeros(0, np.float32)
+            flat = np.frombuffer(b"".join(found.column("vecs").to_pylist()), kind).reshape(-1, dim)
+            more = _scaled(flat) @ q if len(near) else np.zeros(0)
             near, first = np.unique(near, return_index=True)
             new = ~np.isin(near, ids)
             ids, sims = np.r_[ids, near[new]], np.r_[sims, more[first][new]]
@@ -282,13 +292,13 @@ def _step(dim: int, beam: int, width: int):
     return run
 
 
-_STATE = pa.schema([("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("visited", pa.list_(pa.bool_())), ("go", pa.list_(pa.int64()))])
-_STATE_SQL = "query long, vec binary, ids array<long>, sims array<float>, visited array<boolean>, go array<long>"
+_STATE = pa.schema([("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("visited", pa.list_(pa.bool_())), ("go", pa.list_(pa.int64()))])
+_STATE_SQL = "query long, vec binary, ids array<long>, sims array<double>, visited array<boolean>, go array<long>"
 
 
 def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, *, sample: int = 16, beam: int | None = None, width: int | None = None) -> DataFrame:
     """Greedy search from each query's own node. ``queries``: ``query`` and ``vec``, the query a node. Per query the
-    beam: ``ids`` and approximate ``sims``, nearest first. A step visits ``width`` nodes, a fifth of the beam."""
+    beam: ``ids`` and ``sims``, nearest first. A step visits ``width`` nodes, a fifth of the beam."""
     spark = nodes.sparkSession
     beam = beam or beam_for(nodes.count())
     width = width or max(1, beam // 5)
@@ -304,7 +314,7 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
     released(spark)
     table = spark.table(name)
     nothing = F.array()
-    state = written(queries.select("query", "vec", F.array("query").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("visited"), F.array("query").alias("go")), "beams")
+    state = written(queries.select("query", "vec", F.array("query").alias("ids"), F.array(F.lit(1.0)).alias("sims"), F.array(F.lit(True)).alias("visited"), F.array("query").alias("go")), "beams")
     while True:
         frontier = state.select("query", F.explode("go").alias("node"))
         found = frontier.join(table, "node").select(F.col("query").alias("asked"), "near", "vecs")
@@ -332,7 +342,8 @@ def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int
     copies = usable.select("k1", "k2", "vec_id").withColumn("_at", F.row_number().over(copy)).filter(F.col("_at") <= k + 1)
     firsts = copies.filter("_at = 1").select("k1", "k2", F.col("vec_id").alias("node"))
     copies = written(copies.join(firsts, ["k1", "k2"]).select("node", "vec_id"), "copies")
-    nodes = usable.join(copies.filter("node = vec_id").select("vec_id"), "vec_id").select(F.col("vec_id").alias("node"), "vector").mapInArrow(_packed, "node long, vec binary")
+    kind = np.float32 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
+    nodes = usable.join(copies.filter("node = vec_id").select("vec_id"), "vec_id").select(F.col("vec_id").alias("node"), "vector").mapInArrow(_packed(kind), "node long, vec binary")
     nodes = written(nodes, "nodes")
     graph = build_graph(nodes, dim, rounds=rounds)
     asking = usable.filter(is_query).select("vec_id", "k1", "k2").join(firsts, ["k1", "k2"]).select("vec_id", "node")

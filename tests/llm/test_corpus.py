@@ -245,6 +245,24 @@ def test_neighbours(spark, monkeypatch):
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_neighbours_in_near_copies(spark):
+    """A cluster of thousands that differ by less than a byte's rounding."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1, 32)) * (1 + 0.003 * rng.normal(size=(2500, 32)))
+    df = spark.createDataFrame(list(enumerate(x.astype(np.float32).tolist())), "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.neighbours(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    y = x.astype(np.float32).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2500, 50):
+        s = y @ y[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.95 * 5 * 50, hits
+
+
 def test_neighbour_graph_settles(spark, monkeypatch):
     """Rounds go on while lists change; the beam follows the number of nodes."""
     monkeypatch.setattr(ann, "_BLOCK", 32)
@@ -252,7 +270,7 @@ def test_neighbour_graph_settles(spark, monkeypatch):
     monkeypatch.setattr(ann, "_compared", lambda *a: rounds.append(1) or compared(*a))
     x = np.random.default_rng(8).normal(size=(2000, 48)).astype(np.float32)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<double>")
-    nodes = df.mapInArrow(ann._packed, "node long, vec binary")
+    nodes = df.mapInArrow(ann._packed(), "node long, vec binary")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for r in ann.build_graph(nodes, 48, least_change=1e-3).filter("node % 20 = 0").collect():
