@@ -18,11 +18,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lamina.sources import encode
-from lamina.sources.wire import FormatError, RecordFile
+from lamina.sources.wire import FormatError, RecordFile, wider_schema
 
 SUFFIX = ".rec"
 _PER_PARTITION = 1 << 18
@@ -200,7 +201,7 @@ class RecordSource(ds.DataSource):
         found = files(self.options["path"])
         if not found:
             raise FileNotFoundError(self.options["path"])
-        schema = mapped(found[0], streaming=True).arrow_schema()
+        schema = wider_schema([mapped(name, streaming=True).arrow_schema() for name in found])
         if wanted := [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]:
             schema = pa.schema([schema.field(c) for c in ["_rec", *wanted] if c in schema.names])
         return from_arrow_schema(schema)
@@ -233,9 +234,16 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
 
 def read_anywhere(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Files on any file system that Spark reads, whole (each under 2 GB), one a task. ``_rec`` counts within a file,
-    which ``_file`` names. The schema is the first file's."""
+    which ``_file`` names. The schema is that of all files."""
     whole = spark.read.format("binaryFile").load(path)
-    schema = RecordFile.open(bytes(whole.select("content").first()[0])).arrow_schema()
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [RecordFile.open(memoryview(c.as_buffer())).arrow_schema().serialize().to_pybytes() for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["path", "kinds"])
+
+    found = whole.select("path", "content").mapInArrow(kinds, "path string, kinds binary").groupBy("kinds").agg(F.min("path").alias("path")).orderBy("path").collect()
+    schema = wider_schema([pa.ipc.read_schema(pa.py_buffer(bytes(r["kinds"]))) for r in found])
     if columns:
         schema = pa.schema([schema.field(c) for c in ["_rec", *columns] if c in schema.names])
 

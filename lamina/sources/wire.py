@@ -24,6 +24,8 @@ INT, FLOAT, BOOL, STR, TIME, BINARY, NULL, KEYWORD, LINK = b'=~?"@<^$&'
 LETTERS = {ord("i"): INT, ord("d"): FLOAT, ord("b"): BOOL, ord("n"): NULL, ord("B"): BINARY}
 HASH_SEED, HASH_ONE, HASH_TWO = 0x93681D6255313A99, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 _M64 = (1 << 64) - 1
+#: Records of a block whose types are looked at together.
+_SCHEMA_ROWS = 65536
 _DEEPEST = 32
 
 
@@ -61,6 +63,30 @@ def _names_within(kind: pa.DataType) -> set[str]:
     return {f.name for f in kind}.union(*(_names_within(f.type) for f in kind)) if pa.types.is_struct(kind) else set()
 
 
+def wider(a: pa.DataType, b: pa.DataType) -> pa.DataType:
+    """The type of values of both: fields of either record, doubles where a list has any. Strings and nulls are what a
+    place without lists and records is taken for; otherwise the first holds."""
+    if pa.types.is_struct(a) and pa.types.is_struct(b):
+        fields = {f.name: f.type for f in a}
+        for f in b:
+            fields[f.name] = wider(fields[f.name], f.type) if f.name in fields else f.type
+        return pa.struct([pa.field(k, t) for k, t in fields.items()])
+    if pa.types.is_list(a) and pa.types.is_list(b):
+        return a if pa.types.is_floating(a.value_type) else b
+    if pa.types.is_null(a) or (pa.types.is_string(a) and pa.types.is_nested(b)):
+        return b
+    return a
+
+
+def wider_schema(schemas: list[pa.Schema]) -> pa.Schema:
+    """Columns of all files; a key that one file has only within records isn't missed there."""
+    out: dict[str, pa.DataType] = {}
+    for schema in schemas:
+        for f in schema:
+            out[f.name] = wider(out[f.name], f.type) if f.name in out else f.type
+    return pa.schema(list(out.items()))
+
+
 @dataclass
 class Page:
     first: int
@@ -248,45 +274,53 @@ class RecordFile:
         return out
 
     # -- types
-    def arrow_schema(self, sample: int = 1000) -> pa.Schema:
-        """Types by the type marks; in row layout the first records tell lists, nested records and marks that a last
-        null has overwritten."""
+    def arrow_schema(self) -> pa.Schema:
+        """Types by the type marks; in row layout all records, block by block, tell lists, nested records and marks that
+        a last null has overwritten. A nested record has the fields of all records in its place."""
         kinds = {INT: pa.int64(), FLOAT: pa.float64(), BOOL: pa.bool_(), STR: pa.string(), TIME: pa.int64(), BINARY: pa.binary(), KEYWORD: pa.string(), NULL: pa.null()}
         if LINK in self.sigils:
             raise FormatError("ERR_UNSUPPORTED", "link fields")
         out = {k: kinds.get(s, pa.string()) for k, s in zip(self.keys, self.sigils, strict=True)}
-        inner: set[str] = set()
         if self.layout == "row" and not self.flags & DENSE and self.n:
-            first = self.record_offsets(0, min(self.n, sample))
-            for slot, key in enumerate(self.keys):
-                at = self._positions(first, [slot])[slot]
-                if kind := self._kind_at(at[at >= 0]):
-                    out[key] = kind
-                    inner |= _names_within(kind)
-            for key in inner:  # keys that only records within records have
-                if (self._positions(first, [self.keys.index(key)])[self.keys.index(key)] < 0).all():
-                    del out[key]
+            own: set[str] = set()
+            found: dict[str, pa.DataType] = {}
+            for start in range(0, self.n, _SCHEMA_ROWS):
+                places = self._positions(self.record_offsets(start, min(self.n, start + _SCHEMA_ROWS)), list(range(len(self.keys))))
+                for slot, key in enumerate(self.keys):
+                    at = places[slot][places[slot] >= 0]
+                    if len(at):
+                        own.add(key)
+                        if kind := self._kind_at(at):
+                            found[key] = wider(found[key], kind) if key in found else kind
+            out |= found
+            for key in set().union(*map(_names_within, found.values())) - own:  # keys that only records within records have
+                del out[key]
         return pa.schema([pa.field("_rec", pa.int64()), *(pa.field(k, t) for k, t in out.items())])
 
     def _kind_at(self, at: np.ndarray, depth: int = 0) -> pa.DataType | None:
+        """The list or record type of the values at these places, if they are any. Their sizes are looked at as well, as
+        a number may begin like one."""
         if depth > _DEEPEST:
             raise FormatError("ERR_OUT_OF_BOUNDS", "records nested too deep")
-        for a in at.tolist():
-            if a + 9 > len(self.data):
-                continue
-            (magic,) = struct.unpack_from("<I", self.data, a)
-            if magic == LIST:
-                return pa.list_(pa.int64() if self.data[a + 8] == INT else pa.float64())
-            if magic == OBJECT:
-                return pa.struct([pa.field(k, t) for k, t in self._nested_kinds(a, depth).items()])
+        at = at[at + 9 <= len(self.data)]
+        if not len(at):
+            return None
+        magic, size = self._gather(at, "<u4"), self._gather(at + 4, "<u4")
+        fits = (size >= 8) & (at + size.astype(np.int64) <= len(self.data))
+        lists, records = at[(magic == LIST) & fits], at[(magic == OBJECT) & fits]
+        if len(records):
+            return pa.struct([pa.field(k, t) for k, t in self._nested_kinds(records, depth).items()])
+        if len(lists):
+            return pa.list_(pa.int64() if (self._gather(lists + 8, "u1") == INT).all() else pa.float64())
         return None
 
-    def _nested_kinds(self, at: int, depth: int) -> dict[str, pa.DataType]:
+    def _nested_kinds(self, at: np.ndarray, depth: int) -> dict[str, pa.DataType]:
         kinds = {INT: pa.int64(), FLOAT: pa.float64(), BOOL: pa.bool_(), TIME: pa.int64(), BINARY: pa.binary()}
         out = {}
+        places = self._positions(at, list(range(len(self.keys))))
         for slot, key in enumerate(self.keys):
-            inner = self._positions(np.array([at]), [slot])[slot]
-            if inner[0] >= 0:
+            inner = places[slot][places[slot] >= 0]
+            if len(inner):
                 out[key] = self._kind_at(inner, depth + 1) or kinds.get(self.sigils[slot], pa.string())
         return out
 

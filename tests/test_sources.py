@@ -46,6 +46,17 @@ def test_nested_and_lists():
     assert [{k: v for k, v in r.items() if k != "_rec"} for r in got] == rows
 
 
+def test_late_lists_and_nested_fields():
+    """What first comes after many records, or not in the first nested one, has its type too."""
+    schema = pa.schema([("id", pa.int64()), ("a", pa.struct([("b", pa.int64()), ("c", pa.string())])), ("c", pa.string()), ("longs", pa.list_(pa.int64()))])
+    rows = [{"id": i, "a": None, "c": None, "longs": None} for i in range(1500)]
+    rows[3]["a"], rows[4]["a"] = {"b": 1, "c": None}, {"b": None, "c": "x"}
+    rows += [{"id": wire.OBJECT, "a": {"b": 2, "c": "y"}, "c": "own", "longs": [7, 8]}]
+    assert [{k: v for k, v in r.items() if k != "_rec"} for r in _read(encode.encode_rows([pa.RecordBatch.from_pylist(rows, schema)], schema))] == rows
+    one = wire.wider_schema([pa.schema([("a", pa.string())]), pa.schema([("a", pa.list_(pa.int64())), ("z", pa.bool_())])])
+    assert one == pa.schema([("a", pa.list_(pa.int64())), ("z", pa.bool_())])
+
+
 def test_many_fields_and_unknown_keys():
     schema = pa.schema([(f"f{i}", pa.int64()) for i in range(30)])
     rows = [{f"f{i}": i * 100 for i in range(30) if (i + r) % 4} for r in range(9)]
