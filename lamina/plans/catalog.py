@@ -117,6 +117,9 @@ _query("q26_sum_i64", "select sum(user_id)::bigint total from events")(lambda s,
 _query("q26b_sum_i64_wrap", "select (((sum(event_id::hugeint * 4000000000000000) % 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808)::bigint total from events where event_id < 900")(
     lambda s, d: (df := events(s, d).df.filter("event_id < 900").select((F.col("event_id") * 4000000000000000).alias("big"))).agg(reducers.sum_i64(df, "big", "wrap").alias("total"))
 )
+_query("q26c_sum_i64_wrap_all", "select (((sum((event_id % 2000)::hugeint * 4000000000000000) % 18446744073709551616 + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808)::bigint total from events")(
+    lambda s, d: (df := events(s, d).df.select((F.col("event_id") % 2000 * 4000000000000000).alias("big"))).agg(reducers.sum_i64(df, "big", "wrap").alias("total"))
+)
 _query("q27_min_f64", "select min(value) least from events")(lambda s, d: events(s, d).reduce(least=("min_f64", "value")))
 _query("q28_max_f64", "select max(value) greatest from events")(lambda s, d: events(s, d).reduce(greatest=("max_f64", "value")))
 _query("q29_one_pass", "select round(sum(value), 2) total, sum(user_id)::bigint users, min(value) least, max(value) greatest from events")(
