@@ -6,7 +6,7 @@ is the anchors' hashes in the order of the text. Words longer than 16 characters
 without white space have anchors too.
 
 A text of fewer than two such windows' words (or without an anchor) has each word as an anchor; a null or empty text,
-or one of white space, has none. Two fingerprints without anchors are alike (1.0); one with and one without aren't (0.0). Null ids sort first;
+or one of white space, has none. A text of that few words is compared with a longer one by the words of both. Two fingerprints without anchors are alike (1.0); one with and one without aren't (0.0). Null ids sort first;
 equal ids go by text. Repeated rows are documents each. Other columns are ignored. No rows give no rows.
 """
 
@@ -67,6 +67,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
+def alike(a: Column, a_text: Column, b: Column, b_text: Column, k: int) -> Column:
+    """``likeness`` of two texts' anchors ``a`` and ``b``; of their words where only one has words as anchors."""
+    words = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit(_PART))
+    few = F.least(F.size(a), F.size(b)) < 2 * k
+    mixed = few & ((words(a_text) < 2 * k) != (words(b_text) < 2 * k))
+    return F.when(mixed, likeness(_hashes(a_text), _hashes(b_text))).otherwise(likeness(a, b))
+
+
 def _hash_anchors(text: Column, k: int) -> Column:
     return F.transform(anchors(text, k), lambda x: x["anchor"])
 
@@ -109,7 +117,7 @@ def compare(docs: DataFrame, *, k: int = 4, id_col: str = "doc_id", text_col: st
     pairs = with_next(plain, "doc_id", ["text", "anchors"])
     n = F.char_length("text")
     tail = F.floor(n / 4).cast("int")
-    edited = pairs.withColumn("edited", F.concat(F.left("text", n - tail), F.left("next_text", tail))).withColumn("n_chars", n.cast("long")).drop("text", "next_text")
+    edited = pairs.withColumn("edited", F.concat(F.left("text", n - tail), F.left("next_text", tail))).withColumn("n_chars", n.cast("long"))
     edited = edited.withColumn("edited_anchors", _hash_anchors(F.col("edited"), k))
     return edited.select(
         "doc_id",
@@ -117,6 +125,6 @@ def compare(docs: DataFrame, *, k: int = 4, id_col: str = "doc_id", text_col: st
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("anchors")).alias("fingerprint"),
         fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        alike(F.col("anchors"), F.col("text"), F.col("edited_anchors"), F.col("edited"), k).alias("near_edited"),
+        alike(F.col("anchors"), F.col("text"), F.col("next_anchors"), F.col("next_text"), k).alias("near_next"),
     )

@@ -166,6 +166,13 @@ def test_syncmers(spark, docs):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_syncmers_of_short_and_longer_texts(spark):
+    """Seven words and eight: the words of both are compared."""
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "q r s t u v w x y z")], "doc_id long, text string")
+    got = {r["doc_id"]: r["near_next"] for r in syncmers.compare(df).collect()}
+    assert got[1] == pytest.approx(14 / 15) and got[2] == 0.0
+
+
 def test_next_row_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "_RANGE_ROWS", 3)
     monkeypatch.setattr(syncmers, "_FINE", 4)
