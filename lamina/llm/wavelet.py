@@ -14,24 +14,31 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import ids_and_text, input_partitions, written
 
 _MAGIC = b"LWM1"
+#: Places or ids that one lookup may list.
+_MOST_ASKED = 100_000
 _BLOCK = 512
-#: Fixed value: how the byte-level tokenizers split a text before merging.
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space, letters and numbers among the Latin-1 characters, and how the byte-level tokenizers split a
+# text before merging.
+_SPACES, _LETTERS, _NUMBERS = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+#: Words whose ids a worker keeps.
+_KNOWN_WORDS = 500_000
 
 
 class WaveletMatrix:
@@ -116,6 +123,16 @@ class WaveletMatrix:
             i = low
         return i
 
+    def places(self, value: int) -> np.ndarray:
+        """All places of a value, ascending: its run at the lowest plane, led back plane by plane."""
+        start, end = self._span(value, self.n)
+        i = np.arange(start, end)
+        for level in range(len(self.zeros) - 1 if end > start else -1, -1, -1):
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            bit = value >> (len(self.zeros) - 1 - level) & 1
+            i = np.flatnonzero(one)[i - self.zeros[level]] if bit else np.flatnonzero(~one)[i]
+        return i
+
     def values(self) -> np.ndarray:
         """The whole sequence: the last plane's order is known from the counts, and each plane undoes a partition."""
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
@@ -166,9 +183,10 @@ def unpack(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
 
 
 class TextEncoder:
-    """The tokenizers library's ids of whole texts. For texts of Latin-1 characters without the string of an added
-    token, the same merges are run by tiktoken, which is several times as fast; that needs a byte-level model whose ids
-    ascend with its merges. All other texts, and all texts of other models, go to the library itself."""
+    """The tokenizers library's ids of whole texts. A byte-level model merges within words only, and a word by itself is
+    split no further; so texts of Latin-1 characters without the string of an added token are cut into words by the
+    model's pattern, and the library encodes each distinct word once. All other texts, and all texts of other models, go
+    to the library whole."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,46 +199,34 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = self._merges(spec)
-
-    @staticmethod
-    def _merges(spec: dict):
-        import tiktoken
-
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
-        plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer")
-        if not plain or model.get("ignore_merges") or model.get("dropout"):
-            return None
-        vocab = model["vocab"]
-        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        if made != sorted(made) or len(made) + 256 > len(vocab):
-            return None
-        # printable bytes stand for themselves, the others follow from 256 on
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-        return tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.by_words = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and bool(split.get("use_regex")) and not split.get("add_prefix_space") and not spec.get("normalizer") and not model.get("dropout")
+        self.words = re.compile(_PATTERN)
+        self.known: dict[str, bytes] = {}
 
     def _is_plain(self, text: str) -> bool:
-        if any(t in text for t in self.added):
+        if not self.by_words or any(t in text for t in self.added):
             return False
         try:
             return text.isascii() or bool(text.encode("latin-1"))
         except UnicodeEncodeError:
             return False
 
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        others = []
-        for i, text in enumerate(texts):
-            if self.fast is not None and self._is_plain(text):
-                out[i] = np.array(self.fast.encode_ordinary(text), dtype=self.kind).tobytes()
-            else:
-                others.append(i)
-        for i, e in zip(others, self.library.encode_batch_fast([texts[i] for i in others], add_special_tokens=False) if others else (), strict=True):
-            out[i] = np.array(e.ids, dtype=self.kind).tobytes()
-        return out
+        plain = [self._is_plain(t) for t in texts]
+        others = iter(self._encoded([t for t, p in zip(texts, plain, strict=True) if not p]))
+        words = [self.words.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        every = set(chain.from_iterable(words))
+        if len(self.known) > _KNOWN_WORDS:  # what these texts have again stays
+            self.known = {w: self.known[w] for w in every & self.known.keys()}
+        fresh = list(every.difference(self.known))
+        self.known.update(zip(fresh, self._encoded(fresh), strict=True))
+        return [b"".join(map(self.known.__getitem__, w)) if p else next(others) for w, p in zip(words, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -280,16 +286,75 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_col: st
     return written(dealt.mapInArrow(run, schema), "wavelet", compression="zstd")
 
 
+def _part_starts(shards: DataFrame) -> DataFrame:
+    """``part`` and ``part_start``, the ids of all parts before it. There is a part for each task that wrote."""
+    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+
+
+def _placed(shards: DataFrame) -> DataFrame:
+    """The shards with ``start``, the ids of all documents before a shard."""
+    return shards.join(_part_starts(shards), "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
+
+
+def _asked(what: list[int]) -> list[int]:
+    if len(what) > _MOST_ASKED:
+        raise ValueError(f"at most {_MOST_ASKED} at once")
+    return sorted(set(what))
+
+
+def tokens_at(shards: DataFrame, places: list[int]) -> DataFrame:
+    """``place`` and ``token`` for the given places in the sequence of all documents' ids (places outside give no row).
+    Files that hold none of them are not read beyond their numbers."""
+    wanted = np.array(_asked(places), dtype=np.int64)
+    listed = F.array(*(F.lit(int(p)) for p in wanted)).cast("array<long>")
+    hit = F.exists(listed, lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n_tokens"))) if len(wanted) <= 1000 else F.lit(True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, n, payload in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                own = wanted[(wanted >= start) & (wanted < start + n)]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(unpack(payload)[0].access(own - start))], names=["place", "token"])
+
+    return _placed(shards).filter(hit).select("start", "n_tokens", "payload").mapInArrow(run, "place long, token long")
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``token`` and ``n``: how often each of the given ids occurs, by rank in every file (0 where it doesn't)."""
+    wanted = _asked(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column(0).to_pylist():
+                m = unpack(payload)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([m.rank(t, m.n) for t in wanted], pa.int64())], names=["token", "n"])
+
+    counted = shards.select("payload").mapInArrow(run, "token long, n long")
+    every = shards.sparkSession.createDataFrame([(t, 0) for t in wanted], "token long, n long")
+    return counted.unionByName(every).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(shards: DataFrame, token: int, id_col: str = "doc_id") -> DataFrame:
+    """A row per occurrence of an id, by select in every file: the document, the place among its ids and ``place`` among
+    all documents' ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, payload in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                m, doc_ids, lengths = unpack(payload)
+                ends, found = np.cumsum(lengths), m.places(token)
+                doc = np.searchsorted(ends, found, side="right")
+                for k in range(0, len(found), 1 << 16):
+                    d, at = doc[k : k + (1 << 16)], found[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in d.tolist()], pa.int64()), pa.array(at - (ends - lengths)[d]), pa.array(at + start)], names=[id_col, "within", "place"])
+
+    return _placed(shards).select("start", "payload").mapInArrow(run, T.StructType([T.StructField(id_col, T.LongType()), T.StructField("within", T.LongType()), T.StructField("place", T.LongType())]))
+
+
 def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document, read back from the shards' files: its id, ``start`` (ids of all documents before it) and ``ids``
     (binary, little-endian unsigned 32-bit)."""
-    spark = shards.sparkSession
-    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row for each task that wrote
-    starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
-        total += n
-    at = spark.createDataFrame(starts, "part int, part_start long")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("within", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,4 +370,4 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[few], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(within[few] + before, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "part", "within", "ids"])
 
     rows = shards.select("part", "before", "payload").mapInArrow(run, schema)
-    return rows.join(F.broadcast(at), "part").select(id_col, (F.col("part_start") + F.col("within")).alias("start"), "ids")
+    return rows.join(_part_starts(shards), "part").select(id_col, (F.col("part_start") + F.col("within")).alias("start"), "ids")

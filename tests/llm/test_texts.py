@@ -83,6 +83,7 @@ def test_wavelet_units():
         for v in {*values[:5].tolist(), 3, 65_535}:
             places = np.flatnonzero(values == v)
             assert matrix.rank(v, n) == len(places) and matrix.rank(v, n // 2) == (places < n // 2).sum()
+            assert (matrix.places(v) == places).all()
             assert [matrix.select(v, k) for k in range(len(places))][:20] == places[:20].tolist() and matrix.select(v, len(places)) == -1
     with pytest.raises(ValueError, match="no wavelet"):
         wavelet.unpack(b"nothing like it")
@@ -103,6 +104,39 @@ def test_wavelet_tables(docs):
     assert got == want
 
 
+def test_wavelet_lookups(docs):
+    """Access, counts and occurrences from the files, against the decoded sequence."""
+    shards = wavelet.write_shards(docs, JSON, partitions=3, shard_tokens=5000)
+    rows = sorted(wavelet.read_documents(shards).collect(), key=lambda r: r["start"])
+    every = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows])
+    places = [0, 1, 77, len(every) // 2, len(every) - 1, len(every), -4]
+    assert {r["place"]: r["token"] for r in wavelet.tokens_at(shards, places).collect()} == {p: every[p] for p in places[:5]}
+    assert wavelet.tokens_at(shards, list(range(2000))).count() == 2000
+    frequent, absent = int(np.bincount(every).argmax()), 49_999
+    assert {r["token"]: r["n"] for r in wavelet.count_tokens(shards, [0, frequent, absent]).collect()} == {0: len(rows), frequent: int((every == frequent).sum()), absent: int((every == absent).sum())}
+    found = wavelet.occurrences(shards, frequent).collect()
+    assert sorted(r["place"] for r in found) == np.flatnonzero(every == frequent).tolist()
+    starts = {(r["doc_id"], r["start"]) for r in rows}
+    assert all((r["doc_id"], r["place"] - r["within"]) in starts for r in found)
+    assert wavelet.occurrences(shards, 1 << 20).count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        wavelet.tokens_at(shards, list(range(100_001)))
+
+
+def test_text_encoder():
+    """Word by word against whole texts, on strings of the pattern's own cases and on very long white space."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(JSON), wavelet.TextEncoder(JSON, "<u4")
+    rng = random.Random(8)
+    latin = [chr(c) for c in range(256)]
+    texts = ["".join(rng.choice("ab'strevmld  \n\t\r12²¼é.,-\x85\xa0\x1c" if rng.random() < 0.9 else latin) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += [t or "" for _, t in ROWS] + ["x" + " " * 1_500_000, "\n" * 1_500_000 + "y", "a" * 50_000]
+    got = own.encode(texts)
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(np.frombuffer(g, "<u4").tolist() == w.ids for g, w in zip(got, want, strict=True))
+
+
 def test_differencing():
     rng = random.Random(1)
     for _ in range(50):
