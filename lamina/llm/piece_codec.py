@@ -5,6 +5,12 @@ independently. The distinct words of a batch lie in flat numpy arrays of symbols
 minimum, the best-ranked pair of every word, merges its leftmost occurrences at once and closes the gaps; words with
 no pair left are done. Words met before come from a bounded cache of the worker.
 
+Long words are cut, first where nothing can merge, then into parts of equal length. The parts of all words go through
+the rounds together, and their results are joined: a sequence of tokens is what the rounds give for the whole if each two
+neighbours stay as they are when the rounds run on these two alone (no merge can then be the first to cross a seam).
+Where two at a seam don't, the tokens around it go through the rounds again, ever more of them until their ends fit. So
+the work is about linear in a word's length.
+
 A merge can make a pair better than its own (say "th"+"e" after "t"+"h"): for such pieces only the leftmost
 occurrence is merged in a round, for all others every leftmost non-overlapping one, which is the library's order.
 
@@ -31,8 +37,11 @@ SPACE = "▁"
 _NEVER = np.iinfo(np.int32).max
 #: Marks a word that follows a line feed and so has no space before it.
 _GLUED = "\x01"
-#: Words of more characters are cut where that is safe.
+#: Words of more characters are cut where nothing can merge, and what is longer still into parts of ``_PART``.
 _LONG = 64
+_PART = 256
+#: Seams whose fit a worker remembers.
+_SEAMS = 200_000
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -120,6 +129,10 @@ class PieceCodec:
         self.starts_with_space = [k == self.NORMAL and p.startswith(SPACE) for p, k in zip(pieces, self.kinds, strict=True)]
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
+        self.length_of = np.ones(self.width, dtype=np.int64)  # characters of a symbol
+        for p, i in normal.items():
+            self.length_of[i] = len(p)
+        self.seams: dict[tuple[str, str], bool] = {}
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == self.BYTE:
@@ -214,6 +227,52 @@ class PieceCodec:
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
         return [word[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
 
+    def _tokens(self, parts: list[str]) -> list[list[str]]:
+        """The strings that the rounds leave of each part."""
+        symbols, starts = self.merge_rounds(parts)
+        out = []
+        for part, a, z in zip(parts, starts.tolist(), starts[1:].tolist(), strict=False):
+            ends = np.cumsum(self.length_of[symbols[a:z]]).tolist()
+            out.append([part[x:y] for x, y in zip([0, *ends], ends, strict=False)])
+        return out
+
+    def _fit(self, pairs: list[tuple[str, str]]) -> list[bool]:
+        """Whether two neighbouring tokens stay as they are."""
+        if len(self.seams) > _SEAMS:
+            self.seams.clear()
+        fresh = list(set(pairs).difference(self.seams))
+        if fresh:
+            self.seams.update((pair, len(t) == 2 and t[0] == pair[0]) for pair, t in zip(fresh, self._tokens([a + b for a, b in fresh]), strict=True))
+        return [self.seams[p] for p in pairs]
+
+    def _seamless(self, segments: list[str]) -> dict[str, list[str]]:
+        """The tokens of long segments."""
+        cut = {s: [s[k : k + _PART] for k in range(0, len(s), _PART)] for s in segments}
+        kinds = list(set(chain.from_iterable(cut.values())))
+        tokens = dict(zip(kinds, self._tokens(kinds), strict=True)) if kinds else {}
+        self._fit([(tokens[a][-1], tokens[b][0]) for parts in cut.values() for a, b in zip(parts, parts[1:], strict=False)])  # all at once
+        joined, met = {}, {}
+        for s, parts in cut.items():
+            out: list[str] = []
+            for part in parts:
+                right, near = tokens[part], 8
+                if not out or self._fit([(out[-1], right[0])])[0]:
+                    out += right
+                    continue
+                while True:
+                    k, j = min(near, len(out)), min(near, len(right))
+                    around = "".join(out[-k:] + right[:j])
+                    if around not in met:
+                        met[around] = self._tokens([around])[0]
+                    again = met[around]
+                    before, after = out[max(0, len(out) - k - 1) : len(out) - k], right[j : j + 1]
+                    if all(self._fit([(a, again[0]) for a in before] + [(again[-1], b) for b in after])):
+                        out[-k:] = again + right[j:]
+                        break
+                    near *= 2
+            joined[s] = out
+        return joined
+
     def _words(self, text: str) -> list[str]:
         """Keys of the words: the word without its space, or marked if there is none, or whole from its space symbol."""
         if not text:
@@ -251,11 +310,18 @@ class PieceCodec:
             part = fresh[k : k + 20_000]
             words = [w[1:] if w[:1] == _GLUED else w if w[:1] == SPACE else SPACE + w.replace(" ", SPACE) for w in part]
             segments = [self._segments(w) for w in words]
+            long = self._seamless(list({s for own in segments for s in own if len(s) > _PART}))
+            if long:  # their tokens stay what they are in the rounds
+                segments = [[t for s in own for t in long.get(s, (s,))] for own in segments]
             flat = list(chain.from_iterable(segments))
             ids = iter(self._ids([w.replace(SPACE, " ") for w in flat], *self.merge_rounds(flat)))
             cache.update((key, b"".join(next(ids) for _ in s)) for key, s in zip(part, segments, strict=True))
         tail = np.array([self.end], dtype="<i4").tobytes() if end else b""
-        return [np.frombuffer(b"".join(map(cache.__getitem__, k)) + tail, dtype="<i4") for k in keys]
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, k)) + tail, dtype="<i4") for k in keys]
+        for w in fresh:
+            if len(w) > _PART:  # long words are rare and large: not kept
+                del cache[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of the ids."""

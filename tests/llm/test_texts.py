@@ -64,6 +64,25 @@ def test_piece_codec_units():
     assert [own.decode(b) for b in broken] == [library.decode(b) for b in broken]
 
 
+def test_piece_codec_long_words():
+    """Words of many parts: as the library's, in a time that is about linear in their length."""
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("a", "ab", "the", "aeiou", "=-", "0123456789", " ", " a", "é日x", "thinge r", "xyz▁\x01\n") for n in (255, 256, 257, 700, 3001)]
+    texts += [w * n for w in ("the", "ing", "banana", "=", "abcde", "nation") for n in (100, 999, 4000)] + ["".join(sorted("thequickbrownfox" * 300))]
+    own = piece_codec.PieceCodec(MODEL)
+    assert [g.tolist() for g in own.encode(texts)] == library.encode(texts)
+    assert not any(len(k) > 256 for k in own.cache)
+    for text in ("the" * 100_000, " " * 100_000):
+        start = time.process_time()
+        assert own.encode([text])[0].tolist() == library.encode(text)
+        assert time.process_time() - start < 5  # about 0.1 here
+
+
 def test_piece_codec_tables(docs):
     import sentencepiece
 
