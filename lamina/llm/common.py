@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,18 @@ def released(spark: SparkSession) -> None:
     garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def slices(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes of text, or ids of lists, each; one row at least."""
+    import pyarrow.compute as pc
+
+    start = held = 0
+    for i, n in enumerate((pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length)(values).to_pylist()):
+        if held and held + (n or 0) > most:
+            yield start, i
+            start = i
+            held = 0
+        held += n or 0
+    if start < len(values):
+        yield start, len(values)

@@ -5,8 +5,9 @@ before and after it; two transition weights tie neighbours. Trained on lines tha
 gradient ascent on the likelihood that the forward-backward recursion gives. A document's quality is the mean of its
 lines' marginals, weighted by length, put on a scale by a logistic fit on the same sample.
 
-Training reads a bounded sample of labelled rows: at most ``sample`` documents, the first by a hash of the id, and at
-most ``sample_lines`` lines of each (their middle in even steps). Scoring reads every line of every document.
+Training reads a bounded sample of labelled rows: of at most ``sample`` documents, the first by a hash of the id, all
+lines, as windows of at most ``window`` lines in a row, of which the first ``sample`` * 4 by a hash are fitted. A window is
+a chain of its own, so no two lines count as neighbours that aren't. Scoring reads every line of every document.
 
 A null or empty text is one empty line and has a score as well. Null ids and repeated rows are scored each. Labels
 without a quality, and labels of no document, don't count; of several labels of one document the least does. Without
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ids_and_text
+from lamina.llm.common import ids_and_text, slices
 
 #: Kinds of bytes, by their characters; bytes of longer characters are the last kind.
 _KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\f\v", ".,;:'\"-()?", "!", "|", "#$%&*+=", "<>@^_~\\/{}[]`"]
@@ -34,6 +35,8 @@ for _k, _chars in enumerate(_KINDS):
     _KIND_OF[[ord(c) for c in _chars]] = _k
 _OWN = len(_KINDS) + 1 + 5
 N_FEATURES = 3 * _OWN
+#: Bytes of texts (one at least) whose lines are looked at together.
+_SLICE_BYTES = 256 << 10
 _WEIGHT = np.random.default_rng(5).integers(1, 1 << 62, size=(256,), dtype=np.uint64) | np.uint64(1)
 
 
@@ -215,27 +218,29 @@ def train(sequences: list[np.ndarray], sizes: list[np.ndarray], labels: list[int
     return crf
 
 
-def fit(docs: DataFrame, labels: DataFrame, kept: Column, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_lines: int = 200) -> LineCRF | None:
+def fit(docs: DataFrame, labels: DataFrame, kept: Column, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, window: int = 200) -> LineCRF | None:
     """Fits on labelled documents for which ``kept`` (a condition on the label's id) holds."""
     known = labels.filter(kept & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     some = known.orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(sample)
     plain = ids_and_text(docs, id_col, text_col)
     picked = plain.join(F.broadcast(some), id_col).select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label"), F.col(id_col).cast("long").alias("id"))
+    arrow = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("label", pa.int32()), ("x", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 128):
-                rows = b.slice(k, 128)
-                if not len(rows):
-                    continue
+            for start, stop in slices(b.column(0), _SLICE_BYTES):
+                rows = b.slice(start, stop - start)
                 x, sizes, first = features(rows.column(0).to_pylist())
                 out = []
                 for a, z, label, i in zip(first[:-1].tolist(), first[1:].tolist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
-                    take = np.unique(np.linspace(a, z - 1, min(z - a, sample_lines)).astype(int))
-                    out.append({"id": i, "label": label, "x": x[take].astype("<f4").tobytes(), "sizes": sizes[take].astype("<i8").tobytes()})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("label", pa.int32()), ("x", pa.binary()), ("sizes", pa.binary())]))
+                    for k in range(a, z, window):
+                        end = min(z, k + window)
+                        out.append({"id": i, "at": (k - a) // window, "label": label, "x": x[k:end].astype("<f4").tobytes(), "sizes": sizes[k:end].astype("<i8").tobytes()})
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    rows = sorted(picked.mapInArrow(run, "id long, label int, x binary, sizes binary").collect(), key=lambda r: (r["id"], r["x"]))  # at most ``sample`` documents
+    windows = picked.mapInArrow(run, "id long, at int, label int, x binary, sizes binary")
+    rows = windows.orderBy(F.xxhash64(F.lit(11), "id", "at"), "id", "at", "x").limit(4 * sample).collect()
+    rows.sort(key=lambda r: (r["id"], r["at"], r["x"]))
     if not rows:
         return None
     return train([np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in rows], [np.frombuffer(r["sizes"], "<i8") for r in rows], [r["label"] for r in rows])
@@ -251,10 +256,9 @@ def score(docs: DataFrame, crf: LineCRF | None, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 128):
-                rows = b.slice(k, 128)
-                if len(rows):
-                    found = pa.array(crf.score(rows.column(len(others)).to_pylist()), pa.float64())
-                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(others))), found], names=[*others, into])
+            for start, stop in slices(b.column(len(others)), _SLICE_BYTES):
+                rows = b.slice(start, stop - start)
+                found = pa.array(crf.score(rows.column(len(others)).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(others))), found], names=[*others, into])
 
     return plain.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lamina.llm.common import ids_and_text
+from lamina.llm.common import ids_and_text, slices
 
 SPACE = "▁"
 _NEVER = np.iinfo(np.int32).max
@@ -372,21 +372,6 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _slices(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes of text, or ids of lists, each; one row at least."""
-    import pyarrow.compute as pc
-
-    start = held = 0
-    for i, n in enumerate((pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length)(values).to_pylist()):
-        if held and held + (n or 0) > most:
-            yield start, i
-            start = i
-            held = 0
-        held += n or 0
-    if start < len(values):
-        yield start, len(values)
-
-
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
     """Per row: the id and ``ids`` (array<int>) of the whole text, with the end id after it if ``end``."""
     plain = ids_and_text(docs, id_col, text_col)
@@ -394,7 +379,7 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, stop in _slices(b.column(1), slice_bytes):
+            for start, stop in slices(b.column(1), slice_bytes):
                 found = codec(model).encode(b.column(1).slice(start, stop - start).to_pylist(), end)
                 offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
                 flat = pa.array(np.concatenate(found).astype(np.int32, copy=False))
@@ -412,7 +397,7 @@ def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", into: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = b.column(b.schema.get_field_index(ids_col))
-            for start, stop in _slices(held, slice_ids):
+            for start, stop in slices(held, slice_ids):
                 part = held.slice(start, stop - start)
                 flat, ends = part.flatten().to_numpy(zero_copy_only=False), np.cumsum([len(x) if x.is_valid else 0 for x in part])
                 texts = [codec(model).decode(flat[a:z].tolist()) for a, z in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]

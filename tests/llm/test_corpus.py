@@ -217,6 +217,46 @@ def test_quality(spark):
     assert line_crf.fit(docs, labels.limit(0), fold != 0) is None and line_crf.score(docs.limit(3), None).filter("score = 0.5").count() == 3
 
 
+def test_quality_scores_by_definition(spark):
+    """Each document's score from sums over labelings kept as two-by-two products, without messages."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    crf = line_crf.fit(docs, labels, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r["score"] for r in line_crf.score(docs, crf).select("doc_id", "score").collect()}
+    step = np.exp([[crf.bad, 0.0], [0.0, crf.good]])
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        x, sizes, _ = line_crf.features([r["text"]])
+        own = [np.diag([1.0, math.exp(z)]) for z in np.clip(x @ crf.weights + crf.bias, -30, 30)]
+        total = share = 0.0
+        for t in range(len(own)):
+            left = right = np.ones(2)
+            for a in own[:t]:
+                left = (left @ a) @ step
+                left = left / left.sum()
+            for a in own[:t:-1]:
+                right = step @ (a @ right)
+                right = right / right.sum()
+            both = left * np.diag(own[t]) * right
+            share += both[1] / both.sum() * (sizes[t] + 1)
+            total += sizes[t] + 1
+        mean = min(max(share / total, 1e-6), 1 - 1e-6)
+        want = 1 / (1 + math.exp(-min(max(crf.scale * math.log(mean / (1 - mean)) + crf.shift, -50), 50)))
+        assert got[r["doc_id"]] == pytest.approx(want, abs=1e-5)
+
+
+def test_quality_trains_on_lines_in_a_row(spark, monkeypatch):
+    """All lines of a long text, in windows of neighbours; labels decide, ids without text don't."""
+    seen = {}
+    monkeypatch.setattr(line_crf, "train", lambda x, sizes, labels: seen.update(x=x, sizes=sizes, labels=labels))
+    lines = [f"line {'x' * (i % 37)} {i}" for i in range(1000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "short"), (3, None), (4, "unlabelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (99, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    line_crf.fit(docs, labels, F.lit(True), window=150)
+    assert [len(x) for x in seen["sizes"]] == [150] * 6 + [100, 1, 1] and seen["labels"] == [1] * 7 + [0, 0]
+    assert np.concatenate(seen["sizes"][:7]).tolist() == [len(x) for x in lines]
+    want = line_crf.features(["\n".join(lines)])[0]
+    assert np.array_equal(np.concatenate(seen["x"][:7]), want.astype("<f4"))
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "_BLOCK", 128)
     rng = np.random.default_rng(6)
