@@ -3,14 +3,17 @@
 Law ``bytes``: rows with equal texts form a group that stays together, and the shards' sizes come out near equal. A
 partial partition is 16 (or any number of) sums with the groups behind each. The two with the largest spread are
 combined, the largest sum of one with the smallest of the other, until one is left. Groups are dealt to buckets by
-their key and each bucket is differenced in a task of its own; the buckets' results, a few sums each, are partial
-partitions again and are differenced on the driver (at most ``_MOST_BUCKETS`` of them).
+their key and each bucket is differenced in a task of its own. The buckets' results, a few sums each, are partial
+partitions again: as long as there are more than ``_FAN`` of them, every ``_FAN`` are differenced in one task of the next
+level, and the last ones on the driver. So no task and not the driver holds more than ``_FAN`` results, at any size.
 
-A group larger than a whole fair shard can't stay together in near-equal shards: only such groups (fewer than the
-shards) are split by a hash of the document id, into pieces of an eighth of a shard.
+A group larger than a whole fair shard can't stay together in near-equal shards: by default only such groups (fewer than
+the shards) are split by a hash of the document id, into pieces of an eighth of a shard; with ``whole=True`` they stay
+together as well, and their shards are as much larger.
 
 The size of a row is its text's UTF-8 bytes plus 1, so a null text (as an empty one) counts 1. Null ids are allowed;
-repeated rows are rows each. Slots number a shard's rows without gaps. Other columns are ignored. No rows give none.
+repeated rows are rows each. Ties: equal sizes are taken in the order of the texts' hashes, and slots follow the id, then
+the text's hash. Slots number a shard's rows without gaps. Other columns are ignored. No rows give none.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import written
 
 _BUCKET_GROUPS = 2048
-_MOST_BUCKETS = 4096
+#: Buckets whose results one task (or the driver, at the end) takes together.
+_FAN = 256
 _SLOT_ROWS = 2048
 
 
@@ -64,19 +68,52 @@ def difference(partials: list[list[tuple[int, int]]], shards: int) -> list[int]:
     return shard_of
 
 
-def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _levels(labelled: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """The shard of each ``bucket`` and ``label``, from a row per bucket and label (``bytes``)."""
+    spark = labelled.sparkSession
+    sums = labelled.groupBy("bucket", "label").agg(F.sum("bytes").alias("bytes"))
+    steps = []  # each leads from the labels of one level to those of the next
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("label", "ascending")])
+        bucket, size = table.column("bucket").to_pylist(), table.column("bytes").to_pylist()
+        return table.append_column("above", pa.array(_joined(bucket, size, shards), pa.int32()))
+
+    while buckets > _FAN:
+        buckets = -(-buckets // _FAN)
+        above = sums.withColumn("over", F.col("bucket") % buckets).groupBy("over").applyInArrow(run, "bucket long, label int, bytes long, over long, above int")
+        above = written(above, "level")
+        steps.append(above)
+        sums = above.groupBy(F.col("over").alias("bucket"), F.col("above").alias("label")).agg(F.sum("bytes").alias("bytes"))
+    last = sums.orderBy("bucket", "label").collect()  # at most _FAN * shards rows
+    found = _joined([r["bucket"] for r in last], [r["bytes"] for r in last], shards)
+    at = spark.createDataFrame([(r["bucket"], r["label"], s) for r, s in zip(last, found, strict=True)], "bucket long, label int, shard int")
+    for above in reversed(steps):
+        upper = at.select(F.col("bucket").alias("over"), F.col("label").alias("above"), "shard")
+        at = above.join(upper, ["over", "above"]).select("bucket", "label", "shard")
+    return at
+
+
+def _joined(bucket: list[int], size: list[int], shards: int) -> list[int]:
+    """``difference`` over rows of sums, those of one bucket being a partial partition."""
+    partials: dict[int, list[tuple[int, int]]] = {}
+    for i, (b, s) in enumerate(zip(bucket, size, strict=True)):
+        partials.setdefault(b, []).append((s, i))
+    return difference(list(partials.values()), shards)
+
+
+def shard(docs: DataFrame, shards: int = 16, *, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``size``, ``text_crc32``, ``law`` ("bytes"), ``shard`` and ``slot`` (gapless from 0)."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"))
     rows = written(rows, "rows")
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     n_rows, total = rows.agg(F.count("*"), F.sum("size")).first()
     fair = max(1, (total or 0) // shards)
-    large = groups.filter(F.col("bytes") > fair).select("key", F.ceil(F.col("bytes") * 8 / fair).alias("pieces"))  # fewer rows than shards
+    large = groups.filter((F.col("bytes") > fair) & F.lit(not whole)).select("key", F.ceil(F.col("bytes") * 8 / fair).alias("pieces"))  # fewer rows than shards
     rows = rows.join(F.broadcast(large), "key", "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), "pieces"))).drop("pieces")
     items = rows.groupBy("key", "piece").agg(F.sum("size").alias("bytes"))
-    buckets = min(_MOST_BUCKETS, max(1, -(-(n_rows or 0) // _BUCKET_GROUPS)))
+    buckets = max(1, -(-(n_rows or 0) // _BUCKET_GROUPS))
     items = items.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)))
     schema = "bucket long, key binary, piece long, bytes long, label int"
 
@@ -87,13 +124,8 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
 
     labelled = items.select("bucket", "key", F.col("piece").cast("long").alias("piece"), "bytes").groupBy("bucket").applyInArrow(run, schema)
     labelled = written(labelled, "labelled")
-    sums = labelled.groupBy("bucket", "label").agg(F.sum("bytes").alias("bytes")).orderBy("bucket", "label").collect()  # at most _MOST_BUCKETS * shards rows
-    partials: dict[int, list[tuple[int, int]]] = {}
-    for i, (bucket, _, size) in enumerate(sums):
-        partials.setdefault(bucket, []).append((size, i))
-    found = difference(list(partials.values()), shards)
-    at = spark.createDataFrame([(b, x, s) for (b, x, _), s in zip(sums, found, strict=True)], "bucket long, label int, shard int")
-    placed = labelled.join(F.broadcast(at), ["bucket", "label"]).select("key", "piece", "shard")
+    at = _levels(labelled, buckets, shards)
+    placed = labelled.join(at, ["bucket", "label"]).select("key", "piece", "shard")
     rows = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "key", "shard")
 
     parts = max(1, (n_rows or 0) // (shards * _SLOT_ROWS))

@@ -167,6 +167,48 @@ def test_differencing():
     assert sorted(sum(s for s, f in zip([8, 7, 6, 5, 4], found) if f == k) for k in (0, 1)) == [14, 16]
 
 
+def _differenced(sizes: list[int], shards: int) -> list[int]:
+    """Largest differencing method on tuples of sums, by sorting all of them at every step; the sums it ends with."""
+    parts = [[s] + [0] * (shards - 1) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p) - min(p))
+        a, b = parts.pop(), parts.pop()
+        parts.append([x + y for x, y in zip(sorted(a), sorted(b, reverse=True))])
+    return sorted(parts[0])
+
+
+def test_differencing_by_definition(spark):
+    rng = random.Random(2)
+    for shards in (2, 3, 16):
+        sizes = rng.sample(range(1, 10**9), 100)  # no ties, which may be taken in any order
+        found = sharding.difference([[(s, i)] for i, s in enumerate(sizes)], shards)
+        assert sorted(sum(s for s, f in zip(sizes, found) if f == k) for k in range(shards)) == _differenced(sizes, shards)
+    rows = [(i, "x" * n) for i, n in enumerate(rng.sample(range(1, 4000), 300))]
+    sums = [0] * 5
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect():
+        sums[r["shard"]] += r["size"]
+    assert sorted(sums) == _differenced([len(t) + 1 for _, t in rows], 5)
+
+
+def test_sharding_over_levels(spark, monkeypatch):
+    """Buckets of five groups, differenced three at a time over several levels; whole groups if asked for."""
+    monkeypatch.setattr(sharding, "_BUCKET_GROUPS", 5)
+    monkeypatch.setattr(sharding, "_FAN", 3)
+    rng = random.Random(5)
+    rows = [(i, f"{i}" * rng.randint(1, 200)) for i in range(400)] + [(1000 + i, "hot") for i in range(50)] + [(2000 + i, "large" * 500) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for whole in (False, True):
+        got = sharding.shard(df, 4, whole=whole).collect()
+        assert len(got) == len(rows)
+        sums, where = [0] * 4, {}
+        for r in got:
+            sums[r["shard"]] += r["size"]
+            where.setdefault(dict(rows)[r["doc_id"]], set()).add(r["shard"])
+        assert (len(where["large" * 500]) == 1) == whole and len(where["hot"]) == 1
+        rest = sorted(sums)[:-1] if whole else sums
+        assert max(rest) - min(rest) < 0.1 * sum(rest) / len(rest)
+
+
 def test_sharding_tables(spark, docs):
     got = sharding.shard(docs, 3).collect()
     assert _by_id((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == _by_id((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ROWS)
