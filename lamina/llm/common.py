@@ -77,3 +77,12 @@ def slices(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         held += n or 0
     if start < len(values):
         yield start, len(values)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name

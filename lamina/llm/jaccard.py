@@ -42,6 +42,8 @@ _BLOCK_SHINGLES = 4 << 20
 _BLOCK_SETS = 256
 #: Size of the bit map that picks the texts to read again: 16 MB.
 _MOST_BITS = 1 << 27
+#: A pattern that texts with words match.
+HAS_WORD = r"[^\x20\x09-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,10 +197,10 @@ def _joined(classes: list[int], sets: list[np.ndarray], blocks: list[int], perce
     return [(classes[i], classes[root(i)]) for i in range(len(classes)) if root(i) != i]
 
 
-def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False) -> DataFrame:
     """Per row: the id, ``n_shingles`` (size of its set), ``class_id`` (of equal sets; null for the empty one) and
     ``component_id``: the least id that links of at least ``percent`` / 100 Jaccard similarity reach, itself included.
-    ``percent``: above 75."""
+    ``percent``: above 75. With ``text_key``, the MD5 of the text (null: empty) too, which tells rows of one id apart."""
     if not 75 < percent <= 100:
         raise ValueError("percent must be above 75 and at most 100")
     plain = ids_and_text(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -211,7 +213,19 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
                 sets = shingler.sets(rows.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class_id"])
 
-    known = written(plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long"), "shingled")
+    def read_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(2)
+            start = 0
+            for found in read(iter([b])):
+                yield found.append_column("text_key", keys.slice(start, len(found)))
+                start += len(found)
+
+    if text_key:
+        known = plain.withColumn("text_key", F.md5("text")).mapInArrow(read_keyed, "doc_id long, n_shingles long, class_id long, text_key string")
+    else:
+        known = plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long")
+    known = written(known, "shingled")
     firsts = known.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
     firsts = written(firsts, "firsts")
 
@@ -282,7 +296,8 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
     linked = found.join(least, "root").select("class_id", "component_id")
     of_class = firsts.join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     of_class = written(of_class, "of_class")  # as above, for a class of very many copies
-    return known.join(of_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id")]
+    return known.join(of_class, "class_id", "left").select(*columns, *(["text_key"] if text_key else []))
 
 
 def _wanted(active: DataFrame) -> tuple[int, np.ndarray]:

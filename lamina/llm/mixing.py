@@ -134,14 +134,31 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     bases = bases.withColumn("base", F.sum("words").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("words")).drop("words")
     inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size")
     placed = placed.withColumn("row_no", F.row_number().over(inside)).withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    placed = written(placed.join(bases, ["source_no", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("base"), "placed")
+    placed = written(placed.join(bases.hint("merge"), ["source_no", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("base"), "placed")
 
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     spans = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
     row_key = ["source_no", "chunk", "row_no"]
-    taken = spans.select(*row_key, "block", overlap.alias("overlap")).join(times, ["source_no", "block"]).groupBy(*row_key).agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
-    documents = placed.join(taken, row_key, "left").select(
+    # neither side is small where the other is, so none is to be broadcast
+    taken = spans.select(*row_key, "block", overlap.alias("overlap")).join(times.hint("merge"), ["source_no", "block"]).groupBy(*row_key).agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    documents = placed.join(taken.hint("merge"), row_key, "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.struct(*row_key).alias("row_key")
     )
     return Mix(documents, slots, sources)
+
+
+def copies(documents: DataFrame) -> DataFrame:
+    """A mix's documents with ``copies``: how often each comes if only whole documents can. ``taken`` over ``size``
+    times, a fraction being rounded so that the copies of the documents up to any one, in the order of the source's
+    chunks and of sizes within a chunk, come to the sum of their shares, less than one apart."""
+    row = documents.select("*", "row_key.*").withColumn("often", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
+    # in whole millionths, so that sums don't depend on their order
+    row = row.withColumn("part", F.round((F.col("often") - F.floor("often")) * 1_000_000).cast("long"))
+    bases = row.groupBy("source_no", "chunk").agg(F.sum("part").alias("parts"))
+    bases = bases.withColumn("base", F.sum("parts").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("parts")).drop("parts")
+    inside = Window.partitionBy("source_no", "chunk").orderBy("size", "row_no")
+    row = row.withColumn("upto", F.sum("part").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(bases.hint("merge"), ["source_no", "chunk"])
+    upto = F.col("upto") + F.col("base") + 500_000
+    more = F.floor(upto / 1_000_000) - F.floor((upto - F.col("part")) / 1_000_000)
+    return row.withColumn("copies", (F.floor("often") + more).cast("long")).select(*documents.columns, "copies")

@@ -1,11 +1,13 @@
 """Mixing, language model, near duplicates, quality, neighbours and the pipeline: brute force on small tables."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -333,15 +335,60 @@ def test_pipeline_stages(spark):
     second = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert second == {int(i) for i, _, c in _linked(rows, 5, 80) if i == c}
     third = corpus_pipeline.mixture(spark, docs, SF)
-    assert third.columns == docs.columns and third.groupBy("doc_id").count().filter("count > 2").count() == 0
-    words, want = Counter(), Counter()
+    assert third.columns == docs.columns
+    words, copies, want, sizes = Counter(), Counter(), Counter(), {}
     for r in docs.collect():
-        want[r["source"]] += len(r["text"].split())
+        sizes[r["doc_id"]] = len(r["text"].split())
+        want[r["source"]] += sizes[r["doc_id"]]
     for r in third.collect():
-        words[r["source"]] += len(r["text"].split())
-    assert sum(words.values()) == pytest.approx(1.5 * sum(want.values()), rel=0.2)
-    fourth = corpus_pipeline.tokens(spark, third, SF)
-    assert fourth.count() == third.count() and fourth.filter("n_tokens < 1").count() == 0
+        words[r["source"]] += sizes[r["doc_id"]]
+        copies[r["doc_id"]] += 1
+    assert all(c <= 2 for c in copies.values())
+    for source, target in _targets(dict(want)).items():  # within the words of a block and of one document
+        longest = max(sizes[r["doc_id"]] for r in docs.filter(F.col("source") == source).collect())
+        assert abs(words[source] - target) <= 65 + longest
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    fourth = corpus_pipeline.tokens(spark, third, SF).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert Counter(r["doc_id"] for r in fourth) == copies
+    for r in fourth[:100]:
+        ids = library.encode(text[r["doc_id"]], add_eos=True)
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+_CLASH = ["_score", "_key", "_n", "_share", "_id", "_rows", "class_id", "component_id", "n_shingles", "size", "taken", "copies", "chunk", "row_no", "source_no", "ids", "KEY", "_of", "_stay_id"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_stages_on_odd_rows(spark, stage):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    name, run = corpus_pipeline.STAGES[stage]
+    copy = " ".join(f"word{i}" for i in range(40))
+    rows = [(3, copy, "a"), (7, copy, "b"), (7, "quite another text of a few words", None), (7, "quite another text of a few words", None), (8, None, "a"), (8, "", "a"), (9, " \n", None), (9, " \n", None), (None, copy, "a"), (None, "no id here", "b"), (None, "no id here", "b"), (3, copy + " end", "a"), (10, "long words " * 30_000, "c")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in _CLASH}).repartition(3)
+    got = run(spark, df, SF).collect()
+    assert run(spark, df.limit(0), SF).collect() == []
+    if stage == 3:
+        assert len(got) == len(rows) and sorted(r["n_tokens"] for r in got)[:2] == [1, 1]
+        return
+    assert all(r[c] == f"own {c}" for r in got for c in _CLASH) and set(got[0].asDict()) == set(df.columns)
+    found = Counter((r["doc_id"], r["text"]) for r in got)
+    if stage == 0:
+        assert set(found) <= {(i, t) for i, t, _ in rows}
+    elif stage == 1:
+        groups = [{(3, copy), (3, copy + " end")}, {(7, "quite another text of a few words")}, {(None, "no id here")}, {(10, "long words " * 30_000)}]
+        assert all(sum(found[x] for x in g) == 1 for g in groups)
+        assert found[8, None] == found[8, ""] == 1 and found[9, " \n"] == 2 and sum(found.values()) == 8
+    else:
+        words, sizes = Counter(), Counter()
+        for _, t, s in rows:
+            sizes[s] += len((t or "").split())
+        for r in got:
+            words[r["source"]] += len(r["text"].split())
+        target = _targets(dict(sizes))
+        assert all(abs(words[s] - target[s]) <= 65 + max([len((t or "").split()) for _, t, x in rows if x == s]) for s in sizes)
 
 
 def test_pipeline_runs(spark):
