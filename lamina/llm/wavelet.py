@@ -32,6 +32,8 @@ from lamina.llm.common import ids_and_text, input_partitions, written
 _MAGIC = b"LWM1"
 #: Places or ids that one lookup may list.
 _MOST_ASKED = 100_000
+#: Starts of parts (16 bytes each) that are sent to all tasks.
+_MOST_SENT = 1 << 18
 _BLOCK = 512
 # White space, letters and numbers among the Latin-1 characters, and how the byte-level tokenizers split a
 # text before merging.
@@ -286,15 +288,18 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_col: st
     return written(dealt.mapInArrow(run, schema), "wavelet", compression="zstd")
 
 
-def _part_starts(shards: DataFrame) -> DataFrame:
-    """``part`` and ``part_start``, the ids of all parts before it. There is a part for each task that wrote."""
+def _with_part_start(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Adds ``part_start``, the ids of all parts before a row's ``part``. There is a part for each task that wrote, so
+    the parts' starts are sent to all tasks, unless there are very many tasks."""
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    return sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    few = (sizes.agg(F.count("*")).first()[0] or 0) <= _MOST_SENT
+    return rows.join(F.broadcast(starts) if few else starts, "part")
 
 
 def _placed(shards: DataFrame) -> DataFrame:
     """The shards with ``start``, the ids of all documents before a shard."""
-    return shards.join(_part_starts(shards), "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
+    return _with_part_start(shards, shards).withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
 
 
 def _asked(what: list[int]) -> list[int]:
@@ -370,4 +375,4 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[few], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(within[few] + before, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "part", "within", "ids"])
 
     rows = shards.select("part", "before", "payload").mapInArrow(run, schema)
-    return rows.join(_part_starts(shards), "part").select(id_col, (F.col("part_start") + F.col("within")).alias("start"), "ids")
+    return _with_part_start(rows, shards).select(id_col, (F.col("part_start") + F.col("within")).alias("start"), "ids")
