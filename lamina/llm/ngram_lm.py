@@ -1,362 +1,342 @@
 """Language-model scores from a weighted backoff automaton.
 
-A word belongs to a class: the most frequent words each have their own, other words share one by their last bytes, the
-end of a text has one. The probability of a text is the product, over its words and the end, of the class given the
-classes before it, and of the word given its class. Classes are predicted by discounted n-grams: a history is the class
-before and a coarser code of the one before that. Each history with n-grams of its own is a state; its n-grams are
-arcs; its failure arc leads, for the weight that makes the probabilities sum to one, to the state of the shorter
-history, down to one that knows all classes. A text is scored in one walk from left to right that carries the state and
-adds up log-probabilities. Within a class a discounted share goes to words that training hasn't seen, as one event.
-
-All counts are of all training documents. Documents are dealt to chunks of bounded size by a hash. Each chunk asks for
-the counts of its own distinct words, so the vocabulary, which grows with the corpus, is joined and never sent whole.
-The automaton is sent; its n-grams have at least ``_SHARE`` of all training tokens, hence are at most 1 / ``_SHARE`` an
-order, and frequent words at most 1 / ``_FREQUENT``.
-
-A null or empty text is the end alone. Null ids are kept and count as training. Without training documents every word
-is unseen and every class equally likely. Repeated rows are documents each. Other columns are ignored. No rows give no
-rows.
+Symbols are words (A-Z in lower case) and the end of a text. The probability of a symbol after the ``order`` - 1 before it
+is its training count there plus ``mass`` times its probability after a history one shorter, over the history's count
+plus ``mass`` (a Dirichlet prior); without history it is an absolutely discounted share of all tokens, and what the
+discounts leave goes to words that training hasn't seen, as one event. So the probabilities after any history sum to one.
+As an automaton: every history that training has seen is a state; the symbols seen after it are arcs with their
+log-probabilities; a failure arc with the weight of what is left leads to the state of the shorter history, down to the
+one without. A text is scored in one walk from left to right that carries the state and adds up log-probabilities.
+
+All n-grams of all training documents count, none is dropped. Documents are read once, into chunks of bounded size as word
+numbers. Each chunk asks for the counts of its own distinct n-grams: these, as 64-bit hashes, are dealt by ranges of the
+hash, each range adds up what all chunks have counted, and every chunk gets the totals of what it asked. So counts grow with
+the corpus, while a task holds a range (about ``_RANGE_KEYS`` n-grams), or a chunk and the part of the automaton that its
+texts can reach. Two n-grams of one hash share a count: among 10^10 kinds, some three pairs do.
+
+A null or empty text is the end alone. Null ids are kept and count as training. Without training documents every symbol
+is unseen and certain (score 0). Repeated rows are documents each. Very long texts are chunks of their own. Other columns
+are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamina.llm.common import LOWER, written
+from lamina.llm.common import LOWER, drop_written, released, written
 
-_FREQUENT = 1 / 4000
-_SHARE = 1e-6
-_SHAPES = 256
-_COARSE = 16
-_DISCOUNT = 0.75
 _CHUNK_BYTES = 8 << 20
-_BATCH_TOKENS = 1 << 22
-#: Steps (states times classes) up to which a worker tabulates the automaton.
-_TABLE = 1 << 23
+#: n-grams (with repeats in several chunks) of a range of hashes, on average.
+_RANGE_KEYS = 1 << 20
+#: Tokens of a text that are walked as one; a part starts in the state that the tokens before it lead to.
 _PART = 512
-
-
-def words(text: str) -> list[bytes]:
-    """Words with A-Z in lower case; white space is ASCII."""
-    return text.encode().translate(LOWER).split()
+#: Bytes of a text that are cut into words at a time.
+_PIECE = 4 << 20
+_MIX, _MIX_TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Hashes of the end and the start of a text; no word is empty.
+_END, _START = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
+
+
+def words(text: str) -> Iterator[list[bytes]]:
+    """Words with A-Z in lower case, in lists of bounded size; white space is ASCII."""
+    raw = text.encode().translate(LOWER)
+    start = 0
+    while len(raw) - start > 2 * _PIECE:
+        at = start + _PIECE
+        while at < len(raw) and raw[at] not in b" \t\n\v\f\r":
+            at += 1
+        yield raw[start:at].split()
+        start = at
+    yield raw[start:].split()
 
 
 @dataclass
-class Classes:
-    """Frequent words have classes from 0, the end of a text the next, shapes the ones after it."""
-
-    frequent: dict[bytes, int]
+class Chunk:
+    """Texts as word numbers, one after another without their ends (``flat``), with the words' hashes."""
+
+    lengths: np.ndarray
+    held: np.ndarray
+    flat: np.ndarray
+    hashes: np.ndarray
+
+    def __post_init__(self) -> None:
+        m, n = len(self.hashes), len(self.lengths)
+        self.end, self.start = m, m + 1
+        ends = np.cumsum(self.lengths + 1) - 1
+        self.symbols = np.full(len(self.flat) + n, self.end, dtype=np.int64)
+        inside = np.ones(len(self.symbols), dtype=bool)
+        inside[ends] = False
+        self.symbols[inside] = self.flat
+        self.first = np.r_[0, ends[:-1] + 1] if n else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(n), self.lengths + 1)
+        self.training = ~self.held[self.owner]
+        self.hash_of = np.r_[self.hashes, np.array([_END, _START], dtype=np.uint64)]
+
+    def before(self, values: np.ndarray, start: int) -> np.ndarray:
+        """What each token's predecessor has; ``start`` at the start of a text."""
+        out = np.r_[np.int64(start), values[:-1]]
+        out[self.first] = start
+        return out
+
+    def grams(self, order: int) -> list[Grams]:
+        """The distinct n-grams of each order up to ``order``."""
+        width = len(self.hash_of)
+        out = [Grams(np.arange(width - 1), self.symbols, self.hash_of[:-1], self._counts(self.symbols, width - 1))]
+        history, of_history = self.before(self.symbols, self.start), self.hash_of * _MIX_TWO
+        for k in range(1, order):
+            kinds, at = np.unique(history * width + self.symbols, return_inverse=True)
+            mixed = (of_history[kinds // width] ^ self.hash_of[kinds % width]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+            out.append(Grams(kinds, at, mixed, self._counts(at, len(kinds))))
+            if k + 1 < order:  # the history of the next order: this one's number; before a text starts there is one more
+                history = self.before(at, len(kinds))
+                of_history = np.r_[mixed, np.uint64(_START)] * _MIX_TWO
+        return out
+
+    def _counts(self, at: np.ndarray, kinds: int) -> np.ndarray:
+        return np.bincount(at[self.training], minlength=kinds)
 
-    @property
-    def end(self) -> int:
-        return len(self.frequent)
 
-    @property
-    def count(self) -> int:
-        return len(self.frequent) + 1 + _SHAPES
-
-    def of(self, word: bytes) -> int:
-        found = self.frequent.get(word)
-        return found if found is not None else self.end + 1 + zlib.crc32(word[-3:]) % _SHAPES
+@dataclass
+class Grams:
+    """n-grams: ``kinds`` (history * width + symbol), the number of each token's (``at``), hashes, own training counts."""
 
+    kinds: np.ndarray
+    at: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
 
-def coarse(classes: np.ndarray, count: int) -> np.ndarray:
-    """The coarser code of classes; the start of a text (class ``count``) has its own."""
-    return np.where(classes >= count, _COARSE, classes * 7 % _COARSE)
 
+def _packed(x: np.ndarray, kind: str) -> bytes:
+    return x.astype(kind).tobytes()
 
-@dataclass
-class Automaton:
-    """Arcs: ``keys`` (state * ``n`` + class, ascending), ``weight`` (log10) and ``target``. State 0 has every class,
-    states from 1 stand for the class before, those from ``n`` + 2 for longer histories."""
 
-    n: int
-    keys: np.ndarray
-    weight: np.ndarray
-    target: np.ndarray
-    fail: np.ndarray
-    fail_weight: np.ndarray
-    start: int
-    _ready: tuple | None = field(default=None, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None}
-
-    def _table(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Weight and target of every step, failure arcs followed, if that is a table of bounded size."""
-        if len(self.fail) * self.n > _TABLE:
-            return None
-        if self._ready is None:
-            weight, target = np.empty((len(self.fail), self.n)), np.empty((len(self.fail), self.n), dtype=np.int32)
-            state, c = self.keys // self.n, self.keys % self.n
-            bounds = [0, 1, self.n + 2, len(self.fail)]  # no history, one class, two
-            for low, high in zip(bounds, bounds[1:], strict=False):
-                if low:
-                    weight[low:high] = weight[self.fail[low:high]] + self.fail_weight[low:high, None]
-                    target[low:high] = target[self.fail[low:high]]
-                own = (state >= low) & (state < high)
-                weight[state[own], c[own]] = self.weight[own]
-                target[state[own], c[own]] = self.target[own]
-            self._ready = (weight, target)
-        return self._ready
-
-    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and targets of steps from states on classes."""
-        if table := self._table():
-            return table[0][state, c], table[1][state, c]
-        weight, target, lost = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64), np.zeros(len(state))
-        left, at_state = np.arange(len(state)), state.copy()
-        while len(left):
-            key = at_state[left] * self.n + c[left]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            weight[left[hit]], target[left[hit]] = self.weight[at[hit]], self.target[at[hit]]
-            left = left[~hit]
-            lost[left] += self.fail_weight[at_state[left]]
-            at_state[left] = self.fail[at_state[left]]
-        return weight + lost, target
-
-    def walk(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Log10 probability of each sequence of classes. All are walked at once, class by class; long ones in parts, as
-        the two classes before a part tell its first state."""
-        parts, owner, begin = [], [], []
-        for i, classes in enumerate(texts):
-            for k in range(0, len(classes), _PART):
-                parts.append(classes[k : k + _PART])
-                owner.append(i)
-                begin.append(self.start if k == 0 else int(self.after(classes[k - 2], classes[k - 1])))
-        order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-        lengths = np.array([len(parts[i]) for i in order])
-        flat = np.zeros((len(parts), _PART), dtype=np.int64)
-        for row, i in enumerate(order):
-            flat[row, : lengths[row]] = parts[i]
-        state, total = np.array([begin[i] for i in order], dtype=np.int64), np.zeros(len(parts))
-        for t in range(lengths[0] if len(lengths) else 0):
-            n = int(np.searchsorted(-lengths, -t))  # parts longer than t
-            weight, state = self.step(state[:n], flat[:n, t])
-            total[:n] += weight
-        return np.bincount(np.array(owner, dtype=np.int64)[order], weights=total, minlength=len(texts)) if len(parts) else np.zeros(len(texts))
-
-    def after(self, a: int, b: int) -> int:
-        """The state after two classes. A kept trigram's last two classes are a kept bigram, so the bigram's arc leads
-        where every walk over both leads; without one, the walk has come by state 0."""
-        key = (1 + int(a)) * self.n + int(b)
-        at = int(np.searchsorted(self.keys, key))
-        return int(self.target[at]) if at < len(self.keys) and self.keys[at] == key else 1 + int(b)
-
-
-def _backed(p: np.ndarray, lower: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the arcs of histories that start at ``first``, and the weights of the failure arcs: what is left
-    over what the shorter history gives to other classes. Where it gives them nothing, the arcs take all."""
-    sums, below = np.add.reduceat(p, first), 1 - np.add.reduceat(lower, first)
-    whole = below < 1e-9
-    per_arc = np.diff(np.r_[first, len(p)])
-    return p / np.repeat(np.where(whole, sums, 1.0), per_arc), np.where(whole, 1.0, np.maximum(1 - sums, 1e-12) / np.maximum(below, 1e-9))
-
-
-def build(n: int, history: np.ndarray, following: np.ndarray, counts: np.ndarray, history_counts: np.ndarray, lower: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], unigrams: np.ndarray) -> Automaton:
-    """The automaton of trigrams (``history`` = coarse * (n + 1) + class before, sorted with ``following``), whose
-    histories occur ``history_counts`` times; ``lower``: bigrams' history, class, count and the history's count."""
-    total = unigrams.sum()
-    p1 = (unigrams + 0.5) / (total + 0.5 * n)
-    h2, c2, n2, total2 = lower
-    p2 = (n2 - _DISCOUNT) / total2
-    back2 = np.ones(n + 1)
-    seen, first = np.unique(h2, return_index=True)
-    if len(seen):
-        p2, back2[seen] = _backed(p2, p1[c2], first)
-    key2 = h2 * n + c2
-
-    def after(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Probability of classes after the shorter history."""
-        if not len(key2):
-            return back2[h] * p1[c]
-        at = np.minimum(np.searchsorted(key2, h * n + c), len(key2) - 1)
-        return np.where(key2[at] == h * n + c, p2[at], back2[h] * p1[c])
-
-    p3 = (counts - _DISCOUNT) / history_counts
-    states, first = np.unique(history, return_index=True)
-    back3 = np.zeros(0)
-    if len(states):
-        p3, back3 = _backed(p3, after(history % (n + 1), following), first)
-    # states: 0, then 1 + class before (the start of a text too), then the longer histories
-    longer = n + 2
-
-    def state(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        wanted = coarse(a, n) * (n + 1) + b
-        if not len(states):
-            return 1 + b
-        at = np.minimum(np.searchsorted(states, wanted), len(states) - 1)
-        return np.where(states[at] == wanted, longer + at, 1 + b)
-
-    every = np.arange(n)
-    of3 = longer + np.searchsorted(states, history)
-    keys = np.concatenate([every, (1 + h2) * n + c2, of3 * n + following])
-    target = np.concatenate([1 + every, state(h2, c2), state(history % (n + 1), following)])
-    weight = np.log10(np.concatenate([p1, p2, p3]))
-    fail = np.concatenate([np.zeros(n + 2, np.int64), 1 + states % (n + 1)])
-    fail_weight = np.log10(np.concatenate([[1.0], back2, back3]))
-    begin = np.array([n])
-    order = np.argsort(keys)
-    return Automaton(n, keys[order], weight[order], target[order], fail, fail_weight, int(state(begin, begin)[0]))
-
-
-def _class_ngrams(classes: Classes):
-    """From texts: rows of packed coarse code, class before and class, and how often, for batches of bounded size."""
+def _chunks(doc_type: T.DataType):
+    """From ids, texts and whether they are held out: chunks."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(doc_type)), T.StructField("held", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("flat", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("grams", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
         known: dict[bytes, int] = {}
-        n = classes.count
-        held: list[np.ndarray] = []
-        size = 0
+        ids, held, lengths, flat = [], [], [], []
 
         def settle() -> pa.RecordBatch:
-            kinds, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+            nonlocal number, size
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+            tokens = np.concatenate([np.zeros(0, np.int32), *flat])
+            row = [number, pa.concat_arrays(ids), _packed(np.array(held), "?"), _packed(np.array(lengths), "<i8"), tokens.tobytes(), hashes.tobytes(), len(tokens) + len(lengths)]
+            out = pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(row[1])], pa.int32()), row[1]), *(pa.array([x], pa.binary()) for x in row[2:6]), pa.array([row[6]], pa.int64())], names=schema.names)
+            number, size = number + 1, 0
+            for x in (known, ids, held, lengths, flat):
+                x.clear()
+            return out
 
         for b in batches:
-            for k in range(0, len(b), 256):
-                for text in b.column(0).slice(k, 256).to_pylist():
-                    tokens = words(text)
-                    for w in set(tokens).difference(known):
-                        known[w] = classes.of(w)
-                    c = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-                    c = np.concatenate([[n, n], c, [classes.end]])
-                    held.append((coarse(c[:-2], n) * (n + 1) + c[1:-1]) * n + c[2:])
-                    size += len(tokens) + 1
-                    if size >= _BATCH_TOKENS:
+            for k in range(0, len(b), 64):
+                rows = b.slice(k, 64)
+                start = 0
+                for i, (text, out) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)):
+                    n = 0
+                    for tokens in words(text):
+                        for w in set(tokens).difference(known):
+                            known[w] = len(known)
+                        flat.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+                        n += len(tokens)
+                    held.append(out)
+                    lengths.append(n)
+                    size += len(text) + 1
+                    if size >= _CHUNK_BYTES:
+                        ids.append(rows.column(0).slice(start, i + 1 - start))
+                        start = i + 1
                         yield settle()
-                        size = 0
-                if len(known) > 400_000:
-                    known.clear()
-        if held:
+                if start < len(rows):
+                    ids.append(rows.column(0).slice(start))
+        if lengths:
             yield settle()
 
-    return run
+    return run, schema
 
 
-def train_automaton(texts: DataFrame, classes: Classes, tokens: int) -> Automaton:
-    """From the training texts (one column, no nulls)."""
-    n, spark = classes.count, texts.sparkSession
-    grams = written(texts.mapInArrow(_class_ngrams(classes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    history, before, following = F.expr(f"gram div {n}"), F.expr(f"(gram div {n}) % {n + 1}"), F.expr(f"gram % {n}")
-    least = max(2, int(np.ceil(_SHARE * tokens)))
+def _unpacked(b: pa.RecordBatch | pa.Table, i: int) -> Chunk:
+    held, lengths, flat, hashes = (b.column(c)[i].as_py() for c in ("held", "lengths", "flat", "hashes"))
+    return Chunk(np.frombuffer(lengths, "<i8"), np.frombuffer(held, "?"), np.frombuffer(flat, "<i4"), np.frombuffer(hashes, "<u8"))
 
-    def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-        table = df.orderBy(names[0], names[1]).toArrow() if len(names) > 1 else df.toArrow()
-        return [table.column(x).to_numpy().astype(np.int64) for x in names]
 
-    pairs = grams.select(before.alias("h"), following.alias("c"), "n").groupBy("h", "c").agg(F.sum("n").alias("n"))
-    pairs = written(pairs, "pairs")
-    uni = np.zeros(n, dtype=np.int64)
-    for r in pairs.groupBy("c").agg(F.sum("n").alias("n")).toLocalIterator():  # a row a class
-        uni[r["c"]] = r["n"]
-    totals2 = pairs.groupBy("h").agg(F.sum("n").alias("t"))
-    totals3 = grams.select(history.alias("h"), "n").groupBy("h").agg(F.sum("n").alias("t"))
-    h2, c2, n2, t2 = columns(pairs.filter(F.col("n") >= least).join(totals2, "h"), "h", "c", "n", "t")
-    h3, c3, n3, t3 = columns(grams.filter(F.col("n") >= least).select(history.alias("h"), following.alias("c"), "n").join(totals3, "h"), "h", "c", "n", "t")
-    return build(n, h3, c3, n3, t3, (h2, c2, n2, t2), uni)
+def _asked(order: int, k: int, bits: int):
+    """From chunks: their n-grams of order ``k``, ascending by hash, cut by ranges of the hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                grams = _unpacked(b, i).grams(k)[-1]
+                by_hash = np.argsort(grams.hashes)
+                hashes, counts = grams.hashes[by_hash], grams.counts[by_hash].astype("<u4")
+                ranges = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                cuts = np.r_[np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]), len(hashes)] if len(hashes) else np.zeros(1, np.int64)
+                raw, own = hashes.tobytes(), counts.tobytes()
+                spans = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[cuts[:-1]]), pa.array([b.column("chunk")[i].as_py()] * len(spans), pa.int64()), pa.array([raw[8 * a : 8 * z] for a, z in spans], pa.binary()), pa.array([own[4 * a : 4 * z] for a, z in spans], pa.binary())], names=["part", "chunk", "hashes", "counts"])
 
-@dataclass
-class Emission:
-    """Per class: known tokens, known words and the discount."""
+    return run
 
-    tokens: np.ndarray
-    kinds: np.ndarray
-    discount: np.ndarray
 
-    def log10(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of a word with these counts (0: any unseen one) given its class."""
-        n = np.maximum(self.tokens[classes], 1)
-        d = self.discount[classes]
-        seen = (counts - d) / n
-        unseen = np.where(self.tokens[classes] > 0, d * self.kinds[classes] / n, 1.0)
-        return np.log10(np.maximum(np.where(counts > 0, seen, unseen), 1e-12))
+def _told(table: pa.Table) -> pa.Table:
+    """One range: the totals for each chunk, and of the range itself (in its first row): kinds and tokens of training, and
+    how many kinds came once and twice."""
+    hashes = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+    ends = np.cumsum([len(h) for h in hashes]).tolist()
+    kinds, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.bincount(at, weights=counts, minlength=len(kinds)).astype(np.int64)
+    back = totals[at].astype("<i8").tobytes()
+    n = len(hashes)
+    stats = [int((totals > 0).sum()), int(totals.sum()), int((totals == 1).sum()), int((totals == 2).sum())]
+    return pa.table(
+        {"part": table.column("part"), "chunk": table.column("chunk"), "totals": pa.array([back[8 * a : 8 * z] for a, z in zip([0, *ends], ends, strict=False)], pa.binary())}
+        | {name: pa.array([x] + [0] * (n - 1), pa.int64()) for name, x in zip(("kinds", "tokens", "once", "twice"), stats, strict=True)}
+    )
+
 
+@dataclass
+class Automaton:
+    """Arcs: ``keys`` (state * ``n`` + symbol, ascending), ``weight`` (log10) and ``target``. State 0 has an arc for every
+    symbol, in their order, and comes first; every other state has a failure arc to one that comes before it."""
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    n: int
+    keys: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and targets of steps from states on symbols."""
+        weight, target = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64)
+        left, at_state = np.arange(len(state)), state
+        while len(left):
+            key = at_state * self.n + symbol[left]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            weight[left[hit]] += self.weight[at[hit]]
+            target[left[hit]] = self.target[at[hit]]
+            left, at_state = left[~hit], at_state[~hit]
+            weight[left] += self.fail_weight[at_state]
+            at_state = self.fail[at_state]
+        return weight, target
+
+    def walk(self, symbols: np.ndarray, first: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Log10 probability of each part of a sequence; parts begin at ``first``, each in a state of its own. All are
+        walked at once, from left to right."""
+        size = np.diff(np.r_[first, len(symbols)])
+        order = np.argsort(-size, kind="stable")
+        size, begin, state, total = size[order], first[order], state[order], np.zeros(len(first))
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t))  # parts longer than t
+            weight, state = self.step(state[:n], symbols[begin[:n] + t])
+            total[:n] += weight
+        out = np.empty(len(first))
+        out[order] = total
+        return out
+
+
+def automaton(chunk: Chunk, grams: list[Grams], totals: list[np.ndarray], root: np.ndarray, documents: int, mass: float) -> tuple[Automaton, int, np.ndarray]:
+    """The automaton as far as the chunk's texts can go, the state that texts start in, and the state after each token. ``totals``: training
+    counts of the n-grams; ``root``: probabilities of the symbols without history."""
+    n = len(chunk.hash_of) - 1
+    keys, weight, target = [np.arange(n)], [np.log10(root)], [1 + np.arange(n)]
+    fail, fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+    # how often something follows the histories of the next order: symbols (nothing follows the end), and a text's start
+    seen = np.r_[np.where(np.arange(n) == chunk.end, 0, totals[0]), documents]
+    after, states, p = 1 + np.arange(n + 1), 1, root
+    for k, (g, c) in enumerate(zip(grams[1:], totals[1:], strict=True), 1):
+        width = n + 1
+        history, symbol = g.kinds // width, g.kinds % width
+        lead, begin = history + states, states + len(seen) - 1  # states of the histories, in their order; the start is last
+        fail.append(np.zeros(len(seen), np.int64) if k == 1 else shorter)
+        fail_weight.append(np.log10(mass / (seen + mass)))
+        below = p[symbol] if k == 1 else p[suffix]
+        p = (c + mass * below) / (seen[history] + mass)
+        some = c > 0
+        states += len(seen)
+        own = states + np.arange(len(g.kinds))  # states of these n-grams as histories, if there is a next order
+        last = k + 1 == len(grams)
+        here = 1 + symbol if k == 1 else after[suffix]
+        after = here if last else np.where(some, own, here)
+        keys.append(lead[some] * n + symbol[some])
+        weight.append(np.log10(p[some]))
+        target.append(after[some])
+        if not last:
+            # the number, among these, of the last k + 1 symbols of each n-gram of the next order; its history's fallback
+            following = grams[k + 1]
+            one = np.zeros(len(following.kinds), np.int64)
+            one[following.at] = g.at
+            suffix, shorter = one, np.r_[here, begin]
+            seen = np.r_[np.where(symbol == chunk.end, 0, c), documents]
+    made = Automaton(n, np.concatenate(keys), np.concatenate(weight), np.concatenate(target), np.concatenate(fail), np.concatenate(fail_weight))
+    return made, begin, after[grams[-1].at]
+
+
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, mass: float = 100.0) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens`` (words and the end), ``n_known`` (seen in training),
     ``train_tokens``, ``base_score`` (add-one unigrams) and ``score``, both log10 probabilities of the whole text.
     Training takes the documents for which ``held_out``, a condition on the columns, is not true."""
+    if order < 2 or mass <= 0:
+        raise ValueError("order must be 2 at least, mass positive")
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size, n_train = plain.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
-    n_train = n_train or 0
-    chunks = max(1, -(-(size or 0) // _CHUNK_BYTES))
-    dealt = plain.withColumn("chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)))
-
-    def ask(table: pa.Table) -> pa.Table:
-        every, training = set(), Counter()
-        for text, out in zip(table.column("text").to_pylist(), table.column("held_out").to_pylist(), strict=True):
-            tokens = words(text)
-            if out:
-                every.update(tokens)
-            else:
-                training.update(tokens)
-        every |= training.keys()
-        asked = list(every)
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(asked), pa.int64()), "word": pa.array(asked, pa.binary()), "n": pa.array([training[w] for w in asked], pa.int64())})
-
-    asked = written(dealt.select("chunk", "text", "held_out").groupBy("chunk").applyInArrow(ask, "chunk long, word binary, n long"), "asked")
-    counts = written(asked.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    kinds, tokens = counts.agg(F.sum((F.col("c") > 0).cast("long")), F.sum("c")).first()
-    kinds, tokens = (kinds or 0) + (n_train > 0), (tokens or 0) + n_train
-    frequent = [bytes(r[0]) for r in counts.filter((F.col("c") > 0) & (F.col("c") >= F.lit(_FREQUENT * max(tokens, 1)))).orderBy(F.desc("c"), "word").select("word").collect()]  # at most 1 / _FREQUENT
-    classes = Classes({w: i for i, w in enumerate(frequent)})
-
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            of = np.fromiter((classes.of(w) for w in b.column(0).to_pylist()), np.int64, len(b))
-            c = b.column(1).to_numpy()
-            sums = [np.bincount(of, weights=x, minlength=classes.count).astype(np.int64) for x in (c, c > 0, c == 1, c == 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.count)), *map(pa.array, sums)], names=["k", "t", "v", "n1", "n2"])
-
-    table = np.zeros((4, classes.count))
-    for r in counts.filter("c > 0").mapInArrow(stats, "k long, t long, v long, n1 long, n2 long").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("t", "v", "n1", "n2"))).toLocalIterator():  # a row a class
-        table[:, r["k"]] = [r["t"], r["v"], r["n1"], r["n2"]]
-    table[:2, classes.end] = [n_train, 1]
-    t, v, n1, n2 = table
-    discount = np.where(v > 0, np.clip((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.05, 0.95), 0.0)
-    discount[: classes.end + 1] = 0.0  # one word each
-    automaton = train_automaton(plain.filter(~F.col("held_out")).select("text"), classes, tokens)
-    model = spark.sparkContext.broadcast((classes, Emission(t, v, discount), automaton))
-
-    def walk(texts: pa.Table, known: pa.Table) -> pa.Table:
-        classes, emission, automaton = model.value
-        listed = known.column("word").to_pylist()
-        place = dict(zip(listed, range(len(listed)), strict=True))
-        c = np.r_[known.column("c").to_numpy(), n_train].astype(np.float64)
-        of = np.fromiter((*map(classes.of, listed), classes.end), np.int64, len(listed) + 1)
-        own = emission.log10(of, c)
-        if not n_train:
-            own[-1] = 0.0
+    doc_type = plain.schema["doc_id"].dataType
+    read, schema = _chunks(doc_type)
+    chunks = written(plain.mapInArrow(read, schema), "chunks", compression="zstd")
+    asked = chunks.agg(F.sum("grams")).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, asked / _RANGE_KEYS)))))
+    answers = []
+    for k in range(1, order + 1):
+        ranges = chunks.mapInArrow(_asked(order, k, bits), "part long, chunk long, hashes binary, counts binary")
+        told = ranges.groupBy("part").applyInArrow(_told, "part long, chunk long, totals binary, kinds long, tokens long, once long, twice long")
+        answers.append(written(told, "told", compression="zstd"))
+        released(spark)
+    kinds, tokens, once, twice = (x or 0 for x in answers[0].agg(*(F.sum(c) for c in ("kinds", "tokens", "once", "twice"))).first())
+    discount = min(max((once + 0.5) / (once + 2 * twice + 1), 0.05), 0.95)
+
+    def walk(texts: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = _unpacked(texts, 0)
+        grams = chunk.grams(order)
+        told = told.sort_by([("order", "ascending"), ("part", "ascending")])
+        of_order = told.column("order").to_numpy()
+        totals = []
+        for k, g in enumerate(grams, 1):
+            own = told.column("totals").filter(pa.array(of_order == k)).to_pylist()
+            c = np.empty(len(g.kinds), dtype=np.int64)
+            c[np.argsort(g.hashes)] = np.frombuffer(b"".join(own), "<i8")
+            totals.append(c)
+        c = totals[0].astype(np.float64)
+        if tokens:
+            root = np.where(c > 0, (c - discount) / tokens, max(discount * kinds / tokens, 1e-300))
+        else:
+            root = np.ones(len(c))
+        documents = int(totals[0][chunk.end])
+        made, begin, after = automaton(chunk, grams, totals, root, documents, mass)
+        # parts of texts, each in the state that the token before it has led to
+        at = np.arange(len(chunk.symbols)) - np.repeat(chunk.first, chunk.lengths + 1)
+        first = np.flatnonzero(at % _PART == 0)
+        state = np.where(at[first] == 0, begin, after[first - 1])
+        found = np.bincount(chunk.owner[first], weights=made.walk(chunk.symbols, first, state), minlength=len(chunk.lengths))
         base = np.log10((c + 1) / (tokens + kinds + 1))
-        n, n_known, base_scores, scores, walked = [], [], [], [], []
-        for text in texts.column("text").to_pylist():
-            tokens_of = words(text)
-            at = np.fromiter((*map(place.__getitem__, tokens_of), len(listed)), np.int64, len(tokens_of) + 1)
-            n.append(len(at))
-            n_known.append(int((c[at] > 0).sum()))
-            base_scores.append(float(base[at].sum()))
-            scores.append(float(own[at].sum()))
-            walked.append(of[at])
-        scores = np.array(scores) + automaton.walk(walked)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_scores, pa.float64()), "score": pa.array(scores, pa.float64())})
-
-    known = asked.select("chunk", "word").join(counts, "word").select("chunk", "word", "c")
-    doc_type = plain.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(walk, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        sums = lambda x: np.bincount(chunk.owner, weights=x[chunk.symbols], minlength=len(chunk.lengths))
+        return pa.table({"doc_id": texts.column("ids")[0].values, "held_out": pa.array(chunk.held), "n_tokens": pa.array(chunk.lengths + 1), "n_known": pa.array(sums(c > 0).astype(np.int64)), "base_score": pa.array(sums(base)), "score": pa.array(found)})
+
+    every = answers[0].select(F.lit(1).alias("order"), "part", "chunk", "totals")
+    for k, a in enumerate(answers[1:], 2):
+        every = every.unionByName(a.select(F.lit(k).alias("order"), "part", "chunk", "totals"))
+    out = T.StructType([T.StructField("doc_id", doc_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    scored = chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(walk, out)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -59,59 +59,75 @@ def test_mixing(spark):
     assert mixed.slots.groupBy("shard").count().agg(F.max("count")).first()[0] <= 100
 
 
+def _lm_scores(rows: list, held: list[bool], order: int, mass: float) -> list[float]:
+    """Log10 probabilities by the definition: Dirichlet-smoothed n-grams over discounted shares, from plain counts."""
+    tokens = [(t or "").lower().split() + [None] for _, t in rows]
+    counts = [Counter() for _ in range(order)]
+    for seq, out in zip(tokens, held):
+        for i in range(len(seq)) if not out else ():
+            for k in range(order):
+                counts[k][tuple(["^"] * (k - i) + seq[max(0, i - k) : i + 1])] += 1
+    one = counts[0]
+    total, kinds = sum(one.values()), len(one)
+    n1, n2 = (sum(c == n for c in one.values()) for n in (1, 2))
+    d = min(max((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.05), 0.95)
+    seen = [Counter() for _ in range(order)]
+    for k in range(1, order):
+        for g, c in counts[k].items():
+            seen[k][g[:-1]] += c
+
+    def p(gram: tuple) -> float:
+        k = len(gram) - 1
+        if not k:
+            return 1.0 if not total else (one[gram] - d) / total if one[gram] else d * kinds / total
+        return (counts[k][gram] + mass * p(gram[1:])) / (seen[k][gram[:-1]] + mass)
+
+    return [sum(math.log10(p(tuple(["^"] * (order - 1 - i) + seq[max(0, i - order + 1) : i + 1]))) for i in range(len(seq))) for seq in tokens]
+
+
 def test_language_model_units():
+    """After every history the probabilities sum to one, and failure arcs lead to shorter histories."""
     rng = np.random.default_rng(1)
-    n = 7
-    seqs = [rng.integers(0, n - 1, rng.integers(0, 40)).tolist() + [n - 1] for _ in range(60)]
-    grams = Counter()
-    for s in seqs:
-        c = np.array([n, n, *s])
-        for g in ((ngram_lm.coarse(c[:-2], n) * (n + 1) + c[1:-1]) * n + c[2:]).tolist():
-            grams[g] += 1
-    gram = np.array(sorted(grams))
-    count = np.array([grams[g] for g in gram.tolist()])
-    h, f = gram // n, gram % n
-    total = {x: count[h == x].sum() for x in set(h.tolist())}
-    pairs = Counter()
-    for x, y, z in zip((h % (n + 1)).tolist(), f.tolist(), count.tolist()):
-        pairs[x, y] += z
-    kept2 = sorted(p for p in pairs if pairs[p] >= 2)
-    total2 = Counter()
-    for (x, _), z in pairs.items():
-        total2[x] += z
-    keep = count >= 2
-    a = ngram_lm.build(n, h[keep], f[keep], count[keep], np.array([total[x] for x in h[keep].tolist()]), tuple(np.array(v) for v in ([p[0] for p in kept2], [p[1] for p in kept2], [pairs[p] for p in kept2], [total2[p[0]] for p in kept2])), np.bincount(f, weights=count, minlength=n))
-    states = np.arange(len(a.fail))
-    for s in states:  # each state's probabilities sum to one
-        weight, _ = a.step(np.full(n, s), np.arange(n))
-        assert (10**weight).sum() == pytest.approx(1)
-    texts = [np.array(s) for s in seqs] + [rng.integers(0, n, 2000)]
-    whole = a.walk(texts)
-    for t, w in zip(texts, whole):
-        state, score = np.array([a.start]), 0.0
-        for c in t.tolist():
-            weight, state = a.step(state, np.array([c]))
-            score += weight[0]
-        assert w == pytest.approx(score)
-
-
-def test_language_model(spark):
+    m, lengths = 6, np.array([9, 0, 30, 200, 1])
+    chunk = ngram_lm.Chunk(lengths, np.zeros(5, bool), rng.integers(0, m, lengths.sum()).astype(np.int32), np.arange(m, dtype=np.uint64) + 10)
+    for order in (2, 3, 4):
+        grams = chunk.grams(order)
+        totals = [g.counts.copy() for g in grams]
+        root = totals[0] / totals[0].sum()
+        made, _, _ = ngram_lm.automaton(chunk, grams, totals, root, 5, 3.0)
+        assert (np.diff(made.keys) > 0).all() and (made.fail[1:] < np.arange(1, len(made.fail))).all()
+        for s in range(len(made.fail)):
+            weight, target = made.step(np.full(m + 1, s), np.arange(m + 1))
+            assert (10**weight).sum() == pytest.approx(1) and target.max() < len(made.fail)
+        assert all(len(g.kinds) == len(np.unique(g.hashes)) for g in grams)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "_CHUNK_BYTES", 3000)
+    monkeypatch.setattr(ngram_lm, "_RANGE_KEYS", 500)
+    monkeypatch.setattr(ngram_lm, "_PIECE", 100)
+    monkeypatch.setattr(ngram_lm, "_PART", 7)
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join(rng.choice(vocab[: 3 + i % 200]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(300, None), (301, "UPPER unseen-word W1"), (None, "w1 w2"), (7, "w1"), (7, "w1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("chunk", "score", "held_out", "word", "c", "n")})
-    got = ngram_lm.score(df.drop("held_out"), F.col("doc_id") % 7 == 2).collect()
+    rows = [(i, " ".join(rng.choice(vocab[: 3 + i % 200]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(300, None), (301, "UPPER unseen-word W1"), (None, "w1 w2"), (7, "w1"), (7, "w1"), (302, " \n"), (303, "w5 w6 w7 \n" * 2000), (304, "long" * 1000 + " w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("chunk", "score", "held_out", "word", "c", "n", "ids", "part")}).repartition(3)
+    got = ngram_lm.score(df.drop("held_out"), F.col("doc_id") % 7 == 2, order=order, mass=5.0).collect()
+    held = [i is not None and i % 7 == 2 for i, _ in rows]
     tokens = lambda t: (t or "").lower().split() + [None]
     counts = Counter()
-    for i, t in rows:
-        if i is None or i % 7 != 2:
+    for (_, t), out in zip(rows, held):
+        if not out:
             counts.update(tokens(t))
     total, kinds = sum(counts.values()), len(counts)
-    want = sorted((str(i), i is not None and i % 7 == 2, len(w := tokens(t)), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w), 6)) for i, t in rows)
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    everything = ngram_lm.score(df.drop("held_out"), F.lit(True)).collect()  # nothing to train on
-    assert len(everything) == len(rows) and all(math.isfinite(r["score"]) for r in everything)
+    base = [sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in tokens(t)) for _, t in rows]
+    want = [(str(i), out, len(w := tokens(t)), sum(counts[x] > 0 for x in w), total, round(b, 6), round(s, 6)) for (i, t), out, b, s in zip(rows, held, base, _lm_scores(rows, held, order, 5.0))]
+    key = lambda r: (*r[:5], round(r[5], 3))
+    found = sorted(((str(r["doc_id"]), *r[1:]) for r in got), key=key)
+    for f, w in zip(found, sorted(want, key=key), strict=True):
+        assert f[:5] == w[:5] and f[5:] == pytest.approx(w[5:], abs=1e-5)
+    everything = ngram_lm.score(df.drop("held_out"), F.lit(True), order=order).collect()  # nothing to train on
+    assert len(everything) == len(rows) and all(r["score"] == 0 for r in everything)
 
 
 def test_components(spark):
