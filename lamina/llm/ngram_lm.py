@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import LOWER, drop_written, released, written
+from lamina.llm.common import LOWER, released, written
 
 _CHUNK_BYTES = 8 << 20
 #: n-grams (with repeats in several chunks) of a range of hashes, on average.
@@ -171,7 +171,7 @@ def _unpacked(b: pa.RecordBatch | pa.Table, i: int) -> Chunk:
     return Chunk(np.frombuffer(lengths, "<i8"), np.frombuffer(held, "?"), np.frombuffer(flat, "<i4"), np.frombuffer(hashes, "<u8"))
 
 
-def _asked(order: int, k: int, bits: int):
+def _asked(k: int, bits: int):
     """From chunks: their n-grams of order ``k``, ascending by hash, cut by ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +189,13 @@ def _asked(order: int, k: int, bits: int):
     return run
 
 
+def _totals(chunks: DataFrame, k: int, bits: int) -> DataFrame:
+    """The totals of order ``k`` that each chunk asks for, written; nothing refers to the shuffle's files afterwards."""
+    ranges = chunks.mapInArrow(_asked(k, bits), "part long, chunk long, hashes binary, counts binary")
+    told = ranges.groupBy("part").applyInArrow(_told, "part long, chunk long, totals binary, kinds long, tokens long, once long, twice long")
+    return written(told, "told", compression="zstd")
+
+
 def _told(table: pa.Table) -> pa.Table:
     """One range: the totals for each chunk, and of the range itself (in its first row): kinds and tokens of training, and
     how many kinds came once and twice."""
@@ -300,9 +307,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     bits = max(0, int(np.ceil(np.log2(max(1, asked / _RANGE_KEYS)))))
     answers = []
     for k in range(1, order + 1):
-        ranges = chunks.mapInArrow(_asked(order, k, bits), "part long, chunk long, hashes binary, counts binary")
-        told = ranges.groupBy("part").applyInArrow(_told, "part long, chunk long, totals binary, kinds long, tokens long, once long, twice long")
-        answers.append(written(told, "told", compression="zstd"))
+        answers.append(_totals(chunks, k, bits))
         released(spark)
     kinds, tokens, once, twice = (x or 0 for x in answers[0].agg(*(F.sum(c) for c in ("kinds", "tokens", "once", "twice"))).first())
     discount = min(max((once + 0.5) / (once + 2 * twice + 1), 0.05), 0.95)
