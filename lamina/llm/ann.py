@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by cosine: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node. The first neighbours of a node come from blocks of vectors next to each other along a few
-random directions. NN-descent then joins: every node gathers its neighbours and a sample of those that count it as
-theirs, compares these with one another in its task, and sends each what is nearer than its worst neighbour so far.
-Rounds end when few lists change (``rounds`` is only a guard). A query keeps a beam of the nearest nodes found, which
-grows with the root of the number of nodes. Each step joins its nearest unvisited nodes with the graph (a table bucketed by node, so only the frontier moves) and takes in their
-neighbours, until every node of the beam has been visited. Vectors travel in the precision of their column (float or
-double) and are compared in double precision throughout, so near copies are told apart while the graph is built and
-searched; the beam's best are then scored on the original vectors.
+Equal vectors are one node. The first neighbours of a node come from small blocks of vectors next to each other along a
+few random directions. NN-descent then joins: every node gathers its neighbours and a sample of those that count it as
+theirs, compares these with one another if at least one of two is new in a list, and sends each what is nearer than its
+worst neighbour so far. Rounds go on until few lists change (``rounds`` is only a guard). Nodes gather in blocks of a
+bounded number, so that a vector is sent once to a block and not to every node that asks for it.
+
+A query keeps a beam of the nearest nodes found, which grows with the root of the number of nodes. A step visits its
+nearest unvisited nodes, looks up their neighbours by number, and fetches the vectors of those that the query hasn't seen,
+once for a block of queries, until every node of the beam has been visited. Graph and vectors are tables bucketed by node,
+so a step moves only what it asks for. Vectors travel in the precision of their column (float or double) and are compared
+in double precision throughout, so near copies are told apart; the beam's best are then scored on the original vectors.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from most others take no part,
-as queries or candidates. Copies of a vector are candidates each; a query's own id never is. Rows that repeat an id
-and its vector count once. Fewer candidates than asked for are all returned. Other columns are ignored.
+as queries or candidates. Very large and very small components are scaled by powers of two first, which changes no cosine.
+Copies of a vector are candidates each; a query's own id never is. Ties go to smaller ids. Rows that repeat an id and its
+vector count once. Fewer candidates than asked for are all returned. Other columns are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,30 +25,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import drop_written, released, written
 
-_BLOCK = 2048
+#: Vectors of a block along a direction.
+_BLOCK = 256
 _DIRECTIONS = 5
 _FIRST = 12
 _GROUPS = 512
-#: Nodes up to which a beam of ``_LEAST_BEAM`` finds what is asked; beyond, the beam grows with the root of their number.
+#: Bits of the code that puts alike nodes into one block.
+_CODE = 12
+#: Components of the vectors that a block of gathering nodes or of queries may fetch, and such nodes at most.
+_FETCHED = 1 << 25
+_MOST_HOME = 8192
+_MOST_ASKING = 128
+#: Nodes up to which a beam of ``_BEAM`` finds what is asked; beyond, the beam grows with the root of their number, below
+#: it shrinks so, to ``_LEAST_BEAM``.
 _BEAM_NODES = 50_000
-_LEAST_BEAM = 320
+_BEAM = 320
+_LEAST_BEAM = 96
 
 
 def beam_for(n: int) -> int:
     """Nodes that a query's beam holds in a graph of ``n`` nodes."""
-    return int(np.ceil(_LEAST_BEAM * np.sqrt(max(1.0, n / _BEAM_NODES))))
+    return max(_LEAST_BEAM, int(np.ceil(_BEAM * np.sqrt(n / _BEAM_NODES))))
 
 
 def _units(packed: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors (double) from packed ones; how many bytes a component has tells its type."""
+    return _scaled(_raw(packed, dim))
+
+
+def _raw(packed: pa.Array, dim: int) -> np.ndarray:
     values = packed.to_pylist()
     kind = np.float32 if values and len(values[0]) == 4 * dim else np.float64
-    return _scaled(np.frombuffer(b"".join(values), kind).reshape(-1, dim))
+    return np.frombuffer(b"".join(values), kind).reshape(-1, dim)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -57,15 +75,27 @@ def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
 
 
-def _by_node(node: np.ndarray, near: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+def _by_node(node: np.ndarray, near: np.ndarray, sim: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
     """Rows of lists from flat rows."""
-    order = np.lexsort((-sim, node))
-    node, near, sim = node[order], near[order], sim[order]
+    order = np.lexsort((near, -sim, node))
+    node, near, sim, fresh = node[order], near[order], sim[order], fresh[order]
     kinds, counts = np.unique(node, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(kinds), _lists(counts, near), _lists(counts, sim.astype(np.float64))], names=["node", "near", "sims"])
+    return pa.RecordBatch.from_arrays([pa.array(kinds), _lists(counts, near), _lists(counts, sim.astype(np.float64)), _lists(counts, fresh)], names=["node", "near", "sims", "fresh"])
+
 
+def _best(node: np.ndarray, near: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` nearest of each node, each once and not the node; what comes twice is new only if it is so both times."""
+    order = np.lexsort((fresh, near, node))
+    node, near, sim, fresh = node[order], near[order], sim[order], fresh[order]
+    keep = (node != near) & np.r_[True, (node[1:] != node[:-1]) | (near[1:] != near[:-1])][: len(node)]
+    node, near, sim, fresh = node[keep], near[keep], sim[keep], fresh[keep]
+    order = np.lexsort((near, -sim, node))
+    node, near, sim, fresh = node[order], near[order], sim[order], fresh[order]
+    first = (np.arange(len(node)) - np.searchsorted(node, node)) < k
+    return _by_node(node[first], near[first], sim[first], fresh[first])
 
-_LISTS = "node long, near array<long>, sims array<double>"
+
+_LISTS = "node long, near array<long>, sims array<double>, fresh array<boolean>"
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -88,24 +118,20 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Flat rows from rows of lists."""
+    table = table.combine_chunks()
+    lists = [table.column(i).chunk(0) for i in (1, 2, 3)]
+    node = np.repeat(table.column(0).to_numpy(), np.diff(lists[0].offsets.to_numpy()))
+    return node, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+
+
 def _nearest(k: int):
-    """From lists sorted by node: the ``k`` nearest of all lists of a node, each once, and not the node."""
+    """From lists sorted by node: the ``k`` nearest of all lists of a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 20_000):
-            table = table.combine_chunks()
-            near = table.column(1).chunk(0)
-            counts = np.diff(near.offsets.to_numpy())
-            node = np.repeat(table.column(0).to_numpy(), counts)
-            to, sim = near.flatten().to_numpy(), table.column(2).chunk(0).flatten().to_numpy()
-            order = np.lexsort((-sim, to, node))
-            node, to, sim = node[order], to[order], sim[order]
-            keep = (node != to) & np.r_[True, (node[1:] != node[:-1]) | (to[1:] != to[:-1])]
-            node, to, sim = node[keep], to[keep], sim[keep]
-            order = np.lexsort((to, -sim, node))
-            node, to, sim = node[order], to[order], sim[order]
-            place = np.arange(len(node)) - np.searchsorted(node, node)
-            yield _by_node(node[place < k], to[place < k], sim[place < k])
+            yield _best(*_flat(table), k)
 
     return run
 
@@ -149,7 +175,7 @@ def _blocks(dim: int):
                     n = len(sims)
                     sims[np.arange(n), s + np.arange(n)] = -2
                     at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                    yield _by_node(np.repeat(ids[s : s + n], k), ids[at].ravel(), np.take_along_axis(sims, at, 1).ravel())
+                    yield _by_node(np.repeat(ids[s : s + n], k), ids[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(n * k, bool))
 
         for b in batches:
             while len(b):
@@ -166,40 +192,86 @@ def _blocks(dim: int):
     return run
 
 
-def _compared(dim: int, send: int):
-    """From members sorted by the node that gathers them (node, member, vec, worst): for each member its nearest
-    fellow members beyond its worst neighbour."""
+def _homes(dim: int, size: int):
+    """From nodes sorted by their code: the block that each gathers in, of ``size`` nodes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 12_000):
-            group, member, worst = (table.column(i).to_numpy() for i in (0, 1, 3))
-            x = _units(table.column(2).combine_chunks(), dim)
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            counts = np.diff(np.r_[starts, len(group)])
-            found = []
-            for g in range(0, len(starts), _GROUPS):
-                s, c = starts[g : g + _GROUPS], counts[g : g + _GROUPS]
-                m = int(c.max())
-                if m < 2:
-                    continue
-                at = s[:, None] + np.minimum(np.arange(m), c[:, None] - 1)
-                real = np.arange(m) < c[:, None]
-                sims = x[at] @ x[at].transpose(0, 2, 1)
-                sims[~(real[:, :, None] & real[:, None, :])] = -2
-                sims[:, np.arange(m), np.arange(m)] = -2
-                k = min(send, m - 1)
-                best = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
-                value = np.take_along_axis(sims, best, 2)
-                fellow = member[np.take_along_axis(np.broadcast_to(at[:, None, :], sims.shape), best, 2)]
-                own = np.broadcast_to(at[:, :, None], best.shape)
-                ok = (value > worst[own]) & (value > -2)
-                found.append((member[own[ok]], fellow[ok], value[ok]))
-            if found:
-                yield _by_node(*(np.concatenate(f) for f in zip(*found, strict=True)))
+        first, at = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first + (at + np.arange(len(b))) // size)], names=["node", "home"])
+            at += len(b)
+
+    return run
+
+
+def _coded(dim: int):
+    """From nodes: a code of the sides of a few random planes that they lie on."""
+    planes = np.random.default_rng(4).normal(size=(dim, _CODE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                code = (_units(b.column(1), dim) @ planes > 0) @ (1 << np.arange(_CODE))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code.astype(np.int64))], names=["node", "code"])
 
     return run
 
 
+def in_blocks(nodes: DataFrame, dim: int, size: int) -> DataFrame:
+    """``node`` and ``home``: blocks of ``size`` nodes at most, alike ones rather in one."""
+    n = nodes.count()
+    coded = nodes.mapInArrow(_coded(dim), "node long, code long").repartitionByRange(max(1, -(-n // (4 * size))), "code", "node")
+    return written(coded.sortWithinPartitions("code", "node").select("node").mapInArrow(_homes(dim, size), "node long, home long"), "homes")
+
+
+def _compared(dim: int, send: int, k: int):
+    """From a block's gathered members (``node``, ``members``, ``fresh``) and their vectors (``member``, ``vec``,
+    ``worst``): for each member its nearest fellow members beyond its worst neighbour."""
+
+    def run(gathered: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids, worst = vectors.column("member").to_numpy(), vectors.column("worst").to_numpy()
+        if not len(ids) or not len(gathered):
+            return pa.Table.from_batches([], schema=_NEWS)
+        x = _raw(vectors.column("vec").combine_chunks(), dim)
+        by_id = np.argsort(ids)
+        gathered = gathered.combine_chunks()
+        members, news = gathered.column("members").chunk(0), gathered.column("fresh").chunk(0)
+        starts, counts = members.offsets.to_numpy()[:-1].astype(np.int64), np.diff(members.offsets.to_numpy())
+        place = by_id[np.searchsorted(ids[by_id], members.values.to_numpy())]
+        new = news.values.to_numpy(zero_copy_only=False)
+        order = np.argsort(counts, kind="stable")
+        found = []
+        for g in range(0, len(order), _GROUPS):
+            s, c = starts[order[g : g + _GROUPS]], counts[order[g : g + _GROUPS]]
+            m = int(c.max())
+            if m < 2:
+                continue
+            at = s[:, None] + np.minimum(np.arange(m), c[:, None] - 1)
+            real = np.arange(m) < c[:, None]
+            fresh, at = new[at] & real, place[at]
+            y = _scaled(x[at.ravel()]).reshape(*at.shape, dim)
+            sims = y @ y.transpose(0, 2, 1)
+            sims[~(real[:, :, None] & real[:, None, :])] = -2
+            sims[~(fresh[:, :, None] | fresh[:, None, :])] = -2  # met before
+            sims[:, np.arange(m), np.arange(m)] = -2
+            best_of = min(send, m - 1)
+            best = np.argpartition(-sims, best_of - 1, axis=2)[:, :, :best_of]
+            value = np.take_along_axis(sims, best, 2)
+            fellow = np.take_along_axis(np.broadcast_to(at[:, None, :], sims.shape), best, 2)
+            own = np.broadcast_to(at[:, :, None], best.shape)
+            ok = (value > worst[own]) & (value > -2)
+            found.append((ids[own[ok]], ids[fellow[ok]], value[ok]))
+        if not found:
+            return pa.Table.from_batches([], schema=_NEWS)
+        node, near, sim = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.Table.from_batches([_best(node, near, sim, np.ones(len(node), bool), k)])
+
+    return run
+
+
+_NEWS = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("fresh", pa.list_(pa.bool_()))])
+
+
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id``, ``vector`` (array<double>) and two hashes of the vectors that take part, repeats gone."""
     v = F.col(vec_col).cast("array<double>")
@@ -223,77 +295,89 @@ def _packed(kind: type = np.float32):
     return run
 
 
-def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, rounds: int = 60, send: int = 2, least_change: float = 0.02) -> DataFrame:
+def _around(graph: DataFrame, sample: int, turn: int) -> DataFrame:
+    """``node``, ``member`` and ``fresh``: the neighbours of every node and up to ``sample`` of those that count it as
+    theirs, new ones first. A node that very many count as theirs is cut down before the shuffle."""
+    out = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near").alias("member"), F.col("x.fresh").alias("fresh"))
+    back = out.select(F.col("member").alias("node"), F.col("node").alias("member"), "fresh")
+    some = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "node", "member"))
+    back = back.withColumn("_at", F.row_number().over(some)).filter(F.col("_at") <= sample).drop("_at")
+    return out.unionByName(back).groupBy("node", "member").agg(F.max("fresh").alias("fresh"))
+
+
+def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, rounds: int = 60, send: int = 3, least_change: float = 0.02, homes: DataFrame | None = None) -> DataFrame:
     """NN-descent over ``nodes`` (``node``, ``vec``): per node its ``k`` nearest found, ``near`` and ``sims``."""
     spark = nodes.sparkSession
     n = nodes.count()
-    parts = max(1, -(-n * _DIRECTIONS // (8 * _BLOCK)))
+    if homes is None:
+        homes = in_blocks(nodes, dim, home_size(dim, k + sample))
+    parts = max(1, -(-n * _DIRECTIONS // (64 * _BLOCK)))
     along = nodes.mapInArrow(_projected(dim), "direction int, along double, node long, vec binary")
     blocks = along.repartitionByRange(parts, "direction", "along").sortWithinPartitions("direction", "along", "node").mapInArrow(_blocks(dim), _LISTS)
     graph = written(_merged(blocks, k), "graph")
-    for _ in range(rounds if n > _BLOCK else 0):  # one block has compared all with all
-        out = graph.select("node", F.explode("near").alias("member"))
-        back = out.select(F.col("member").alias("node"), F.col("node").alias("member"))
-        some = Window.partitionBy("node").orderBy(F.xxhash64("node", "member"))
-        back = back.withColumn("_at", F.row_number().over(some)).filter(F.col("_at") <= sample).drop("_at")
-        own = nodes.join(graph.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).alias("worst")), "node").withColumnRenamed("node", "member")
-        members = out.unionByName(back).distinct().join(own, "member").select("node", "member", "vec", "worst")
-        news = written(members.repartition("node").sortWithinPartitions("node", "member").mapInArrow(_compared(dim, send), _LISTS), "news")
-        after = written(_merged(graph.unionByName(news), k), "graph")
-        changed = after.join(graph.select("node", F.col("near").alias("_near")), "node").agg(F.avg(F.size(F.array_except("near", "_near")) / k)).first()[0] or 0.0
-        drop_written(graph)
-        drop_written(news)
+    released(spark)
+    for turn in range(rounds if n > 2 else 0):
+        lists = _around(graph, sample, turn).groupBy("node").agg(F.collect_list(F.struct("member", "fresh")).alias("x"))
+        lists = lists.filter(F.exists("x", lambda x: x["fresh"])).join(homes, "node")
+        lists = written(lists.select("home", "node", F.col("x.member").alias("members"), F.col("x.fresh").alias("fresh")), "gathered")
+        worst = graph.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).alias("worst"))
+        wanted = lists.select("home", F.explode("members").alias("node")).distinct()
+        fetched = wanted.join(nodes.join(worst, "node").hint("merge"), "node").select(F.col("home").alias("to"), F.col("node").alias("member"), "vec", "worst")
+        news = lists.groupBy("home").cogroup(fetched.groupBy("to")).applyInArrow(_compared(dim, send, k), _LISTS)
+        news = written(news, "news")
+        released(spark)
+        old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
+        after = written(_merged(old.unionByName(news), k), "graph")
+        changed = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
+        for done in (graph, news, lists):
+            drop_written(done)
         graph = after
         released(spark)
-        if changed < least_change:
+        if changed < least_change * k * n:
             break
     return graph
 
 
-def _adjacent(dim: int):
-    """From members sorted by node: a node's neighbours and their vectors in one row."""
+def home_size(dim: int, members: int) -> int:
+    """Nodes of a block whose members' vectors have at most ``_FETCHED`` components together."""
+    return int(max(1, min(_MOST_HOME, _FETCHED // (dim * members))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 20_000):
-            node, member = table.column(0).to_numpy(), table.column(1).to_numpy()
-            flat = b"".join(table.column(2).to_pylist())
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            ends = np.r_[starts[1:], len(node)]
-            wide = len(flat) // len(node)
-            vecs = [flat[a * wide : z * wide] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[starts]), _lists(ends - starts, member), pa.array(vecs, pa.binary())], names=["node", "near", "vecs"])
 
-    return run
+def _bucketed(df: DataFrame, name: str, key: str = "node") -> DataFrame:
+    """A table bucketed and sorted by ``key``, so that joins with it move only their other side."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
 
 
 def _step(dim: int, beam: int, width: int):
-    """Takes neighbours into a query's beam and marks the nodes to visit next."""
-
-    def run(state: pa.Table, found: pa.Table) -> pa.Table:
-        row = state.to_pylist()[0]
-        q = _units(pa.array([row["vec"]], pa.binary()), dim)[0]
-        kind = np.float32 if len(row["vec"]) == 4 * dim else np.float64
-        ids, sims, visited = np.array(row["ids"], np.int64), np.array(row["sims"], np.float64), np.array(row["visited"], bool)
-        near = [x.values.to_numpy() for x in found.column("near")]
-        if near:
-            near = np.concatenate(near)
-            flat = np.frombuffer(b"".join(found.column("vecs").to_pylist()), kind).reshape(-1, dim)
-            more = _scaled(flat) @ q if len(near) else np.zeros(0)
-            near, first = np.unique(near, return_index=True)
-            new = ~np.isin(near, ids)
-            ids, sims = np.r_[ids, near[new]], np.r_[sims, more[first][new]]
-            visited = np.r_[visited, np.zeros(new.sum(), bool)]
-        order = np.lexsort((ids, -sims))[:beam]
-        ids, sims, visited = ids[order], sims[order], visited[order]
-        go = np.flatnonzero(~visited)[:width]
-        visited[go] = True
-        return pa.Table.from_pylist([{"query": row["query"], "vec": row["vec"], "ids": ids.tolist(), "sims": sims.tolist(), "visited": visited.tolist(), "go": ids[go].tolist()}], schema=_STATE)
+    """Takes the vectors that a block of queries has fetched into their beams, and marks the nodes to visit next."""
+
+    def run(state: pa.Table, fetched: pa.Table) -> pa.Table:
+        ids = fetched.column("member").to_numpy() if len(fetched) else np.zeros(0, np.int64)
+        y = _units(fetched.column("vec").combine_chunks(), dim) if len(fetched) else np.zeros((0, dim))
+        by_id = np.argsort(ids)
+        ids, y = ids[by_id], y[by_id]
+        rows = []
+        for row in state.to_pylist():
+            q = _units(pa.array([row["vec"]], pa.binary()), dim)[0]
+            more = np.array(row["unseen"], np.int64)
+            near = np.r_[np.array(row["ids"], np.int64), more]
+            sims = np.r_[np.array(row["sims"], np.float64), y[np.searchsorted(ids, more)] @ q if len(more) else np.zeros(0)]
+            visited = np.r_[np.array(row["visited"], bool), np.zeros(len(more), bool)]
+            order = np.lexsort((near, -sims))[:beam]
+            near, sims, visited = near[order], sims[order], visited[order]
+            go = np.flatnonzero(~visited)[:width]
+            visited[go] = True
+            rows.append({"home": row["home"], "query": row["query"], "vec": row["vec"], "ids": near.tolist(), "sims": sims.tolist(), "visited": visited.tolist(), "seen": sorted({*row["seen"], *row["unseen"]}), "go": near[go].tolist()})
+        return pa.Table.from_pylist(rows, schema=_STATE)
 
     return run
 
 
-_STATE = pa.schema([("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("visited", pa.list_(pa.bool_())), ("go", pa.list_(pa.int64()))])
-_STATE_SQL = "query long, vec binary, ids array<long>, sims array<double>, visited array<boolean>, go array<long>"
+_STATE = pa.schema([("home", pa.int64()), ("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("visited", pa.list_(pa.bool_())), ("seen", pa.list_(pa.int64())), ("go", pa.list_(pa.int64()))])
+_STATE_SQL = "home long, query long, vec binary, ids array<long>, sims array<double>, visited array<boolean>, seen array<long>, go array<long>"
 
 
 def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, *, sample: int = 16, beam: int | None = None, width: int | None = None) -> DataFrame:
@@ -302,32 +386,40 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
     spark = nodes.sparkSession
     beam = beam or beam_for(nodes.count())
     width = width or max(1, beam // 5)
-    out = graph.select("node", F.explode("near").alias("member"))
-    back = out.select(F.col("member").alias("node"), F.col("node").alias("member"))
-    some = Window.partitionBy("node").orderBy(F.xxhash64("node", "member"))
-    back = back.withColumn("_at", F.row_number().over(some)).filter(F.col("_at") <= sample).drop("_at")
-    members = out.unionByName(back).distinct().join(nodes.withColumnRenamed("node", "member"), "member").select("node", "member", "vec")
-    adjacent = members.repartition("node").sortWithinPartitions("node", "member").mapInArrow(_adjacent(dim), "node long, near array<long>, vecs binary")
-    name = f"lamina_adjacent_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    adjacent.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node").saveAsTable(name)
-    released(spark)
-    table = spark.table(name)
-    nothing = F.array()
-    state = written(queries.select("query", "vec", F.array("query").alias("ids"), F.array(F.lit(1.0)).alias("sims"), F.array(F.lit(True)).alias("visited"), F.array("query").alias("go")), "beams")
-    while True:
-        frontier = state.select("query", F.explode("go").alias("node"))
-        found = frontier.join(table, "node").select(F.col("query").alias("asked"), "near", "vecs")
-        after = written(state.groupBy("query").cogroup(found.groupBy("asked")).applyInArrow(_step(dim, beam, width), _STATE_SQL), "beams")
-        drop_written(state)
-        state = after
+    links = _around(graph, sample, 0).groupBy("node").agg(F.collect_list("member").alias("near"))
+    stem = f"lamina_{uuid.uuid4().hex}"
+    try:
+        links, vectors = _bucketed(links, f"{stem}_links"), _bucketed(nodes, f"{stem}_nodes")
         released(spark)
-        if not state.filter(F.size("go") > 0).limit(1).count():
-            break
-    spark.sql(f"DROP TABLE {name}")
+        asking = min(_MOST_ASKING, max(1, _FETCHED // (dim * width * (sample + 24))))
+        homes = in_blocks(queries.withColumnRenamed("query", "node"), dim, asking)
+        own = F.array("query")
+        state = queries.join(homes.withColumnRenamed("node", "query"), "query").select("home", "query", "vec", own.alias("ids"), F.array(F.lit(1.0)).alias("sims"), F.array(F.lit(True)).alias("visited"), own.alias("seen"), own.alias("go"))
+        state = written(state, "beams")
+        while True:
+            frontier = state.select("query", F.explode("go").alias("node"))
+            found = frontier.join(links, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("found"))
+            asked = state.join(found, "query", "left").withColumn("unseen", F.coalesce(F.array_except("found", "seen"), F.array().cast("array<long>"))).drop("found", "go")
+            asked = written(asked, "asked")
+            wanted = asked.select("home", F.explode("unseen").alias("node")).distinct()
+            fetched = wanted.join(vectors, "node").select(F.col("home").alias("to"), F.col("node").alias("member"), "vec")
+            after = written(asked.groupBy("home").cogroup(fetched.groupBy("to")).applyInArrow(_step(dim, beam, width), _STATE_SQL), "beams")
+            drop_written(state)
+            drop_written(asked)
+            state = after
+            released(spark)
+            if not state.filter(F.size("go") > 0).limit(1).count():
+                break
+    finally:
+        _dropped(spark, stem)
     return state.select("query", "ids", "sims")
 
 
+def _dropped(spark: SparkSession, stem: str) -> None:
+    for what in ("links", "nodes"):
+        spark.sql(f"DROP TABLE IF EXISTS {stem}_{what}")
+
+
 def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", beam: int | None = None, rounds: int = 60) -> DataFrame:
     """For the rows for which ``is_query`` (a condition on ``vec_id``) holds: the ``k`` nearest other rows found.
     ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the cosine of the original vectors."""
@@ -352,7 +444,9 @@ def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int
     beams = search_graph(queries, nodes, graph, dim, beam=beam)
     nearest = beams.select(F.col("query").alias("_of"), F.explode(F.slice("ids", 1, rerank)).alias("node"))
     candidates = nearest.join(copies, "node").select("_of", "vec_id")
-    originals = usable.select("vec_id", "vector")
+    largest = F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    power = F.pow(F.lit(2.0), F.floor(F.log2("_largest")))  # dividing by it changes no bit of the digits
+    originals = usable.withColumn("_largest", largest).withColumn("_power", power).select("vec_id", F.transform("vector", lambda x: x / F.col("_power")).alias("vector"))
     pairs = (
         asking.withColumnRenamed("vec_id", "query_id").withColumnRenamed("node", "_of").join(candidates, "_of").filter("query_id <> vec_id").select("query_id", "vec_id")
         .join(originals, "vec_id")

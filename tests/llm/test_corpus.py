@@ -336,7 +336,43 @@ def test_neighbour_graph_settles(spark, monkeypatch):
         s[r["node"]] = -9
         hits += len(set(r["near"][:5]) & set(np.argsort(-s)[:5].tolist()))
     assert hits >= 0.9 * 5 * 100 and len(rounds) > 3, (hits, rounds)
-    assert ann.beam_for(2_000) == 320 and ann.beam_for(200_000) == 640
+    assert ann.beam_for(2_000) == 96 and ann.beam_for(50_000) == 320 and ann.beam_for(200_000) == 640
+
+
+def test_neighbours_of_extreme_magnitudes(spark):
+    """Squares beyond the range of doubles; rounds run on a small table too."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 8))
+    scale = 10.0 ** rng.choice([-300, -200, 0, 200, 300], size=(60, 1))
+    df = spark.createDataFrame(list(enumerate((x * scale).tolist())), "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 20, 40):
+        s = y @ y[q]
+        s[q] = -9
+        assert [v for v, _ in got[q]] == np.argsort(-s)[:5].tolist() and [c for _, c in got[q]] == pytest.approx(np.sort(s)[::-1][:5].tolist())
+
+
+def test_neighbours_run_rounds_on_small_tables(spark, monkeypatch):
+    rounds, compared = [], ann._compared
+    monkeypatch.setattr(ann, "_compared", lambda *a: rounds.append(1) or compared(*a))
+    monkeypatch.setattr(ann, "_MOST_HOME", 50)
+    monkeypatch.setattr(ann, "_MOST_ASKING", 2)
+    x = np.random.default_rng(12).normal(size=(500, 24)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.neighbours(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 500, 50):
+        s = y @ y[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert rounds and hits >= 48
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lamina_")]
 
 
 def test_pipeline_stages(spark):
