@@ -51,8 +51,14 @@ def literal(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(out, F.lit("^"))
 
 
-def dump(df: DataFrame, rec: str, most: int | None = None) -> DataFrame:
-    """Each record as a line of text; the first ``most`` in order, if given."""
+def keyword(value: Column) -> Column:
+    """A keyword behind its mark; null is ``^``."""
+    return F.coalesce(F.concat(F.lit("$"), value), F.lit("^"))
+
+
+def dump(df: DataFrame, rec: str, most: int | None = None, keywords: tuple[str, ...] = ()) -> DataFrame:
+    """Each record as a line of text; the first ``most`` in order, if given. ``keywords``: columns that hold keywords."""
     rows = df.orderBy(rec).limit(most) if most is not None else df
-    line = F.concat(F.lit("{ "), F.concat_ws(" ", *(F.concat(F.lit(f"{f.name}: "), literal(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema if f.name != rec)), F.lit(" }"))
+    shown = {f.name: keyword(F.col(f"`{f.name}`")) if f.name in keywords else literal(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if f.name != rec}
+    line = F.concat(F.lit("{ "), F.concat_ws(" ", *(F.concat(F.lit(f"{name}: "), value) for name, value in shown.items())), F.lit(" }"))
     return rows.select(rec, line.alias("line"))

@@ -135,12 +135,15 @@ class Callback(Predicate):
         import pandas as pd
 
         function, keys = self.function, list(self.keys)
+        found = [field_of(schema, k) for k in keys]
+        if None in found:  # an unknown field: false, as in a comparison
+            return F.lit(False)
 
         def test(rows):
             return function(rows.set_axis(keys, axis=1)).fillna(False).astype(bool)
 
         test.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}  # Spark reads types, not their names
-        return F.coalesce(F.pandas_udf(test, "boolean")(F.struct(*(field_of(schema, k)[0].alias(f"c{i}") for i, k in enumerate(keys)))), F.lit(False))
+        return F.coalesce(F.pandas_udf(test, "boolean")(F.struct(*(f[0].alias(f"c{i}") for i, f in enumerate(found)))), F.lit(False))
 
 
 def eq(key: str, value: object) -> Predicate:

@@ -81,3 +81,11 @@ def field_index(df: DataFrame, rec: str, key: str) -> DataFrame:
     if found is None:
         raise UnknownField(key)
     return df.select(F.col(rec), found[0].alias(key))
+
+
+def indexed(index: DataFrame, ordinals: DataFrame | list[int], rec: str) -> DataFrame:
+    """The rows of a ``field_index`` at some ordinals, given as a list or as a DataFrame with the column ``rec``, each once:
+    what a reducer over an index reads. A short list becomes a filter that scans can use."""
+    if isinstance(ordinals, list):
+        return index.filter(F.col(rec).isin(ordinals))
+    return index.join(ordinals.select(rec), rec, "left_semi")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import access, text
@@ -114,8 +114,8 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 _query("q25_sum_f64", "select round(sum(value), 2) total from events")(lambda s, d: _rounded(events(s, d).reduce(total=("sum_f64", "value")), "total"))
 _query("q26_sum_i64", "select sum(user_id)::bigint total from events")(lambda s, d: events(s, d).reduce(total=("sum_i64", "user_id")))
-_query("q26b_sum_i64_wrap", "select (((sum(event_id::hugeint * 4000000000000000) % 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808)::bigint total from events where event_id < 900")(
-    lambda s, d: (df := events(s, d).df.filter("event_id < 900").select((F.col("event_id") * 4000000000000000).alias("big"))).agg(reducers.sum_i64(df, "big", "wrap").alias("total"))
+_query("q26b_sum_i64_wrap", "select (((sum((event_id % 900)::hugeint * 4000000000000000) % 18446744073709551616 + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808)::bigint total from events")(
+    lambda s, d: (df := events(s, d).df.select((F.col("event_id") % 900 * 4000000000000000).alias("big"))).agg(reducers.sum_i64(df, "big", "wrap").alias("total"))
 )
 _query("q26c_sum_i64_wrap_all", "select (((sum((event_id % 2000)::hugeint * 4000000000000000) % 18446744073709551616 + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808)::bigint total from events")(
     lambda s, d: (df := events(s, d).df.select((F.col("event_id") % 2000 * 4000000000000000).alias("big"))).agg(reducers.sum_i64(df, "big", "wrap").alias("total"))
@@ -143,6 +143,12 @@ _query("q36_running_sum", "select page, round(sum(part) over (order by page), 2)
 _query("q37_is_uniform", "select false uniform")(lambda s, d: _sparse(events(s, d)).is_uniform())
 _query("q37b_is_uniform_dense", "select true uniform")(lambda s, d: events(s, d).is_uniform())
 _query("q38_field_index", "select event_id, value from events")(lambda s, d: reducers.field_index(events(s, d).df, "event_id", "value"))
+_query("q38b_indexed_reducers", "select round(sum(value), 2) total, min(value) least, max(value) greatest, count(value) n from events where event_id % 3 = 1")(
+    lambda s, d: _rounded(reducers.indexed(reducers.field_index(events(s, d).df, "event_id", "value"), events(s, d).df.filter("event_id % 3 = 1").select("event_id"), "event_id").transform(lambda i: reducers.reduce(i, total=("sum_f64", "value"), least=("min_f64", "value"), greatest=("max_f64", "value"), n=("count", "value"))), "total")
+)
+_query("q38c_indexed_i64", "select sum(user_id)::bigint users from events where event_id in (0, 42, 99, 256)")(
+    lambda s, d: reducers.indexed(reducers.field_index(events(s, d).df, "event_id", "user_id"), [0, 42, 99, 256, 10**12], "event_id").transform(lambda i: reducers.reduce(i, users=("sum_i64", "user_id")))
+)
 _query("q39_projection", "select event_id, event_type from events")(lambda s, d: events(s, d).select("event_id", "event_type"))
 _query("q40_slot_projection", "select event_id, user_id from events")(lambda s, d: events(s, d).slots(0, 2))
 _query("q40b_wide_projection", "select l_partkey, l_returnflag, l_tax from lineitem where l_quantity > 45")(lambda s, d: Records(_table(s, d, "lineitem"), "l_orderkey").where(gt("l_quantity", 45)).select("l_partkey", "l_returnflag", "l_tax"))
@@ -174,6 +180,22 @@ _query("q49_list_sum", "select vec_id, round(list_sum(embedding::double[]), 4) t
 )
 _query("q50_time_ns", "select event_id, epoch_us(ts) * 1000 ns from events")(lambda s, d: events(s, d).df.select("event_id", text.time_ns(F.col("ts")).alias("ns")))
 _query("q51_time_date", "select event_id, ts::date on_day from events")(lambda s, d: events(s, d).df.select("event_id", text.time_ns_date(text.time_ns(F.date_trunc("DAY", "ts"))).alias("on_day")))
+_query("q51b_time_date_rounds", "select event_id, (date '1970-01-01' + (event_id % 1000 + (event_id % 2))::int) on_day from events")(
+    lambda s, d: events(s, d).df.select("event_id", text.time_ns_date(F.col("event_id") % 1000 * 86_400_000_000_000 + F.when(F.col("event_id") % 2 == 1, 86_400_000_000_000 - 400_000).otherwise(400_000)).alias("on_day"))
+)
+_query(
+    "q52b_text_dump_kinds",
+    "select event_id, '{ event_type: $' || event_type || ' flag: ?' || (user_id % 2 = 0)::varchar || ' user_id: =' || user_id || ' value: ~' || (user_id / 4.0)::double::varchar || ' ts: @' || strftime(ts, '%Y-%m-%d') || "
+    "' gone: ^ xs: [=' || user_id || ', =' || (user_id + 1) || '] raw: <' || upper(hex(event_type::blob)) || '> in: { a: =' || user_id || ' b: ^ } quote: \"\\\"' || event_type || '\\n\" }' line from events order by event_id limit 500",
+)(
+    lambda s, d: text.dump(
+        events(s, d).df.select(
+            "event_id", "event_type", (F.col("user_id") % 2 == 0).alias("flag"), "user_id", (F.col("user_id") / 4.0).alias("value"), "ts", F.lit(None).cast("long").alias("gone"), F.array(F.col("user_id"), F.col("user_id") + 1).alias("xs"),
+            F.col("event_type").cast("binary").alias("raw"), F.struct(F.col("user_id").alias("a"), F.lit(None).cast("string").alias("b")).alias("in"), F.concat(F.lit('"'), "event_type", F.lit("\n")).alias("quote"),
+        ),
+        "event_id", 500, keywords=("event_type",),
+    )
+)
 _query("q52_text_dump", "select event_id, '{ event_type: \"' || event_type || '\" user_id: =' || user_id || ' }' line from events order by event_id limit 20")(
     lambda s, d: text.dump(events(s, d).df.select("event_id", "event_type", "user_id"), "event_id", 20)
 )
@@ -182,17 +204,46 @@ _query("q53_string_escape", "select doc_id, md5(replace(replace(replace(replace(
 )
 _query("q54_printable", "select count(*) n from documents where length(text) between 1 and 4096 and not regexp_matches(text, '[^\\x20-\\x7e]')")(lambda s, d: _table(s, d, "documents").filter(text.is_printable(F.col("text"))).agg(F.count("*").alias("n")))
 _query("q55_record_json", "select event_id, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' as json from events")(lambda s, d: Records(events(s, d).df.select("event_id", "event_type", "user_id"), "event_id").to_json())
+# Readers whose accesses are sequential, random, mixed or too few to tell: of each user's events the n-th reads this record.
+_ACCESSES = (
+    "(select user_id, event_id, case user_id % 4 when 0 then n when 1 then n * 1000 + n % 7 when 2 then (n // 2) * 1000 + n % 2 else n * 50 end record "
+    "from (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 n from events))"
+)
+
+
+def _accesses(s: SparkSession, d: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    numbered = events(s, d).df.select("user_id", "event_id", n.cast("long").alias("n"))
+    n, kind = F.col("n"), F.col("user_id") % 4
+    record = F.when(kind == 0, n).when(kind == 1, n * 1000 + n % 7).when(kind == 2, F.floor(n / 2) * 1000 + n % 2).otherwise(n * 50)
+    return numbered.select("user_id", "event_id", record.alias("record"))
+
+
+_PAGES = "select distinct event_id // 256 page from events where value > 200"
 _query(
     "q56_page_coalesce",
-    "with p as (select distinct event_id // 256 page from events where value > 200), g as (select page, coalesce((page - lag(page) over (order by page) - 1 > 1)::int, 0) s from p), "
+    f"with p as ({_PAGES}), g as (select page, coalesce((page - lag(page) over (order by page) > 1)::int, 0) s from p), "
     "r as (select page, sum(s) over (order by page) run from g) select min(page) first_page, max(page) last_page, count(*) n_pages from r group by run",
 )(lambda s, d: access.coalesced_pages(events(s, d).where(gt("value", 200)).df.select(F.expr("event_id div 256").alias("page")), "page", 1))
 _query(
-    "q57_access_pattern",
-    "with j as (select user_id, abs(event_id - lag(event_id) over (partition by user_id order by event_id)) jump from events), "
-    "c as (select user_id, count(jump) n_jumps, coalesce(sum((jump <= 10)::int), 0)::bigint n_near, coalesce(sum((jump > 100)::int), 0)::bigint n_far from j group by 1) "
-    "select *, case when n_jumps < 8 then 'unknown' when n_near >= 3 * greatest(n_far, 1) then 'sequential' when n_far >= 3 * greatest(n_near, 1) then 'random' else 'mixed' end pattern from c",
-)(lambda s, d: access.patterns(events(s, d).df, "user_id", "event_id", "event_id"))
+    "q56b_page_coalesce_gaps",
+    "with p as (select distinct event_type, event_id // 16 page from events where value > 120), g as (select event_type, page, coalesce((page - lag(page) over (partition by event_type order by page) > 3)::int, 0) s from p), "
+    "r as (select event_type, page, sum(s) over (partition by event_type order by page) run from g) "
+    "select event_type, min(page) first_page, max(page) last_page, count(*) n_pages, min(page) * 4096 byte_start, (max(page) - min(page) + 1) * 4096 byte_length from r group by event_type, run",
+)(lambda s, d: access.byte_ranges(access.coalesced_pages(events(s, d).where(gt("value", 120)).df.select("event_type", F.expr("event_id div 16").alias("page")), "page", 3, "event_type"), 4096))
+_PATTERNS = (
+    f"j as (select user_id, event_id, record, abs(record - lag(record) over (partition by user_id order by event_id)) jump from {_ACCESSES}), "
+    "c as (select user_id, count(jump) n_jumps, coalesce(sum((jump <= 10)::int), 0)::bigint n_near, coalesce(sum((jump > 100)::int), 0)::bigint n_far, max_by(record, event_id) last_record from j group by 1), "
+    "k as (select *, case when n_near + n_far < 8 then 'unknown' when n_near > 3 * n_far then 'sequential' when n_far > n_near then 'random' else 'mixed' end pattern from c)"
+)
+_query("q57_access_pattern", f"with {_PATTERNS} select * from k")(lambda s, d: access.patterns(_accesses(s, d), "user_id", "event_id", "record"))
+_query("q57b_predict_next", f"with {_PATTERNS} select user_id, unnest(range(last_record + 1, least(last_record + 4, 99) + 1)) record from k where pattern = 'sequential' and last_record + 1 < 100")(
+    lambda s, d: access.predicted(access.patterns(_accesses(s, d), "user_id", "event_id", "record"), "user_id", 4, 100)
+)
+_query(
+    "q57c_load_strategy",
+    "select event_id, case when event_type = 'click' and (event_id * 20000) // 1048576 <= 10 then 'eager' when (event_id * 20000) // 1048576 > 50 then 'lazy' else 'adaptive' end strategy from events",
+)(lambda s, d: events(s, d).df.select("event_id", access.strategy(F.when(F.col("event_type") == "click", "full").otherwise("partial"), F.col("event_id") * 20000).alias("strategy")))
 _query("q58_group_count", "select event_type, count(*) n, round(avg(value), 4) mean from events group by 1")(lambda s, d: events(s, d).df.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")))
 _query("q59_join", "select n_name, count(*) n from customer join nation on c_nationkey = n_nationkey group by 1")(
     lambda s, d: _table(s, d, "customer").join(_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))

@@ -30,6 +30,7 @@ def records(spark):
         (eq("nope", 1), []), (~eq("nope", 1), [0, 1, 2, 3, 4]), (and_(), [0, 1, 2, 3, 4]), (or_(), []), (not_(and_()), []),
         (eq("s", "a") & gt("v", 1), [3]), (eq("s", "b") | lt("v", 0), [1, 4]), (not_(or_(eq("s", "b"), lt("v", 0))), [0, 2, 3]),
         (eq("v", 1 << 70), []), (lt("v", 1 << 70), [0, 4]), (callback(lambda r: r["v"] > 0, "v"), [0, 3]),
+        (callback(lambda r: r["v"] > 0, "v", "nope"), []), (not_(callback(lambda r: r["v"] > 0, "nope")), [0, 1, 2, 3, 4]),
     ],
 )
 def test_predicates(records, predicate, want):
@@ -103,8 +104,30 @@ def test_text(spark):
 
 def test_pages_coalesce(spark):
     pages = spark.createDataFrame([(p,) for p in (3, 4, 6, 7, 12)], "page long")
-    assert sorted(map(tuple, access.coalesced_pages(pages, "page", 1).select("first_page", "last_page").collect())) == [(3, 7), (12, 12)]
-    assert access.coalesced_pages(pages, "page", 0).count() == 3
+    runs = lambda gap: sorted(map(tuple, access.coalesced_pages(pages, "page", gap).select("first_page", "last_page").collect()))
+    assert runs(1) == [(3, 4), (6, 7), (12, 12)] and runs(2) == [(3, 7), (12, 12)] and runs(5) == [(3, 12)]
+    assert runs(0) == [(p, p) for p in (3, 4, 6, 7, 12)]
+    assert {tuple(r) for r in access.byte_ranges(access.coalesced_pages(pages, "page", 1), 100).select("byte_start", "byte_length").collect()} == {(300, 200), (600, 200), (1200, 100)}
+
+
+def test_patterns(spark):
+    """By jumps: near at most 10, far beyond 100, others don't count."""
+    jumps = {"seven": [1] * 7, "near": [1] * 8, "three to one": [1] * 9 + [500] * 3, "more": [1] * 10 + [500] * 3, "far": [1] * 4 + [500] * 5, "tie": [1] * 4 + [500] * 4, "between": [50] * 20, "few and between": [50] * 20 + [1] * 7, "back": [-500] * 8, "edge": [10] * 7 + [101]}
+    rows = []
+    for who, steps in jumps.items():
+        at = 10_000
+        rows.append((who, 0, at))
+        for t, step in enumerate(steps, 1):
+            at += step
+            rows.append((who, t, at))
+    found = access.patterns(spark.createDataFrame(rows, "who string, t long, record long"), "who", "t", "record")
+    got = {r["who"]: r["pattern"] for r in found.collect()}
+    assert got == {"seven": "unknown", "near": "sequential", "three to one": "mixed", "more": "sequential", "far": "random", "tie": "mixed", "between": "unknown", "few and between": "unknown", "back": "random", "edge": "sequential"}
+    ahead = {(r["who"], r["record"]) for r in access.predicted(found, "who", 3, 10_011).collect()}
+    assert ahead == {("near", 10_009), ("near", 10_010)}
+    mb = 1 << 20
+    sizes = spark.createDataFrame([("full", 11 * mb - 1), ("full", 11 * mb), ("full", 51 * mb), ("none", 1), ("none", 51 * mb - 1)], "hint string, size long")
+    assert [r[0] for r in sizes.select(access.strategy(F.col("hint"), F.col("size"))).collect()] == ["eager", "adaptive", "lazy", "adaptive", "adaptive"]
 
 
 def test_running_over_many_chunks(spark):
@@ -119,4 +142,4 @@ def test_running_over_many_chunks(spark):
         assert sums[i] == total and tops[i] == top
     by = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), ("b", 9000), ("b", 9001)], "who string, page long")
     got = sorted(map(tuple, access.coalesced_pages(by, "page", 1, "who").select("who", "first_page", "last_page", "n_pages").collect()))
-    assert got == [("a", 1, 3, 2), ("b", 2, 2, 1), ("b", 9000, 9001, 2)]
+    assert got == [("a", 1, 1, 1), ("a", 3, 3, 1), ("b", 2, 2, 1), ("b", 9000, 9001, 2)]
