@@ -8,9 +8,9 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 
-from lamina.sources.wire import BINARY, BOOL, COLUMNAR, EMBEDDED, FILE, FLOAT, FOOTER, INT, LIST, OBJECT, PAGE, PAGED, STR, TIME, FormatError, bitmap_size, schema_hash
+from lamina.sources.wire import BINARY, BOOL, COLUMNAR, DELTA_TAIL, DENSE, EMBEDDED, FILE, FLOAT, FOOTER, INT, LIST, NARROW, OBJECT, PACKED_BOOLS, PAGE, PAGED, STR, TIME, FormatError, bitmap_size, schema_hash
 
-VERSION = 0x0101
+VERSION, COMPACT_VERSION = 0x0101, 0x0103
 
 
 def type_mark(kind: pa.DataType) -> int:
@@ -21,7 +21,7 @@ def type_mark(kind: pa.DataType) -> int:
         return INT
     if pa.types.is_floating(kind) or pa.types.is_decimal(kind):
         return FLOAT
-    if pa.types.is_timestamp(kind):
+    if pa.types.is_timestamp(kind) or pa.types.is_date(kind):
         return TIME
     if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
         return BINARY
@@ -99,7 +99,9 @@ def record(fields: dict[str, tuple[object, pa.DataType]], slots: dict[str, int])
 
 
 def _plain(column: pa.Array) -> pa.Array:
-    """Times as nanoseconds, decimals as doubles."""
+    """Times and dates (their midnight) as nanoseconds, decimals as doubles."""
+    if pa.types.is_date(column.type):
+        column = column.cast(pa.timestamp("s"))
     if pa.types.is_timestamp(column.type):
         return column.cast(pa.timestamp("ns", column.type.tz)).cast(pa.int64())
     return column.cast(pa.float64()) if pa.types.is_decimal(column.type) else column
@@ -153,8 +155,14 @@ def column_bytes(column: pa.Array) -> bytes:
     if pa.types.is_list(kind) or pa.types.is_struct(kind):
         raise FormatError("ERR_UNSUPPORTED", f"{kind} in columns")
     if type_mark(kind) in (STR, BINARY):
-        raw = [b"" if v is None else v.encode() if isinstance(v, str) else v for v in column.to_pylist()]
-        return bitmap + np.r_[0, np.cumsum([len(r) for r in raw])].astype("<u4").tobytes() + b"".join(raw)
+        if pa.types.is_null(kind):
+            return bitmap + bytes(4 * (n + 1))
+        filled = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(filled.buffers()[1], "<i8", n + 1, 8 * filled.offset)
+        if offsets[-1] - offsets[0] >= 1 << 32:
+            raise FormatError("ERR_UNSUPPORTED", "a column of 4 GB of text")
+        values = filled.buffers()[2]
+        return bitmap + (offsets - offsets[0]).astype("<u4").tobytes() + (values[int(offsets[0]) : int(offsets[-1])].to_pybytes() if values else b"")
     cells = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False)
     return bitmap + cells.astype("<f8" if type_mark(kind) == FLOAT else "<i8").tobytes()
 
@@ -203,3 +211,87 @@ def encode_pages(batches: Iterable[pa.RecordBatch], schema: pa.Schema, page_reco
     for b in pa.Table.from_batches(batches, schema).combine_chunks().to_batches(page_records):
         out += [w.page(b.slice(i, page_records)) for i in range(0, len(b), page_records)]
     return b"".join([*out, w.tail()])
+
+
+class CompactWriter:
+    """Compact rows as a stream of bytes: dense records where all fields are there, others with a mask; integers as narrow
+    as their column's type, booleans of a record packed, strings of the ``pooled`` columns (at most 65,536 values) by
+    number, a delta tail. The pool comes before the records, so it must be known at the start."""
+
+    _BLOCK = 64
+
+    def __init__(self, schema: pa.Schema, pool: list[str], pooled: set[str]):
+        self.schema, self.names = schema, schema.names
+        self.marks = [type_mark(f.type) for f in schema]
+        if any(pa.types.is_nested(f.type) for f in schema) or len(pool) > 1 << 16:
+            raise FormatError("ERR_UNSUPPORTED", "lists, records or a large pool in compact rows")
+        self.pool = {v: i for i, v in enumerate(pool)}
+        self.pooled = [f.name in pooled and m == STR for f, m in zip(schema, self.marks, strict=True)]
+        self.widths = [f.type.bit_width // 8 if m == INT and pa.types.is_integer(f.type) else 0 for f, m in zip(schema, self.marks, strict=True)]
+        self.bools = [i for i, m in enumerate(self.marks) if m == BOOL]
+        self.offsets: list[int] = []
+
+    def head(self) -> bytes:
+        n = len(self.names)
+        out = struct.pack("<H", n) + bytes(self.marks) + b"".join(k.encode() + b"\0" for k in self.names)
+        out = _padded(out) + bytes(self.widths) + bytes(int(p) for p in self.pooled) + struct.pack("<H", len(self.pool)) + b"".join(v.encode() + b"\0" for v in self.pool)
+        if self.pool:
+            out += bytes(-(32 + len(out)) % 8)
+        flags = DENSE | PACKED_BOOLS | NARROW | DELTA_TAIL | EMBEDDED
+        out = struct.pack("<IHHQQ8x", FILE, COMPACT_VERSION, flags, schema_hash(out), 0) + out
+        self.size = len(out)
+        return out
+
+    def _word(self, row: list) -> bytes:
+        return sum(1 << k for k, i in enumerate(self.bools) if row[i]).to_bytes(-(-len(self.bools) // 8), "little")
+
+    def _cell(self, i: int, value: object) -> tuple[bytes, int]:
+        """A field's bytes and what they are aligned to."""
+        if self.pooled[i]:
+            return struct.pack("<H", self.pool[value]), 2
+        if self.marks[i] in (STR, BINARY):
+            raw = value.encode() if isinstance(value, str) else value
+            return _padded(struct.pack("<I", len(raw)) + raw), 1
+        width = self.widths[i] or 8
+        return (struct.pack("<d", value) if self.marks[i] == FLOAT else int(value).to_bytes(width, "little", signed=True)), width
+
+    def _record(self, row: list) -> bytes:
+        dense = all(v is not None for v in row)
+        body, table, mask = b"", [], bytearray([128] * (-(-len(row) // 7) - 1) + [0])
+        there = [i for i, v in enumerate(row) if v is not None]
+        first_bool = next((i for i in there if i in self.bools), None)
+        start = 9 if dense else 9 + len(mask) + 2 * (len(there) - max(0, sum(i in self.bools for i in there) - 1))
+        for i in there:
+            mask[i // 7] |= 1 << i % 7
+            if i in self.bools:
+                if i != first_bool:
+                    continue
+                cell, align = self._word(row), max(1, -(-len(self.bools) // 8))
+            else:
+                cell, align = self._cell(i, row[i])
+            if dense:
+                body += bytes(-len(body) % align)
+            table.append(start + len(body))
+            body += cell
+        if table and table[-1] > 0xFFFF:
+            raise FormatError("ERR_UNSUPPORTED", "record beyond 64 KB before its last field")
+        lead = b"" if dense else bytes(mask) + np.array(table, "<u2").tobytes()
+        return struct.pack("<IIB", OBJECT, 9 + len(lead) + len(body), int(dense)) + lead + body
+
+    def sector(self, batch: pa.RecordBatch) -> bytes:
+        columns = [_plain(c).to_pylist() for c in batch.columns]
+        out = []
+        for row in zip(*columns, strict=True):
+            self.offsets.append(self.size)
+            out.append(self._record(list(row)))
+            self.size += len(out[-1])
+        return b"".join(out)
+
+    def tail(self) -> bytes:
+        n, at = len(self.offsets), np.array(self.offsets, dtype=np.int64)
+        anchors = at[:: self._BLOCK]
+        deltas = at - np.repeat(anchors, self._BLOCK)[:n] if n else at
+        index = struct.pack("<IIHH4x", n, self._BLOCK, 0, len(anchors)) if len(anchors) <= 0xFFFF else None
+        if index is None:
+            raise FormatError("ERR_UNSUPPORTED", "more than 65,535 blocks of records")
+        return index + anchors.astype("<u8").tobytes() + deltas.astype("<u4").tobytes() + struct.pack("<QI", self.size, FOOTER)

@@ -1,10 +1,17 @@
 """``spark.read/write/readStream.format("records")`` for the binary record format.
 
 Reading: ``path`` is a file or folder on a file system that all executors mount; ``columns`` (comma separated) reads
-only those; ``records_per_partition`` sets the split. Records are numbered through the files in the order of their
-names, in ``_rec``; filters on ``_rec`` narrow the partitions. ``register`` comes first. For
-other file systems ``read_anywhere`` reads whole files through Spark. Writing: a file per partition in ``layout`` (row,
-columnar or paged), renamed into place when the job commits. Streaming reads one growing paged or row file.
+only those; ``records_per_partition`` sets the split, which in paged files follows the pages. Records are numbered through
+the files in the order of their names, in ``_rec``; filters on ``_rec`` narrow the partitions. ``register`` comes first. For
+other file systems ``read_anywhere`` reads whole files through Spark, and ``ranged`` reads byte ranges by a function.
+
+Writing: files per partition in ``layout`` (row, compact, columnar or paged; a columnar file has ``records_per_file`` at most),
+renamed into place when the job commits. An overwrite then removes the record files that were there before, and nothing
+else: until then a reader may see both, and no crash loses the old ones. With ``batch`` (a number), files of an earlier run
+of the same batch are replaced, so that a repeated batch leaves its records once.
+
+Streaming reads all files of a folder, present and future, each as far as it is whole; paged and row files may still be
+growing. The offset is the number of records taken of each file. In a stream ``_rec`` counts within a file.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from __future__ import annotations
 import mmap
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,22 +30,27 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lamina.sources import encode
-from lamina.sources.wire import FormatError, RecordFile, wider_schema
+from lamina.sources.wire import FormatError, RangedFile, RecordFile, wider_schema
 
 SUFFIX = ".rec"
 _PER_PARTITION = 1 << 18
+_PER_FILE = 1 << 20
 _BATCH = 1 << 15
 
 
 def _local(path: str) -> str:
-    return path.removeprefix("file://")
+    path = path.removeprefix("file://")
+    if "://" in path:
+        raise ValueError(f"the records format needs a mounted file system, not {path}; use read_anywhere or ranged")
+    return path
 
 
 def files(path: str) -> list[str]:
+    """The record files of a folder, in the order of their names; or the file itself."""
     path = _local(path)
     if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith(("_", ".")))
-    return [path]
+        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(SUFFIX) and not f.startswith(("_", ".")))
+    return [path] if os.path.exists(path) else []
 
 
 def mapped(path: str, streaming: bool = False) -> RecordFile:
@@ -57,6 +69,19 @@ def _batches(f: RecordFile, start: int, stop: int, schema: pa.Schema, base: int
         yield b
 
 
+def _cuts(f: RecordFile, low: int, high: int, step: int) -> list[tuple[int, int]]:
+    """Ranges of about ``step`` records that cover ``low`` to ``high``; in a paged file they end where a page does."""
+    if f.layout != "paged":
+        return [(k, min(high, k + step)) for k in range(low, high, step)]
+    out, start = [], low
+    for p in f.pages:
+        end = min(high, p.first + p.n)
+        if end > start and (end - start >= step or end == high):
+            out.append((start, end))
+            start = end
+    return out
+
+
 @dataclass
 class Range(ds.InputPartition):
     path: str
@@ -89,12 +114,13 @@ class RecordReader(ds.DataSourceReader):
     def partitions(self) -> list[Range]:
         step, base, out = int(self.options.get("records_per_partition", _PER_PARTITION)), 0, []
         for path in files(self.options["path"]):
-            n = mapped(path).n
+            f = mapped(path)
+            n = f.n
             if self.only is not None:
                 out += [Range(path, i - base, i - base + 1, base) for i in sorted(self.only) if base <= i < base + n and i >= self.low and (self.high is None or i <= self.high)]
             else:
                 low, high = max(0, self.low - base), n if self.high is None else min(n, self.high + 1 - base)
-                out += [Range(path, k, min(high, k + step), base) for k in range(low, high, step)]
+                out += [Range(path, a, z, base) for a, z in _cuts(f, low, high, step)]
             base += n
         return out or [Range("", 0, 0, 0)]
 
@@ -105,58 +131,99 @@ class RecordReader(ds.DataSourceReader):
 
 @dataclass
 class Written(ds.WriterCommitMessage):
-    temporary: str
-    final: str
+    names: list[str]
 
 
 class RecordWriter(ds.DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict[str, str], overwrite: bool):
         self.schema, self.options, self.overwrite = schema, options, overwrite
+        self.job = uuid.uuid4().hex
         os.makedirs(_local(options["path"]), exist_ok=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        folder, layout = _local(self.options["path"]), self.options.get("layout", "row")
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}{SUFFIX}"
-        temporary = os.path.join(folder, f"_{name}")
+        folder, layout, names = _local(self.options["path"]), self.options.get("layout", "row"), []
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
+        tag = f"batch{int(self.options['batch']):010d}-" if "batch" in self.options else ""
+
+        def temporary() -> str:
+            names.append(f"{tag}part-{part:05d}-{len(names):03d}-{self.job}-{attempt}{SUFFIX}")
+            return os.path.join(folder, f"_{names[-1]}")
+
         first = next(batches, None)
         schema = first.schema if first is not None else to_arrow_schema(self.schema)
         every = (b for bs in (([first] if first is not None else []), batches) for b in bs)
-        with open(temporary, "wb") as f:
-            if layout == "row":
-                w = encode.RowWriter(schema)
+        if layout == "row":
+            w = encode.RowWriter(schema)
+            with open(temporary(), "wb") as f:
                 f.write(w.head())
                 for b in every:
                     f.write(w.sector(b))
                 f.write(w.tail())
-            elif layout == "paged":
-                w, size = encode.PageWriter(schema), int(self.options.get("page_records", 4096))
+        elif layout == "paged":
+            w, size = encode.PageWriter(schema), int(self.options.get("page_records", 4096))
+            with open(temporary(), "wb") as f:
                 f.write(w.head())
                 for b in every:
                     for k in range(0, len(b), size):
                         f.write(w.page(b.slice(k, size)))
                 f.write(w.tail())
-            elif layout == "columnar":
-                f.write(encode.encode_columns(list(every), schema))
-            else:
-                raise ValueError("layout: row, columnar or paged")
-        return Written(temporary, os.path.join(folder, name))
+        elif layout == "columnar":
+            most = int(self.options.get("records_per_file", _PER_FILE))
+            for held in _full(every, most):
+                with open(temporary(), "wb") as f:
+                    f.write(encode.encode_columns(held, schema))
+        elif layout == "compact":
+            pooled = {c.strip() for c in self.options.get("pooled", "").split(",") if c.strip()}
+            for held in _full(every, _PER_FILE):  # the pool of a file comes before its records
+                values = {v for b in held for c in sorted(pooled & set(schema.names)) for v in b.column(c).unique().to_pylist() if v is not None}
+                w = encode.CompactWriter(schema, sorted(values), pooled)
+                with open(temporary(), "wb") as f:
+                    f.write(w.head())
+                    for b in held:
+                        f.write(w.sector(b))
+                    f.write(w.tail())
+        else:
+            raise ValueError("layout: row, compact, columnar or paged")
+        return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        kept = {m.final for m in messages if m}
-        if self.overwrite:
-            for old in files(self.options["path"]):
-                if old not in kept:
-                    os.remove(old)
-        for m in messages:
-            if m:
-                os.replace(m.temporary, m.final)
+        folder = _local(self.options["path"])
+        kept = {n for m in messages if m for n in m.names}
+        before = [os.path.basename(f) for f in files(self.options["path"])]
+        for name in sorted(kept):
+            os.replace(os.path.join(folder, f"_{name}"), os.path.join(folder, name))
+        tag = f"batch{int(self.options['batch']):010d}-" if "batch" in self.options else None
+        for old in before:
+            if self.overwrite or (tag and old.startswith(tag)):
+                os.remove(os.path.join(folder, old))
+        self._clean()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        self._clean()
+
+    def _clean(self) -> None:
+        """Removes what attempts of this job have left that didn't count."""
+        folder = _local(self.options["path"])
+        for name in os.listdir(folder):
+            if name.startswith("_") and f"-{self.job}-" in name:
+                os.remove(os.path.join(folder, name))
+
+
+def _full(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, ``most`` rows at a time; one empty list if there are none."""
+    held, n, any_yet = [], 0, False
+    for b in batches:
+        while len(b):
+            take = b.slice(0, most - n)
+            held.append(take)
+            n, b = n + len(take), b.slice(len(take))
+            if n == most:
+                yield held
+                held, n, any_yet = [], 0, True
+    if held or not any_yet:
+        yield held
 
 
 @dataclass
@@ -167,23 +234,35 @@ class Arrived(ds.InputPartition):
 
 
 class RecordStream(ds.DataSourceStreamReader):
-    """Offsets are numbers of whole records; a page counts when it is whole."""
+    """Offsets are numbers of whole records by file name; a page counts when it is whole. Files that haven't changed since
+    the last look aren't opened again."""
 
     def __init__(self, schema: StructType, options: dict[str, str]):
-        self.schema, self.path = schema, files(options["path"])[0]
+        self.schema, self.path = schema, options["path"]
+        self.known: dict[str, tuple[int, int, int]] = {}
 
     def initialOffset(self) -> dict:
-        return {"records": 0}
+        return {}
 
     def latestOffset(self) -> dict:
-        return {"records": mapped(self.path, streaming=True).n}
+        out = {}
+        for path in files(self.path):
+            now = os.stat(path)
+            size, changed, n = self.known.get(path, (-1, -1, 0))
+            if (size, changed) != (now.st_size, now.st_mtime_ns):
+                n = mapped(path, streaming=True).n if now.st_size >= 32 else 0
+                self.known[path] = (now.st_size, now.st_mtime_ns, n)
+            out[os.path.basename(path)] = n
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[Arrived]:
-        f = mapped(self.path, streaming=True)
-        low, high = start["records"], end["records"]
-        if f.layout == "paged":
-            return [Arrived(self.path, max(low, p.first), min(high, p.first + p.n)) for p in f.pages if p.first < high and p.first + p.n > low]
-        return [Arrived(self.path, k, min(high, k + _PER_PARTITION)) for k in range(low, high, _PER_PARTITION)]
+        out = []
+        for path in files(self.path):
+            name = os.path.basename(path)
+            low, high = start.get(name, 0), end.get(name, 0)
+            if high > low:
+                out += [Arrived(path, a, z) for a, z in _cuts(mapped(path, streaming=True), low, high, _PER_PARTITION)]
+        return out
 
     def read(self, part: Arrived) -> Iterator[pa.RecordBatch]:
         yield from _batches(mapped(part.path, streaming=True), part.start, part.stop, to_arrow_schema(self.schema))
@@ -232,6 +311,37 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "file string, layout string, records long, pages int, keys array<string>, marks string, sealed boolean")
 
 
+def pread(path: str, start: int, stop: int) -> bytes:
+    """Bytes of a file on a mounted file system: the plainest fetcher."""
+    with open(_local(path), "rb") as f:
+        return os.pread(f.fileno(), stop - start, start)
+
+
+def ranged(spark: SparkSession, sizes: dict[str, int], fetch: Callable[[str, int, int], bytes] = pread, columns: list[str] | None = None, *, records_per_partition: int = _PER_PARTITION) -> DataFrame:
+    """Files that ``fetch(path, start, stop)`` gives byte ranges of, from any store. ``sizes``: their sizes in bytes. Only
+    head and tail are read to plan; a task then fetches the bytes of its records and columns. ``_rec`` counts through the
+    files in their order. In row layout lists and nested records are told from the first ``_BATCH`` records."""
+    opened = {path: RangedFile.open(lambda a, z, path=path: fetch(path, a, z), size) for path, size in sizes.items()}
+    schema = wider_schema([f.arrow_schema(_BATCH) for f in opened.values()]) if opened else pa.schema([("_rec", pa.int64())])
+    if columns:
+        schema = pa.schema([schema.field(c) for c in ["_rec", *columns] if c in schema.names])
+    plan, base = [], 0
+    for path, f in opened.items():
+        plan += [(path, sizes[path], a, z, base) for a, z in _cuts(f.file, 0, f.file.n, records_per_partition)]
+        base += f.file.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, size, start, stop, base in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                f = RangedFile.open(lambda a, z, path=path: fetch(path, a, z), size)
+                for k in range(start, stop, _BATCH):
+                    f.need(k, min(stop, k + _BATCH), schema.names)
+                    yield from _batches(f.file, k, min(stop, k + _BATCH), schema, base)
+
+    planned = spark.createDataFrame(plan, "path string, size long, start long, stop long, base long")
+    return planned.repartition(max(1, len(plan)), "path", "start").mapInArrow(run, from_arrow_schema(schema))
+
+
 def read_anywhere(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Files on any file system that Spark reads, whole (each under 2 GB), one a task. ``_rec`` counts within a file,
     which ``_file`` names. The schema is that of all files."""

@@ -17,6 +17,8 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lamina-records-")
+    if "://" in at.replace("file://", "", 1):
+        raise ValueError(f"record files need a mounted file system, not {at}")
     path = os.path.join(at.removeprefix("file://"), f"records-{uuid.uuid4().hex}")
     os.makedirs(path)
     return path

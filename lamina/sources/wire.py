@@ -9,6 +9,7 @@ presence bitmap and cells (or offsets and bytes) per field. Paged layout: pages
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -162,22 +163,22 @@ class RecordFile:
 
     def _schema(self) -> int:
         """Reads the schema; returns the end of what the hash covers."""
-        self._need(32, 2, "schema header")
+        self._need(32, 2, "number of keys")
         (n,) = struct.unpack_from("<H", self.data, 32)
-        self._need(34, n, "type manifest")
+        self._need(34, n, "type marks")
         self.sigils = [LETTERS.get(s, s) for s in self.data[34 : 34 + n]]
-        self.keys, at = self._strings(34 + n, n, "string pool")
+        self.keys, at = self._strings(34 + n, n, "keys")
         at += -at % 8
         self.widths, self.attributes = [0] * n, [0] * n
         if self.flags & NARROW:
-            self._need(at, n, "narrow widths")
+            self._need(at, n, "widths of cells")
             self.widths, at = list(self.data[at : at + n]), at + n
         if self.flags & COMPACT:
-            self._need(at, n, "field attributes")
+            self._need(at, n, "attributes of keys")
             self.attributes, at = list(self.data[at : at + n]), at + n
             if at + 2 <= len(self.data):
                 (count,) = struct.unpack_from("<H", self.data, at)
-                self.pool, at = self._strings(at + 2, count, "value pool")
+                self.pool, at = self._strings(at + 2, count, "pooled strings")
                 if count:
                     at += -at % 8
         return at
@@ -274,8 +275,8 @@ class RecordFile:
         return out
 
     # -- types
-    def arrow_schema(self) -> pa.Schema:
-        """Types by the type marks; in row layout all records, block by block, tell lists, nested records and marks that
+    def arrow_schema(self, most: int | None = None) -> pa.Schema:
+        """Types by the type marks; in row layout all records (or the first ``most``), block by block, tell lists, nested records and marks that
         a last null has overwritten. A nested record has the fields of all records in its place."""
         kinds = {INT: pa.int64(), FLOAT: pa.float64(), BOOL: pa.bool_(), STR: pa.string(), TIME: pa.int64(), BINARY: pa.binary(), KEYWORD: pa.string(), NULL: pa.null()}
         if LINK in self.sigils:
@@ -284,8 +285,9 @@ class RecordFile:
         if self.layout == "row" and not self.flags & DENSE and self.n:
             own: set[str] = set()
             found: dict[str, pa.DataType] = {}
-            for start in range(0, self.n, _SCHEMA_ROWS):
-                places = self._positions(self.record_offsets(start, min(self.n, start + _SCHEMA_ROWS)), list(range(len(self.keys))))
+            looked = self.n if most is None else min(self.n, most)
+            for start in range(0, looked, _SCHEMA_ROWS):
+                places = self._positions(self.record_offsets(start, min(looked, start + _SCHEMA_ROWS)), list(range(len(self.keys))))
                 for slot, key in enumerate(self.keys):
                     at = places[slot][places[slot] >= 0]
                     if len(at):
@@ -520,3 +522,99 @@ class RecordFile:
                 arrays[k] = pa.concat_arrays([self._column(s, places[id(p)][s], p.n, max(start, p.first) - p.first, min(stop, p.first + p.n) - p.first, schema.field(k).type) for p in parts])
         arrays["_rec"] = pa.array(np.arange(start, start + m))
         return pa.RecordBatch.from_arrays([arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(m, f.type) for f in schema], schema=schema)
+
+
+class RangedFile:
+    """A file of which byte ranges are fetched as they are needed: head and tail to open it, then what a range of records
+    and columns takes. The bytes not fetched are zero pages that the system doesn't hold."""
+
+    _STEP = 1 << 16
+
+    def __init__(self, fetch: Callable[[int, int], bytes], size: int):
+        self.fetch, self.size = fetch, size
+        self.bytes = np.zeros(size, np.uint8)
+        self.there = np.zeros(-(-size // self._STEP), bool)
+        self.fetched = 0
+
+    @classmethod
+    def open(cls, fetch: Callable[[int, int], bytes], size: int) -> RangedFile:
+        f = cls(fetch, size)
+        f.ensure(max(0, size - cls._STEP), size)
+        head = cls._STEP
+        while True:
+            f.ensure(0, min(size, head))
+            try:
+                f._tail()
+                f.file = RecordFile.open(memoryview(f.bytes))
+                return f
+            except FormatError:
+                if head >= size:
+                    raise
+                head *= 16  # keys beyond the head
+
+    def _tail(self) -> None:
+        """Fetches the index at the end, which the footer points to."""
+        if self.size < 44:
+            return
+        flags, tail = struct.unpack_from("<H8xQ", self.bytes, 6)
+        back = 28 if flags & PAGED else 20 if flags & COLUMNAR else 12
+        (end,) = struct.unpack_from("<Q", self.bytes, self.size - back)
+        tail = end if flags & (PAGED | COLUMNAR) or not tail else tail
+        if 0 < tail < self.size:
+            self.ensure(tail, self.size)
+        if flags & PAGED:  # pages are checked by their first bytes
+            pages = struct.unpack_from("<I", self.bytes, self.size - 12)[0]
+            for i in range(pages if tail + 28 * pages <= self.size else 0):
+                at = struct.unpack_from("<Q", self.bytes, tail + 28 * i + 16)[0]
+                self.ensure(at, min(self.size, at + 24))
+
+    def ensure(self, start: int, stop: int) -> None:
+        """Fetches the bytes of a range that aren't there yet, neighbouring ones together."""
+        step = self._STEP
+        first, last = max(0, start) // step, -(-min(stop, self.size) // step)
+        missing = np.flatnonzero(~self.there[first:last]) + first
+        if not len(missing):
+            return
+        for run in np.split(missing, np.flatnonzero(np.diff(missing) > 1) + 1):
+            a, z = int(run[0]) * step, min(self.size, (int(run[-1]) + 1) * step)
+            data = self.fetch(a, z)
+            if len(data) != z - a:
+                raise FormatError("ERR_OUT_OF_BOUNDS", f"fetched {len(data)} bytes of {z - a}")
+            self.bytes[a:z] = np.frombuffer(data, np.uint8)
+            self.there[run] = True
+            self.fetched += z - a
+
+    def need(self, start: int, stop: int, keys: list[str]) -> None:
+        """Fetches what records ``start`` to ``stop`` take: their bytes in row layout, the columns' cells in columnar
+        layout, whole pages in paged layout."""
+        f = self.file
+        start, stop = max(0, start), min(f.n, stop)
+        if stop <= start:
+            return
+        if f.layout == "row":
+            at = f.record_offsets(start, stop)
+            after = f.record_offsets(stop, stop + 1)[0] if stop < f.n else f.tail
+            self.ensure(int(at.min()), int(max(after, at.max() + 8)))
+            last = int(at.max())
+            self.ensure(last, last + int(struct.unpack_from("<I", self.bytes, last + 4)[0]))
+        elif f.layout == "paged":
+            for p in f.pages:
+                if p.first < stop and p.first + p.n > start:
+                    self.ensure(p.at, p.at + p.size)
+        else:
+            for key in keys:
+                slot = f.keys.index(key) if key in f.keys else None
+                if slot in f.columns:
+                    at, cells = f.columns[slot][0], f.columns[slot][0] + bitmap_size(f.n)
+                    self.ensure(at + start // 8, at + -(-stop // 8))
+                    if f.sigils[slot] in (STR, BINARY):
+                        self.ensure(cells + 4 * start, cells + 4 * (stop + 1))
+                        low, high = (struct.unpack_from("<I", self.bytes, cells + 4 * k)[0] for k in (start, stop))
+                        self.ensure(cells + 4 * (f.n + 1) + low, cells + 4 * (f.n + 1) + high)
+                    else:
+                        self.ensure(cells + 8 * start, cells + 8 * stop)
+
+    def arrow_schema(self, most: int) -> pa.Schema:
+        if self.file.layout == "row":
+            self.need(0, most, [])
+        return self.file.arrow_schema(most)

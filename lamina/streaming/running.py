@@ -10,7 +10,7 @@ from lamina.operators import reducers
 
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a growing file, each once, when whole."""
+    """The records of a growing file, or of all files of a folder that come and grow, each once, when whole."""
     from lamina.sources.record_source import register
 
     register(spark)
@@ -24,9 +24,10 @@ def running_sum(records: DataFrame, key: str, by: list[str] | None = None) -> Da
 
 
 def append(records: DataFrame, path: str, checkpoint: str, layout: str = "row") -> StreamingQuery:
-    """Appends each micro-batch as files of the record format; ends when what is available now is written."""
+    """Appends each micro-batch as files of the record format; ends when what is available now is written. A batch that is
+    repeated after a failure replaces what it has written before. One stream a folder, as batches are told by number."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.drop("_rec").write.format("records").mode("append").option("layout", layout).save(path)
+        batch.drop("_rec").write.format("records").mode("append").option("layout", layout).option("batch", number).save(path)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

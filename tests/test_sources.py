@@ -1,5 +1,6 @@
 """The record format: round trips in all layouts, compact records built by hand, faults, streams."""
 
+import datetime as dt
 import struct
 
 import numpy as np
@@ -10,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lamina.sources import encode, wire
-from lamina.sources.record_source import RecordSource, describe, read_anywhere, register
+from lamina.sources.record_source import RecordSource, describe, ranged, read_anywhere, register
 from lamina.sources.wire import FormatError, RecordFile
-from lamina.streaming.running import arriving, running_sum
+from lamina.streaming.running import append, arriving, running_sum
 
 FLAT = pa.RecordBatch.from_pydict(
     {"id": list(range(1000)), "username": [f"user_{i}" for i in range(1000)], "score": [i * 0.25 + 1.5 for i in range(1000)], "active": [i % 2 == 0 for i in range(1000)], "gap": [None if i % 3 else i for i in range(1000)], "word": [None if i % 7 else "héllo\n" * (i % 5) for i in range(1000)], "raw": [bytes([i % 256]) * (i % 9) for i in range(1000)]},
@@ -196,6 +197,97 @@ def test_stream_of_a_growing_file(spark, tmp_path, kind):
     assert RecordFile.open(path.read_bytes(), streaming=True).sealed
 
 
+def _ids(n: int, start: int = 0) -> pa.RecordBatch:
+    schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
+    return pa.RecordBatch.from_pydict({"id": list(range(start, start + n)), "score": [float(i) for i in range(start, start + n)]}, schema)
+
+
+def test_stream_of_a_folder(spark, tmp_path):
+    """All files, those that grow, and those that come later; each record once."""
+    folder, where, out = tmp_path / "in", str(tmp_path / "checkpoint"), str(tmp_path / "out")
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"{i}.rec").write_bytes(encode.encode_rows([_ids(100, 100 * i)], _ids(0).schema))
+    (folder / "notes.txt").write_text("no records")
+    w = encode.PageWriter(_ids(0).schema)
+    head, first, second = w.head(), w.page(_ids(50, 400)), w.page(_ids(50, 450))
+    (folder / "grows.rec").write_bytes(head + first + second[:30])
+    counts = []
+    for turn in range(3):
+        append(arriving(spark, str(folder)), out, where).awaitTermination()
+        counts.append(sorted(r["id"] for r in spark.read.format("records").load(out).select("id").collect()))
+        if not turn:
+            (folder / "grows.rec").write_bytes(head + first + second + w.tail())
+            (folder / "new.rec").write_bytes(encode.encode_columns([_ids(100, 500)], _ids(0).schema))
+    assert counts[0] == list(range(450)) and counts[1] == counts[2] == list(range(600))
+
+
+def test_repeated_batch_counts_once(spark, tmp_path):
+    register(spark)
+    write = lambda lo, hi, batch, parts: spark.range(lo, hi, numPartitions=parts).write.format("records").mode("append").option("batch", batch).save(str(tmp_path))
+    write(0, 50, 0, 3)
+    write(50, 80, 1, 4)
+    write(50, 80, 1, 2)  # again, with other partitions
+    assert sorted(r["id"] for r in spark.read.format("records").load(str(tmp_path)).collect()) == list(range(80))
+
+
+def test_overwrite_keeps_what_is_no_record_file(spark, tmp_path):
+    register(spark)
+    (tmp_path / "notes.txt").write_text("mine")
+    for n in (50, 20):
+        spark.range(n).write.format("records").mode("overwrite").save(str(tmp_path))
+    assert spark.read.format("records").load(str(tmp_path)).count() == 20
+    assert (tmp_path / "notes.txt").read_text() == "mine" and not [f for f in tmp_path.iterdir() if f.name.startswith("_")]
+
+    def fails(batches):
+        for b in batches:
+            if b.column(0)[0].as_py() > 3:
+                raise RuntimeError("lost")
+            yield b
+
+    with pytest.raises(Exception, match="lost"):
+        spark.range(10, numPartitions=5).mapInArrow(fails, "id long").write.format("records").mode("overwrite").save(str(tmp_path))
+    assert spark.read.format("records").load(str(tmp_path)).count() == 20
+    with pytest.raises(Exception, match="mounted"):
+        spark.read.format("records").load("hdfs://host/somewhere")
+
+
+@pytest.mark.parametrize("how", [encode.encode_rows, encode.encode_columns, encode.encode_pages])
+def test_ranged_reads(spark, tmp_path, how):
+    """Head, tail and the ranges that a read takes, and no more."""
+    big = pa.RecordBatch.from_pydict({"id": list(range(60_000)), "word": [f"some word {i}" * 3 for i in range(60_000)], "gap": [None if i % 3 else i for i in range(60_000)]})
+    data = how([big], big.schema)
+    calls = []
+    f = wire.RangedFile.open(lambda a, z: calls.append((a, z)) or data[a:z], len(data))
+    schema = f.arrow_schema(10)
+    opened = f.fetched
+    f.need(30_000, 30_100, ["id", "word", "gap"])
+    assert f.file.read(30_000, 30_100, schema).to_pylist() == [{"_rec": i, **r} for i, r in enumerate(big.slice(30_000, 100).to_pylist(), 30_000)]
+    assert f.fetched - opened <= 6 * (1 << 16) and (how is encode.encode_pages or f.fetched < len(data) / 2)
+    path = tmp_path / "x.rec"
+    path.write_bytes(data)
+    got = ranged(spark, {str(path): len(data)}, records_per_partition=7000).orderBy("_rec").collect()
+    assert [r.asDict() for r in got] == [{"_rec": i, **r} for i, r in enumerate(big.to_pylist())]
+    with pytest.raises(FormatError):
+        wire.RangedFile.open(lambda a, z: data[a:z][:-1], len(data))
+
+
+def test_compact_writer():
+    """Dense and sparse records, many booleans, narrow integers, pooled strings, dates, over several blocks."""
+    schema = pa.schema([("a", pa.int8()), ("x", pa.bool_()), ("s", pa.string()), ("y", pa.bool_()), ("b", pa.int32()), ("f", pa.float64()), ("p", pa.string()), ("d", pa.date32()), ("raw", pa.binary()), *((f"z{i}", pa.bool_()) for i in range(9))])
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(500):
+        row = {"a": i % 256 - 128, "x": i % 2 == 0, "s": "é" * (i % 7), "y": i % 3 == 0, "b": -(10**6) * i, "f": i / 7, "p": ["zero", "one", "two"][i % 3], "d": dt.date(2020, 1, 1) + dt.timedelta(i), "raw": bytes([i % 256]) * (i % 5)} | {f"z{k}": bool(i >> k & 1) for k in range(9)}
+        rows.append({k: None if i % 4 == 0 and rng.random() < 0.4 else v for k, v in row.items()})
+    w = encode.CompactWriter(schema, ["one", "two", "zero"], {"p"})
+    data = w.head() + w.sector(pa.RecordBatch.from_pylist(rows, schema)) + w.tail()
+    ns = lambda d: None if d is None else (d - dt.date(1970, 1, 1)).days * 86_400_000_000_000
+    assert _read(data) == [{"_rec": i, **r, "d": ns(r["d"])} for i, r in enumerate(rows)]
+    with pytest.raises(FormatError):
+        encode.CompactWriter(pa.schema([("l", pa.list_(pa.int64()))]), [], set())
+
+
 def test_describe(spark, tmp_path):
     for name, how in (("a", encode.encode_rows), ("b", encode.encode_columns), ("c", encode.encode_pages)):
         (tmp_path / f"{name}.rec").write_bytes(how([FLAT], FLAT.schema))
