@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from lamina.llm.common import LOWER, released, written
 
 _CHUNK_BYTES = 8 << 20
+#: Chunks, or ranges, of a task.
+_TOGETHER = 4
 #: n-grams (with repeats in several chunks) of a range of hashes, on average.
 _RANGE_KEYS = 1 << 20
 #: Tokens of a text that are walked as one; a part starts in the state that the tokens before it lead to.
@@ -189,10 +191,10 @@ def _asked(k: int, bits: int):
     return run
 
 
-def _totals(chunks: DataFrame, k: int, bits: int) -> DataFrame:
+def _totals(chunks: DataFrame, k: int, bits: int, parts: int) -> DataFrame:
     """The totals of order ``k`` that each chunk asks for, written; nothing refers to the shuffle's files afterwards."""
     ranges = chunks.mapInArrow(_asked(k, bits), "part long, chunk long, hashes binary, counts binary")
-    told = ranges.groupBy("part").applyInArrow(_told, "part long, chunk long, totals binary, kinds long, tokens long, once long, twice long")
+    told = ranges.repartition(parts, "part").groupBy("part").applyInArrow(_told, "part long, chunk long, totals binary, kinds long, tokens long, once long, twice long")
     return written(told, "told", compression="zstd")
 
 
@@ -303,11 +305,14 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     doc_type = plain.schema["doc_id"].dataType
     read, schema = _chunks(doc_type)
     chunks = written(plain.mapInArrow(read, schema), "chunks", compression="zstd")
-    asked = chunks.agg(F.sum("grams")).first()[0] or 0
+    asked, n_chunks = chunks.agg(F.sum("grams"), F.count("*")).first()
+    asked = asked or 0
+    # few chunks or ranges a task, however many there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // _TOGETHER))
     bits = max(0, int(np.ceil(np.log2(max(1, asked / _RANGE_KEYS)))))
     answers = []
     for k in range(1, order + 1):
-        answers.append(_totals(chunks, k, bits))
+        answers.append(_totals(chunks, k, bits, parts))
         released(spark)
     kinds, tokens, once, twice = (x or 0 for x in answers[0].agg(*(F.sum(c) for c in ("kinds", "tokens", "once", "twice"))).first())
     discount = min(max((once + 0.5) / (once + 2 * twice + 1), 0.05), 0.95)
@@ -343,5 +348,5 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     for k, a in enumerate(answers[1:], 2):
         every = every.unionByName(a.select(F.lit(k).alias("order"), "part", "chunk", "totals"))
     out = T.StructType([T.StructField("doc_id", doc_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(walk, out)
+    scored = chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(every.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(walk, out)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
