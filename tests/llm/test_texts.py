@@ -227,50 +227,73 @@ def test_sharding_tables(spark, docs):
     assert max(sums) - min(sums) < 0.1 * sum(sums) / 4
 
 
-def _anchors(text: str, k: int, hashes) -> list:
-    """Closed syncmers by definition, over given word hashes."""
-    h = [hashes[w] for w in _parts(text)]
-    found = [tuple(h[i : i + k]) for i in range(len(h) - k + 1) if min(h[i], h[i + k - 1]) <= min(h[i + 1 : i + k - 1])] if len(h) >= 2 * k else []
-    return found or h
-
-
-def _parts(text: str) -> list[str]:
-    import re
-
-    return re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
-
-
-def test_syncmers(spark, docs):
-    got = syncmers.compare(docs).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+def _closed(data: bytes, k: int, s: int, hashes: dict) -> list[bytes]:
+    """Closed syncmers by definition, over given hashes of substrings."""
+    out = []
+    for i in range(len(data) - k + 1):
+        inner = [hashes[data[j : j + s]] for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append(data[i : i + k])
+    return out
+
+
+def _short(data: bytes, s: int) -> list[bytes]:
+    return [data[i : i + s] for i in range(len(data) - s + 1)] or [data] * bool(data)
+
+
+@pytest.mark.parametrize(("k", "s", "block"), [(32, 9, 1 << 15), (12, 4, 50)])
+def test_syncmers(spark, docs, monkeypatch, k, s, block):
+    monkeypatch.setattr(syncmers, "_BLOCK", block)
+    rows = [r for r in ROWS if r[1] != LONG] + [(20, LONG[:9000]), (21, LONG[:8000] + "x" + LONG[8000:9000]), (22, "short one"), (23, "short one!"), (24, LONG[:63]), (25, LONG[:64])]
+    got = syncmers.compare(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("anchors", "stays", "own", "kept", "edited")}).repartition(3), k=k, s=s).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [t or "" for _, t in order]
     edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, texts[1:] + texts[:1])]
-    kinds = sorted({p for t in texts + edited for p in _parts(t)})
-    table = spark.createDataFrame([(k,) for k in kinds], "w string")
-    hashes = {r["w"]: r["h"] for r in table.select("w", F.hash("w").alias("h")).collect()}
+    every = [t.encode() for t in texts + edited]
+    kinds = sorted({x for t in every for x in _short(t, s)} | {t[i : i + k] for t in every for i in range(len(t) - k + 1)})
+    table = spark.createDataFrame([(x,) for x in kinds], "x binary")
+    hashes = {bytes(r["x"]): r["h"] for r in table.select("x", F.hash("x").alias("h")).collect()}
+
+    def prints(t: str) -> list[int]:
+        b = t.encode()
+        return [hashes[x] for x in (dict.fromkeys(_short(b, s)) if len(b) < 2 * k else _closed(b, k, s, hashes))]
 
     def like(a: str, b: str) -> float:
-        x, y = set(map(str, _anchors(a, 4, hashes))), set(map(str, _anchors(b, 4, hashes)))
+        short = min(len(a.encode()), len(b.encode())) < 2 * k
+        x, y = ({hashes[g] for g in (_short(t.encode(), s) if short else _closed(t.encode(), k, s, hashes))} for t in (a, b))
         return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
 
-    want = [(i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(like(t, e), 9), round(like(t, n), 9)) for (i, _), t, e, n in zip(order, texts, edited, texts[1:] + texts[:1])]
-    assert _by_id((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == _by_id(want)
+    shown = lambda t: "".join(f"{h & 0xFFFFFFFF:08x}" for h in prints(t))
+    want = [(i, len(t), hashlib.sha256(e.encode()).hexdigest(), shown(t), shown(e), round(like(t, e), 9), round(like(t, n), 9)) for (i, _), t, e, n in zip(order, texts, edited, texts[1:] + texts[:1])]
+    assert _by_id((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == _by_id(want)
+
+
+def test_syncmers_of_odd_texts(docs):
+    """Long, null, empty and repeated texts among clashing columns; equal texts have equal fingerprints."""
+    got = syncmers.compare(docs).collect()
+    assert len(got) == len(ROWS)
     prints = {}
     for r in got:
-        prints.setdefault(dict(order)[r["doc_id"]] or "", set()).add(r["fingerprint"])
-    assert all(len(p) == 1 for p in prints.values())
+        prints.setdefault(dict(ROWS)[r["doc_id"]] or "", set()).add(r["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values()) and prints[""] == {""}
+    assert len({*map(str, prints.values())}) == len(prints)
 
 
-def test_syncmers_of_short_and_longer_texts(spark):
-    """Seven words and eight: the words of both are compared."""
-    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "q r s t u v w x y z")], "doc_id long, text string")
-    got = {r["doc_id"]: r["near_next"] for r in syncmers.compare(df).collect()}
-    assert got[1] == pytest.approx(14 / 15) and got[2] == 0.0
+def test_syncmers_survive_edits(spark):
+    """Near copies share most anchors, also without white space and around 2 k bytes; other texts none."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    unspaced, sentence = letters(4000), "A few plain words that make about sixty letters in all, no more"
+    rows = [(1, unspaced), (2, unspaced[:1000] + "X" + unspaced[1000:]), (3, letters(4000)), (4, sentence), (5, sentence + "!!"), (6, letters(70))]
+    got = {r["doc_id"]: r["near_next"] for r in syncmers.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] > 0.95 and got[2] < 0.02 and got[4] > 0.9 and got[5] < 0.1
 
 
-def test_next_row_over_many_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("coarse", [4096, 8, 1])
+def test_next_row_over_many_ranges(spark, monkeypatch, coarse):
     monkeypatch.setattr(syncmers, "_RANGE_ROWS", 3)
     monkeypatch.setattr(syncmers, "_FINE", 4)
+    monkeypatch.setattr(syncmers, "_COARSE_RANGES", coarse)
     ids = [None, *random.Random(2).sample(range(10**12), 200), 5, 5]
     df = spark.createDataFrame([(i, f"t{k:03}") for k, i in enumerate(ids)], "id long, t string").repartition(5)
     got = {r["t"]: r["next_t"] for r in syncmers.with_next(df, "id", ["t"]).collect()}
