@@ -1,7 +1,8 @@
 """Jaccard join of word n-gram sets with prefix trees, and the groups that its links make.
 
 Every text becomes the set of its distinct shingles (hashes of consecutive words). Equal sets are one class, so copies
-cost no pairs. Then, without losing a link:
+cost no pairs. A class is known by 64 bits of a set's hash; where two sets share these (a second hash tells), the second
+hash is what they are known by. Then, without losing a link:
 
 1. Of a set's first quarter by hash, a linked partner shares all but the few shingles that the partner may lack. Sets
    with fewer shared ones (by any other class) drop out. A shingle that several sets of a batch hold is known as shared
@@ -197,7 +198,7 @@ def _joined(classes: list[int], sets: list[np.ndarray], blocks: list[int], perce
     return [(classes[i], classes[root(i)]) for i in range(len(classes)) if root(i) != i]
 
 
-def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False) -> DataFrame:
+def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False, _shared_ids: frozenset[int] = frozenset()) -> DataFrame:
     """Per row: the id, ``n_shingles`` (size of its set), ``class_id`` (of equal sets; null for the empty one) and
     ``component_id``: the least id that links of at least ``percent`` / 100 Jaccard similarity reach, itself included.
     ``percent``: above 75. With ``text_key``, the MD5 of the text (null: empty) too, which tells rows of one id apart."""
@@ -211,7 +212,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
             for k in range(0, len(b), 256):
                 rows = b.slice(k, 256)
                 sets = shingler.sets(rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class_id"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s, _shared_ids) for s in sets], pa.int64()), pa.array([_second(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class_id", "second"])
 
     def read_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,15 +223,19 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
                 start += len(found)
 
     if text_key:
-        known = plain.withColumn("text_key", F.md5("text")).mapInArrow(read_keyed, "doc_id long, n_shingles long, class_id long, text_key string")
+        known = plain.withColumn("text_key", F.md5("text")).mapInArrow(read_keyed, "doc_id long, n_shingles long, class_id long, second long, text_key string")
     else:
-        known = plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long")
+        known = plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long, second long")
     known = written(known, "shingled")
-    firsts = known.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    firsts = known.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.min("second").alias("low"), F.max("second").alias("high"))
     firsts = written(firsts, "firsts")
+    shared_ids = frozenset(r["class_id"] for r in firsts.filter("low <> high").select("class_id").toLocalIterator())  # n^2 / 2^65 expected: 3 of 10^10
+    if shared_ids:
+        return link(docs, percent=percent, words=words, id_col=id_col, text_col=text_col, text_key=text_key, _shared_ids=_shared_ids | shared_ids)
+    firsts = firsts.drop("low", "high")
 
     # 1. sets with enough shared shingles in their first quarter
-    started = written(plain.select("text").mapInArrow(_starts(words), "shingle long, class_id long, shared long"), "started")
+    started = written(plain.select("text").mapInArrow(_starts(words, _shared_ids), "shingle long, class_id long, shared long"), "started")
     local = started.filter("shingle is null").select("class_id", "shared")
     sent = started.filter("shingle is not null").select("shingle", "class_id").repartition("shingle").sortWithinPartitions("shingle", "class_id")
     shared = sent.mapInArrow(_shared, "class_id long, shared long").unionByName(local).groupBy("class_id").agg(F.sum("shared").alias("shared"))
@@ -253,7 +258,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
                 sets = shingler.sets(b.column(0).slice(k, 256).to_pylist())
                 offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), lists], names=["class_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_class(s, _shared_ids) for s in sets], pa.int64()), lists], names=["class_id", "shingles"])
 
     fetched = marked.mapInArrow(fetch, "class_id long, shingles array<long>")
     sets = written(fetched.join(active.select("class_id"), "class_id").groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
@@ -323,7 +328,7 @@ def _joined_all(classes: list[int], sets: list[np.ndarray], blocks: list[int], p
     return out
 
 
-def _starts(words: int):
+def _starts(words: int, shared_ids: frozenset[int] = frozenset()):
     """From texts: the first quarter of each set as rows of shingle and class, each shingle once a batch. For shingles
     that several classes of the batch hold the class is null, and rows without shingle count them for these classes."""
 
@@ -334,7 +339,7 @@ def _starts(words: int):
             for k in range(0, len(b), 256):
                 for s in shingler.sets(b.column(0).slice(k, 256).to_pylist()):
                     if len(s):
-                        starts[_class(s)] = s[: _quarter(len(s))]
+                        starts[_class(s, shared_ids)] = s[: _quarter(len(s))]
             if not starts:
                 continue
             classes = np.repeat(np.fromiter(starts, np.int64, len(starts)), [len(x) for x in starts.values()])
@@ -389,8 +394,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(*kept)
 
 
-def _class(s: np.ndarray) -> int | None:
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+def _class(s: np.ndarray, shared_ids: frozenset[int] = frozenset()) -> int | None:
+    """What a set is known by; null for the empty one. ``shared_ids``: numbers that several sets have."""
+    if not len(s):
+        return None
+    number = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+    return _second(s) if number in shared_ids else number
+
+
+def _second(s: np.ndarray) -> int | None:
+    return xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) if len(s) else None
 
 
 def _neighbours(percent: int):

@@ -190,6 +190,18 @@ def test_jaccard(spark, monkeypatch, words, percent, block):
     assert got == _linked(rows, words, percent)
 
 
+def test_jaccard_tells_sets_of_one_hash_apart(spark):
+    """Two sets with one 64-bit number are two classes: by their second hashes."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six"]
+    sets = jaccard.Shingler(4).sets(texts)
+    number = jaccard._class(sets[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["component_id"]) for r in jaccard.link(df, _shared_ids=frozenset([number])).collect()}
+    assert got == {0: (jaccard._second(sets[0]), 0), 1: (jaccard._class(sets[1]), 1), 2: (jaccard._second(sets[0]), 0)}
+    plain = {r["doc_id"]: r["class_id"] for r in jaccard.link(df).collect()}
+    assert plain == {0: number, 1: jaccard._class(sets[1]), 2: number}
+
+
 def test_trie_links():
     rng = random.Random(3)
     for _ in range(150):
