@@ -96,6 +96,9 @@ def _best(node: np.ndarray, near: np.ndarray, sim: np.ndarray, fresh: np.ndarray
 
 
 _LISTS = "node long, near array<long>, sims array<double>, fresh array<boolean>"
+_GRAPH = _LISTS + ", bucket long"
+_NEWS = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("near", pa.binary()), ("sims", pa.binary())])
+_NEWS_SQL = "bucket long, nodes binary, near binary, sims binary"
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -136,8 +139,42 @@ def _nearest(k: int):
     return run
 
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(_nearest(k), _LISTS)
+def _merged(lists: DataFrame, k: int, buckets: int) -> DataFrame:
+    """The ``k`` nearest of all lists of each node, with the node's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _nearest(k)(batches):
+            yield b.append_column("bucket", pa.array(_bucket(b.column(0).to_numpy(), buckets)))
+
+    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _GRAPH)
+
+
+def _bucket(node: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that a node's list is kept up to date in."""
+    x = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed_news(node: np.ndarray, near: np.ndarray, sim: np.ndarray, buckets: int) -> pa.Table:
+    """What a block has found, a row for each bucket it goes to."""
+    of = _bucket(node, buckets)
+    order = np.argsort(of, kind="stable")
+    kinds, starts = np.unique(of[order], return_index=True)
+    spans = list(zip(starts.tolist(), [*starts.tolist()[1:], len(of)], strict=True))
+    raw = [x[order].tobytes() for x in (node, near, sim.astype(np.float64))]
+    return pa.table([pa.array(kinds), *(pa.array([r[8 * a : 8 * z] for a, z in spans], pa.binary()) for r in raw)], schema=_NEWS)
+
+
+def _updated(k: int, buckets: int):
+    """From the lists of a bucket's nodes and what came for them: the lists of the next round."""
+
+    def run(lists: pa.Table, news: pa.Table) -> pa.Table:
+        node, near, sim, fresh = _flat(lists.select(["node", "near", "sims", "fresh"]))
+        more = [np.frombuffer(b"".join(news.column(c).to_pylist()), kind) for c, kind in (("nodes", "<i8"), ("near", "<i8"), ("sims", "<f8"))]
+        found = _best(np.r_[node, more[0]], np.r_[near, more[1]], np.r_[sim, more[2]], np.r_[np.zeros(len(fresh), bool), np.ones(len(more[0]), bool)], k)
+        return pa.Table.from_batches([found.append_column("bucket", pa.array(_bucket(found.column(0).to_numpy(), buckets)))])
+
+    return run
 
 
 def _projected(dim: int):
@@ -224,9 +261,9 @@ def in_blocks(nodes: DataFrame, dim: int, size: int) -> DataFrame:
     return written(coded.sortWithinPartitions("code", "node").select("node").mapInArrow(_homes(dim, size), "node long, home long"), "homes")
 
 
-def _compared(dim: int, send: int, k: int):
+def _compared(dim: int, send: int, k: int, buckets: int):
     """From a block's gathered members (``node``, ``members``, ``fresh``) and their vectors (``member``, ``vec``,
-    ``worst``): for each member its nearest fellow members beyond its worst neighbour."""
+    ``worst``): for each member its nearest fellow members beyond its worst neighbour, at most ``k``, packed by bucket."""
 
     def run(gathered: pa.Table, vectors: pa.Table) -> pa.Table:
         ids, worst = vectors.column("member").to_numpy(), vectors.column("worst").to_numpy()
@@ -264,14 +301,12 @@ def _compared(dim: int, send: int, k: int):
         if not found:
             return pa.Table.from_batches([], schema=_NEWS)
         node, near, sim = (np.concatenate(f) for f in zip(*found, strict=True))
-        return pa.Table.from_batches([_best(node, near, sim, np.ones(len(node), bool), k)])
+        best = pa.Table.from_batches([_best(node, near, sim, np.ones(len(node), bool), k)])
+        return _packed_news(*_flat(best)[:3], buckets)
 
     return run
 
 
-_NEWS = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("fresh", pa.list_(pa.bool_()))])
-
-
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id``, ``vector`` (array<double>) and two hashes of the vectors that take part, repeats gone."""
     v = F.col(vec_col).cast("array<double>")
@@ -314,7 +349,8 @@ def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, ro
     parts = max(1, -(-n * _DIRECTIONS // (64 * _BLOCK)))
     along = nodes.mapInArrow(_projected(dim), "direction int, along double, node long, vec binary")
     blocks = along.repartitionByRange(parts, "direction", "along").sortWithinPartitions("direction", "along", "node").mapInArrow(_blocks(dim), _LISTS)
-    graph = written(_merged(blocks, k), "graph")
+    buckets = max(1, -(-n // _MOST_HOME))
+    graph = written(_merged(blocks, k, buckets), "graph")
     released(spark)
     for turn in range(rounds if n > 2 else 0):
         lists = _around(graph, sample, turn).groupBy("node").agg(F.collect_list(F.struct("member", "fresh")).alias("x"))
@@ -323,11 +359,11 @@ def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, ro
         worst = graph.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).alias("worst"))
         wanted = lists.select("home", F.explode("members").alias("node")).distinct()
         fetched = wanted.join(nodes.join(worst, "node").hint("merge"), "node").select(F.col("home").alias("to"), F.col("node").alias("member"), "vec", "worst")
-        news = lists.groupBy("home").cogroup(fetched.groupBy("to")).applyInArrow(_compared(dim, send, k), _LISTS)
+        news = lists.groupBy("home").cogroup(fetched.groupBy("to")).applyInArrow(_compared(dim, send, k, buckets), _NEWS_SQL)
         news = written(news, "news")
         released(spark)
-        old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
-        after = written(_merged(old.unionByName(news), k), "graph")
+        came = news.withColumnRenamed("bucket", "to")
+        after = written(graph.groupBy("bucket").cogroup(came.groupBy("to")).applyInArrow(_updated(k, buckets), _GRAPH), "graph")
         changed = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         for done in (graph, news, lists):
             drop_written(done)
