@@ -30,18 +30,30 @@ def time_ns(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) * 1000
 
 
-def literal(value: Column, kind: T.DataType) -> Column:
-    """A value behind the mark of its type; null is ``^``."""
+def number(value: Column) -> Column:
+    """A double in the fewest digits: without an exponent from a millionth up to 1e21, whole numbers without a point."""
+    value = value.cast("double")
+    shown, size = value.cast("string"), F.abs(value)
+    plain = F.when(size < 1e13, shown.try_cast("decimal(38,24)").cast("string")).when(size < 1e20, shown.try_cast("decimal(38,17)").cast("string")).otherwise(shown.try_cast("decimal(38,0)").cast("string"))
+    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    power = F.regexp_replace(F.regexp_replace(shown, r"(\.0)?E(-?)", "e$2"), "e(?=[0-9])", "e+")
+    return F.when(size == 0, "0").when((size >= 1e-6) & (size < 1e21), plain).otherwise(power)
+
+
+def literal(value: Column, kind: T.DataType, listed: bool = False) -> Column:
+    """A value behind the mark of its type; null is ``^``. In a list (``listed``) the marks go by the values: whole doubles
+    are marked as integers."""
     if isinstance(kind, T.BooleanType):
         out = F.concat(F.lit("?"), value.cast("string"))
     elif isinstance(kind, T.IntegralType):
         out = F.concat(F.lit("="), value.cast("string"))
     elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        out = F.concat(F.lit("~"), value.cast("string"))
+        whole = (F.floor(value.cast("double")) == value.cast("double")) & (F.abs(value.cast("double")) < float("inf"))
+        out = F.concat(F.when(whole, "=").otherwise("~") if listed else F.lit("~"), number(value))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         out = F.concat(F.lit("@"), F.date_format(value, "yyyy-MM-dd"))
     elif isinstance(kind, T.ArrayType):
-        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: literal(x, kind.elementType)), ", "), F.lit("]"))
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: literal(x, kind.elementType, True)), ", "), F.lit("]"))
     elif isinstance(kind, T.StructType):
         out = F.concat(F.lit("{ "), F.concat_ws(" ", *(F.concat(F.lit(f"{f.name}: "), literal(value[f.name], f.dataType)) for f in kind)), F.lit(" }"))
     elif isinstance(kind, T.BinaryType):

@@ -185,7 +185,7 @@ _query("q51b_time_date_rounds", "select event_id, (date '1970-01-01' + (event_id
 )
 _query(
     "q52b_text_dump_kinds",
-    "select event_id, '{ event_type: $' || event_type || ' flag: ?' || (user_id % 2 = 0)::varchar || ' user_id: =' || user_id || ' value: ~' || (user_id / 4.0)::double::varchar || ' ts: @' || strftime(ts, '%Y-%m-%d') || "
+    "select event_id, '{ event_type: $' || event_type || ' flag: ?' || (user_id % 2 = 0)::varchar || ' user_id: =' || user_id || ' value: ~' || rtrim(rtrim((user_id / 4.0)::decimal(18,2)::varchar, '0'), '.') || ' ts: @' || strftime(ts, '%Y-%m-%d') || "
     "' gone: ^ xs: [=' || user_id || ', =' || (user_id + 1) || '] raw: <' || upper(hex(event_type::blob)) || '> in: { a: =' || user_id || ' b: ^ } quote: \"\\\"' || event_type || '\\n\" }' line from events order by event_id limit 500",
 )(
     lambda s, d: text.dump(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.predicates import and_, eq, gt
 from lamina.operators.records import Records
-from lamina.sources.record_source import describe, files, ranged, read_anywhere, register
+from lamina.sources.record_source import counted, describe, files, ranged, read_anywhere, register
 from lamina.sources.scratch import scratch
 from lamina.streaming.running import append, arriving, running_sum
 
@@ -123,6 +123,11 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, path).df.withColumnRenamed("_rec", "rec")
 
 
+def metadata_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a folder, counted without a look at any."""
+    return counted(spark, _stored(spark, sf_dir, "columnar", "event_id", "value"))
+
+
 def stream_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running sum of a folder of files, taken in by a stream until nothing more is there."""
     path = _stored(spark, sf_dir, "paged", "event_id", "value")
@@ -177,6 +182,7 @@ QUERIES = {
     "s14_nested_rows": nested,
     "s15_columnar_strings": columnar_strings,
     "s16_ranged_reads": by_ranges,
+    "s17_metadata_count": metadata_count,
 }
 ORACLE = {
     "s01_row_round_trip": "select event_id rec, event_id, epoch_us(ts) * 1000 ts_ns, user_id, event_type, value from events",
@@ -195,4 +201,5 @@ ORACLE = {
     "s14_nested_rows": "select event_id, case when event_id % 5 > 0 then user_id end who, case when event_id % 5 > 0 then value end amount, case when event_id % 2 > 0 then 2 end n, case when event_id % 2 > 0 then user_id end \"second\", value * 2 twice from events",
     "s15_columnar_strings": "select doc_id, case when doc_id % 4 > 0 then md5(text) end digest from documents",
     "s16_ranged_reads": "select event_id rec, event_id, event_type from events",
+    "s17_metadata_count": "select count(*) n from events",
 }

@@ -342,6 +342,18 @@ def ranged(spark: SparkSession, sizes: dict[str, int], fetch: Callable[[str, int
     return planned.repartition(max(1, len(plan)), "path", "start").mapInArrow(run, from_arrow_schema(schema))
 
 
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """``n``, the number of records, from heads and tails alone, many files at a time."""
+    names = files(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([mapped(name).n for name in b.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    listed = spark.createDataFrame([(name,) for name in names], "file string").repartition(max(1, len(names) // 64))
+    return listed.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def read_anywhere(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Files on any file system that Spark reads, whole (each under 2 GB), one a task. ``_rec`` counts within a file,
     which ``_file`` names. The schema is that of all files."""

@@ -102,6 +102,15 @@ def test_text(spark):
     assert spark.range(1).select(text.time_ns_date(F.lit(86_400_000_000_000 - 400_000))).first()[0].isoformat() == "1970-01-02"
 
 
+def test_numbers(spark):
+    """Doubles in the fewest digits, marks in lists by value, keywords."""
+    shown = {1.5: "1.5", 100.0: "100", -0.0: "0", 0.1: "0.1", 1e-6: "0.000001", 1.25e-7: "1.25e-7", 1e-7: "1e-7", 12345678.9: "12345678.9", 1e20: "100000000000000000000", 1e21: "1e+21", 1.5e300: "1.5e+300", -2.5e-10: "-2.5e-10", 0.30000000000000004: "0.30000000000000004", 123456789012345.67: "123456789012345.67", math.inf: "Infinity"}
+    df = spark.createDataFrame([(v,) for v in shown], "v double")
+    assert {r["v"]: r["s"] for r in df.select("v", text.number(F.col("v")).alias("s")).collect()} == shown
+    df = spark.createDataFrame([(0, [1.0, 2.5, None, -3.0], "word", None, [True], ["x"])], "_rec long, l array<double>, k string, k2 string, b array<boolean>, s array<string>")
+    assert text.dump(df, "_rec", keywords=("k", "k2")).first()["line"] == '{ l: [=1, ~2.5, ^, =-3] k: $word k2: ^ b: [?true] s: ["x"] }'
+
+
 def test_pages_coalesce(spark):
     pages = spark.createDataFrame([(p,) for p in (3, 4, 6, 7, 12)], "page long")
     runs = lambda gap: sorted(map(tuple, access.coalesced_pages(pages, "page", gap).select("first_page", "last_page").collect()))
