@@ -70,6 +70,45 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+# What SQL can say of operators whose whole result it can't.
+
+
+def part2_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts decoded from their ids: as they were, but for the piece that stands for a space."""
+    return op2_piece_codec(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def part3_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, and whether a row's shard has as many rows as slots from 0."""
+    sharded = op3_sharding(spark, sf_dir)
+    slots = sharded.groupBy("shard").agg((F.countDistinct("slot") == F.count("*")).alias("own"), (F.max("slot") + 1 == F.count("*")).alias("gapless"))
+    return sharded.join(slots, "shard").select("doc_id", "size", "law", F.col("shard").between(0, 15).alias("known"), "own", "gapless")
+
+
+def part4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the documents' runs of ids follow one another without a gap, in the order of their ids."""
+    read = op4_wavelet(spark, sf_dir)
+    last = read.select((F.col("doc_id") + 1).alias("doc_id"), (F.col("start") + F.col("n_tokens")).alias("ended"))
+    return read.join(last, "doc_id", "left").select("doc_id", (F.col("start") == F.coalesce("ended", F.lit(0))).alias("follows"), (F.col("n_tokens") > 0).alias("ends"))
+
+
+def part5_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts."""
+    return op5_syncmers(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def part7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources' sizes and targets, and whether a source's taken words come within a block of its target and no document
+    is taken more than twice."""
+    taken = op7_mixing(spark, sf_dir).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") > 2 * F.col("size")).alias("beyond"))
+    return taken.select("source", "source_size", F.round("target", 4).alias("target"), (F.abs(F.col("taken") - F.col("target")) <= 129).alias("near"), "beyond")
+
+
+def part8_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, and that no text has more tokens than bytes."""
+    return op8_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_tokens") <= F.col("n_bytes")).alias("fewer"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_piece_codec": op2_piece_codec,
@@ -81,6 +120,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_crf": op10_line_crf,
+    "part2_round_trip": part2_round_trip,
+    "part3_sizes": part3_sizes,
+    "part4_lengths": part4_lengths,
+    "part5_edits": part5_edits,
+    "part7_targets": part7_targets,
+    "part8_bytes": part8_bytes,
 }
 _OP1_SQL = """
 with v as (select vec_id, embedding::double[] e from embeddings where list_count(embedding) = len(embedding)
@@ -103,5 +148,34 @@ r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id,
 select r.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.other) component_id from r left join n on n.doc_id = r.doc_id group by 1
 """
 
+_PART5_SQL = """
+with d as (select doc_id, coalesce(text, '') t from documents),
+n as (select doc_id, t, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) follows, length(t) // 4 k from d)
+select doc_id, length(t) n_chars, sha256(left(t, length(t) - k) || left(follows, k)) edited_sha256 from n
+"""
+
+_PART7_SQL = r"""
+with recursive w as (select source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::bigint size from documents group by 1),
+s as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end weight from w),
+-- shares by weight; whatever is above twice its size stops there, and what is left is shared again
+r as (select 0 turn, source, size, weight, false stopped, 1.5 * sum(size) over () * weight / sum(weight) over () share from s
+    union all
+    select turn + 1, source, size, weight, stopped or share > 2 * size,
+        case when stopped or share > 2 * size then 2.0 * size
+            else (1.5 * sum(size) over () - sum(case when stopped or share > 2 * size then 2.0 * size else 0 end) over ()) * weight
+                / sum(case when stopped or share > 2 * size then 0 else weight end) over () end
+    from r where turn < 60)
+select source, size source_size, round(share::double, 4) target, true near, false beyond from r where turn = 60
+"""
+
 #: The first holds where the graph search finds all true neighbours, as on tables of few vectors.
-ORACLE: dict[str, str] = {"op1_ann": _OP1_SQL, "op9_jaccard_join": _OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op1_ann": _OP1_SQL,
+    "op9_jaccard_join": _OP9_SQL,
+    "part2_round_trip": "select doc_id, sha256(replace(coalesce(text, ''), '▁', ' ')) decoded_sha256 from documents",
+    "part3_sizes": "select doc_id, strlen(coalesce(text, '')) + 1 size, 'bytes' law, true known, true own, true gapless from documents",
+    "part4_lengths": "select doc_id, true follows, true ends from documents",
+    "part5_edits": _PART5_SQL,
+    "part7_targets": _PART7_SQL,
+    "part8_bytes": "select doc_id, strlen(coalesce(text, '')) n_bytes, true fewer from documents",
+}
