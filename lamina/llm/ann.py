@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by cosine: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node. The first neighbours of a node come from small blocks of vectors next to each other along a
-few random directions. NN-descent then joins: every node gathers its neighbours and a sample of those that count it as
-theirs, compares these with one another if at least one of two is new in a list, and sends each what is nearer than its
-worst neighbour so far. Rounds go on until few lists change (``rounds`` is only a guard). Nodes gather in blocks of a
-bounded number, so that a vector is sent once to a block and not to every node that asks for it.
+Equal vectors are one node. Nodes live in homes of a bounded number, alike ones rather in one; a table has a row for each
+home, its nodes' vectors or lists packed one after another, and what homes send one another is packed likewise. So few
+rows move, and a vector goes once to a home that asks for it, not to every node there.
+
+The first neighbours of a node come from small blocks of vectors next to each other along a few random directions.
+NN-descent then joins: every node gathers its neighbours and a sample of those that count it as theirs, compares these
+with one another if at least one of two is new in a list, and sends each what is nearer than its worst neighbour so far.
+Rounds go on until few lists change (``rounds`` is only a guard).
 
 A query keeps a beam of the nearest nodes found, which grows with the root of the number of nodes. A step visits its
-nearest unvisited nodes, looks up their neighbours by number, and fetches the vectors of those that the query hasn't seen,
-once for a block of queries, until every node of the beam has been visited. Graph and vectors are tables bucketed by node,
-so a step moves only what it asks for. Vectors travel in the precision of their column (float or double) and are compared
-in double precision throughout, so near copies are told apart; the beam's best are then scored on the original vectors.
+nearest unvisited nodes, asks their homes for their neighbours' numbers, and fetches the vectors of those that the query
+hasn't seen, once for a block of queries, until every node of the beam has been visited. Vectors travel in the precision of
+their column (float or double) and are compared in double precision throughout, so near copies are told apart; the beam's
+best are then scored on the original vectors.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from most others take no part,
 as queries or candidates. Very large and very small components are scaled by powers of two first, which changes no cosine.
@@ -26,19 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import drop_written, released, written
 
-#: Vectors of a block along a direction.
-_BLOCK = 256
 _DIRECTIONS = 5
 _FIRST = 12
 _GROUPS = 512
-#: Bits of the code that puts alike nodes into one block.
+#: Vectors of a block along a direction: four times the root of their number, at most this.
+_MOST_BLOCK = 2048
+#: Bits of the code that puts alike nodes into one home.
 _CODE = 12
-#: Components of the vectors that a block of gathering nodes or of queries may fetch, and such nodes at most.
+#: Components of the vectors that a home or a block of queries may fetch, and nodes of a home, queries of a block at most.
 _FETCHED = 1 << 25
 _MOST_HOME = 8192
 _MOST_ASKING = 128
@@ -54,242 +57,282 @@ def beam_for(n: int) -> int:
     return max(_LEAST_BEAM, int(np.ceil(_BEAM * np.sqrt(n / _BEAM_NODES))))
 
 
-def _units(packed: pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors (double) from packed ones; how many bytes a component has tells its type."""
-    return _scaled(_raw(packed, dim))
+def block_for(n: int) -> int:
+    """Vectors of a block along a direction, of ``n``."""
+    return int(min(_MOST_BLOCK, np.ceil(4 * np.sqrt(n))))
 
 
-def _raw(packed: pa.Array, dim: int) -> np.ndarray:
-    values = packed.to_pylist()
-    kind = np.float32 if values and len(values[0]) == 4 * dim else np.float64
-    return np.frombuffer(b"".join(values), kind).reshape(-1, dim)
+def home_size(dim: int, members: int) -> int:
+    """Nodes of a home whose members' vectors have at most ``_FETCHED`` components together."""
+    return int(max(1, min(_MOST_HOME, _FETCHED // (dim * members))))
+
+
+def _raw(data: bytes, dim: int, n: int) -> np.ndarray:
+    """Vectors, a row each; how many bytes a component has tells its type."""
+    kind = np.float32 if n and len(data) == 4 * dim * n else np.float64
+    return np.frombuffer(data, kind).reshape(-1, dim)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
+    """Unit vectors (double)."""
     x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
-
-
-def _by_node(node: np.ndarray, near: np.ndarray, sim: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
-    """Rows of lists from flat rows."""
-    order = np.lexsort((near, -sim, node))
-    node, near, sim, fresh = node[order], near[order], sim[order], fresh[order]
-    kinds, counts = np.unique(node, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(kinds), _lists(counts, near), _lists(counts, sim.astype(np.float64)), _lists(counts, fresh)], names=["node", "near", "sims", "fresh"])
-
-
-def _best(node: np.ndarray, near: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int) -> pa.RecordBatch:
-    """The ``k`` nearest of each node, each once and not the node; what comes twice is new only if it is so both times."""
-    order = np.lexsort((fresh, near, node))
-    node, near, sim, fresh = node[order], near[order], sim[order], fresh[order]
-    keep = (node != near) & np.r_[True, (node[1:] != node[:-1]) | (near[1:] != near[:-1])][: len(node)]
-    node, near, sim, fresh = node[keep], near[keep], sim[keep], fresh[keep]
-    order = np.lexsort((near, -sim, node))
-    node, near, sim, fresh = node[order], near[order], sim[order], fresh[order]
-    first = (np.arange(len(node)) - np.searchsorted(node, node)) < k
-    return _by_node(node[first], near[first], sim[first], fresh[first])
+def _units(packed: pa.Array, dim: int) -> np.ndarray:
+    values = packed.to_pylist()
+    return _scaled(_raw(b"".join(values), dim, len(values)))
 
 
-_LISTS = "node long, near array<long>, sims array<double>, fresh array<boolean>"
-_GRAPH = _LISTS + ", bucket long"
-_NEWS = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("near", pa.binary()), ("sims", pa.binary())])
-_NEWS_SQL = "bucket long, nodes binary, near binary, sims binary"
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Cuts batches that are sorted by their first column where it changes; about ``most`` rows a piece."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
-        rows += len(b)
-        if rows >= most:
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
-            at = int(np.searchsorted(key, key[-1]))
-            if at:
-                yield table.slice(0, at)
-            held, rows = table.slice(at).to_batches(), len(table) - at
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Flat rows from rows of lists."""
-    table = table.combine_chunks()
-    lists = [table.column(i).chunk(0) for i in (1, 2, 3)]
-    node = np.repeat(table.column(0).to_numpy(), np.diff(lists[0].offsets.to_numpy()))
-    return node, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-
-
-def _nearest(k: int):
-    """From lists sorted by node: the ``k`` nearest of all lists of a node."""
+def _numbers(table: pa.Table, column: str, kind: str = "<i8") -> np.ndarray:
+    """All packed values of a column, row after row."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 20_000):
-            yield _best(*_flat(table), k)
 
-    return run
+def _sent(to: np.ndarray, origin: int, **columns: np.ndarray) -> pa.Table:
+    """A row for each home that something goes to: ``to``, ``origin`` and the packed columns."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.r_[_starts(to[order]), len(to)].tolist()
+    out: dict[str, pa.Array] = {"to": pa.array(to[order][cuts[:-1]], pa.int64()), "origin": pa.array([origin] * (len(cuts) - 1), pa.int64())}
+    for name, values in columns.items():
+        sorted_values = values[order]
+        out[name] = pa.array([sorted_values[a:z].tobytes() for a, z in zip(cuts, cuts[1:], strict=False)], pa.binary())
+    return pa.table(out)
 
 
-def _merged(lists: DataFrame, k: int, buckets: int) -> DataFrame:
-    """The ``k`` nearest of all lists of each node, with the node's bucket."""
+def _first_of_each(node: np.ndarray, k: int) -> np.ndarray:
+    """Of rows sorted by node: whether a row is among the first ``k`` of its node."""
+    return np.arange(len(node)) - np.searchsorted(node, node) < k
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _nearest(k)(batches):
-            yield b.append_column("bucket", pa.array(_bucket(b.column(0).to_numpy(), buckets)))
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _GRAPH)
+def _mixed(turn: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    return x * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _bucket(node: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket that a node's list is kept up to date in."""
-    x = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+# -- homes
 
 
-def _packed_news(node: np.ndarray, near: np.ndarray, sim: np.ndarray, buckets: int) -> pa.Table:
-    """What a block has found, a row for each bucket it goes to."""
-    of = _bucket(node, buckets)
-    order = np.argsort(of, kind="stable")
-    kinds, starts = np.unique(of[order], return_index=True)
-    spans = list(zip(starts.tolist(), [*starts.tolist()[1:], len(of)], strict=True))
-    raw = [x[order].tobytes() for x in (node, near, sim.astype(np.float64))]
-    return pa.table([pa.array(kinds), *(pa.array([r[8 * a : 8 * z] for a, z in spans], pa.binary()) for r in raw)], schema=_NEWS)
+def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``vec_id``, ``vector`` (array<double>) and two hashes of the vectors that take part, repeats gone."""
+    v = F.col(vec_col).cast("array<double>")
+    plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    plain = plain.filter(fine)
+    sizes = plain.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    dim = sizes[0]["dim"] if sizes else 0
+    return plain.filter(F.size("vector") == dim).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit(1), "vector")).dropDuplicates(["vec_id", "k1", "k2"])
 
 
-def _updated(k: int, buckets: int):
-    """From the lists of a bucket's nodes and what came for them: the lists of the next round."""
+def _packed(kind: type = np.float32):
+    """Vectors as bytes of a numpy type that holds their column's values."""
 
-    def run(lists: pa.Table, news: pa.Table) -> pa.Table:
-        node, near, sim, fresh = _flat(lists.select(["node", "near", "sims", "fresh"]))
-        more = [np.frombuffer(b"".join(news.column(c).to_pylist()), kind) for c, kind in (("nodes", "<i8"), ("near", "<i8"), ("sims", "<f8"))]
-        found = _best(np.r_[node, more[0]], np.r_[near, more[1]], np.r_[sim, more[2]], np.r_[np.zeros(len(fresh), bool), np.ones(len(more[0]), bool)], k)
-        return pa.Table.from_batches([found.append_column("bucket", pa.array(_bucket(found.column(0).to_numpy(), buckets)))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = b.column(1).flatten().to_numpy().reshape(len(b), -1).astype(kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
 
     return run
 
 
-def _projected(dim: int):
-    directions = np.random.default_rng(3).normal(size=(dim, _DIRECTIONS))
+def _coded(dim: int):
+    """From nodes: a code of the sides of a few random planes that they lie on."""
+    planes = np.random.default_rng(4).normal(size=(dim, _CODE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            along = _units(b.column(1), dim) @ directions
-            n = np.arange(len(b))
-            for d in range(_DIRECTIONS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), d, np.int32)), pa.array(along[:, d]), b.column(0), b.column(1)], names=["direction", "along", "node", "vec"])
+            if len(b):
+                code = (_units(b.column(1), dim) @ planes > 0) @ (1 << np.arange(_CODE))
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), b.column(0), b.column(1)], names=["code", "node", "vec"])
 
     return run
 
 
-def _blocks(dim: int):
-    """From vectors sorted along a direction: nearest ones within each block."""
+_HOMES = "home long, ids binary, vecs binary"
+
+
+def in_homes(nodes: DataFrame, dim: int, size: int) -> DataFrame:
+    """Nodes (``node``, ``vec``) in homes of ``size`` at most: ``home``, ``ids`` (ascending) and ``vecs``."""
+    n = nodes.count()
+    coded = nodes.mapInArrow(_coded(dim), "code long, node long, vec binary").repartitionByRange(max(1, -(-n // (4 * size))), "code", "node").sortWithinPartitions("code", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        home, ids, vecs = TaskContext.get().partitionId() << 32, [], []
 
-        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            direction = table.column(0).to_numpy()
-            for d in np.unique(direction):
-                part = table.slice(int(np.searchsorted(direction, d)), int((direction == d).sum())).combine_chunks()
-                ids, x = part.column(2).to_numpy(), _units(part.column(3).combine_chunks(), dim)
-                k = min(_FIRST, len(ids) - 1)
-                if k < 1:
-                    continue
-                for s in range(0, len(ids), 256):
-                    sims = x[s : s + 256] @ x.T
-                    n = len(sims)
-                    sims[np.arange(n), s + np.arange(n)] = -2
-                    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                    yield _by_node(np.repeat(ids[s : s + n], k), ids[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(n * k, bool))
+        def settle() -> pa.RecordBatch:
+            nonlocal home
+            order = np.argsort(np.array(ids, np.int64))
+            out = pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([np.array(ids, np.int64)[order].tobytes()]), pa.array([b"".join(vecs[i] for i in order.tolist())])], names=["home", "ids", "vecs"])
+            home += 1
+            ids.clear()
+            vecs.clear()
+            return out
 
         for b in batches:
-            while len(b):
-                take = b.slice(0, _BLOCK - rows)
-                held.append(take)
-                rows += len(take)
-                b = b.slice(len(take))
-                if rows == _BLOCK:
-                    yield from settle(pa.Table.from_batches(held))
-                    held, rows = [], 0
-        if rows:
-            yield from settle(pa.Table.from_batches(held))
+            for node, vec in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids.append(node)
+                vecs.append(vec)
+                if len(ids) == size:
+                    yield settle()
+        if ids:
+            yield settle()
+
+    return written(coded.mapInArrow(run, _HOMES), "homes")
+
+
+# -- the graph: a row a home with its nodes' lists, nearest first
+
+_GRAPH = "home long, ids binary, counts binary, near binary, near_home binary, sims binary, fresh binary, worst binary, n_fresh long"
+_NEWS = "to long, origin long, node binary, near binary, near_home binary, sims binary"
+
+
+def _updated(k: int):
+    """From a home's lists (or, at first, its nodes) and what came for its nodes: the lists of the next round."""
+
+    def run(home: pa.Table, news: pa.Table) -> pa.Table:
+        ids = _numbers(home, "ids")
+        row = {c: home.column(c) for c in home.column_names}
+        if "counts" in row:
+            node = np.repeat(np.arange(len(ids)), _numbers(home, "counts", "<i4"))
+            near, near_home, sims = _numbers(home, "near"), _numbers(home, "near_home"), _numbers(home, "sims", "<f8")
+        else:
+            node, near, near_home, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        fresh = np.r_[np.zeros(len(node), bool), np.ones(sum(len(x) for x in news.column("node").to_pylist()) // 8, bool)]
+        node = np.r_[node, np.searchsorted(ids, _numbers(news, "node"))]
+        near, near_home, sims = np.r_[near, _numbers(news, "near")], np.r_[near_home, _numbers(news, "near_home")], np.r_[sims, _numbers(news, "sims", "<f8")]
+        order = np.lexsort((fresh, near, node))  # of what comes twice, the one that isn't new
+        keep = np.r_[True, (node[order][1:] != node[order][:-1]) | (near[order][1:] != near[order][:-1])][: len(order)]
+        order = order[keep]
+        order = order[np.lexsort((near[order], -sims[order], node[order]))]
+        order = order[_first_of_each(node[order], k)]
+        node, near, near_home, sims, fresh = (x[order] for x in (node, near, near_home, sims, fresh))
+        counts = np.bincount(node, minlength=len(ids))
+        worst = np.full(len(ids), -2.0)
+        last = np.cumsum(counts) - 1
+        worst[counts >= k] = sims[last[counts >= k]]
+        packed = [x.tobytes() for x in (ids, counts.astype("<i4"), near, near_home, sims, fresh, worst)]
+        return pa.table([home.column("home"), *(pa.array([x], pa.binary()) for x in packed), pa.array([int(fresh.sum())], pa.int64())], names=[f.split()[0] for f in _GRAPH.split(", ")])
 
     return run
 
 
-def _homes(dim: int, size: int):
-    """From nodes sorted by their code: the block that each gathers in, of ``size`` nodes at most."""
+def _edges(b: pa.Table | pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A home's nodes, and source, neighbour, neighbour's home and newness of its edges."""
+    ids, counts, near, near_home, fresh = (np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in (("ids", "<i8"), ("counts", "<i4"), ("near", "<i8"), ("near_home", "<i8"), ("fresh", "?")))
+    return ids, np.repeat(ids, counts), near, near_home, fresh
+
+
+def _reversed(sample: int, turn: int):
+    """From homes' lists: edges to the homes of the neighbours, ``sample`` a neighbour at most, new ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, at = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first + (at + np.arange(len(b))) // size)], names=["node", "home"])
-            at += len(b)
+            for i in range(len(b)):
+                home = b.column("home")[i].as_py()
+                _, source, near, near_home, fresh = _edges(b, i)
+                order = np.lexsort((_mixed(turn, near, source), ~fresh, near))
+                order = order[_first_of_each(near[order], sample)]
+                yield from _sent(near_home[order], home, node=near[order], member=source[order], fresh=fresh[order]).to_batches()
 
     return run
 
 
-def _coded(dim: int):
-    """From nodes: a code of the sides of a few random planes that they lie on."""
-    planes = np.random.default_rng(4).normal(size=(dim, _CODE))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                code = (_units(b.column(1), dim) @ planes > 0) @ (1 << np.arange(_CODE))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code.astype(np.int64))], names=["node", "code"])
+_GATHERED = "kind int, to long, origin long, ids binary, counts binary, members binary, homes binary, fresh binary"
+
+
+def _gathered(sample: int, turn: int, every: bool):
+    """From a home's lists and the edges that lead to it: a row (kind 0) with the members that its nodes gather, of nodes
+    with a new one among them (or ``every`` node), and rows (kind 1) that ask homes for the members' vectors."""
+
+    def run(graph: pa.Table, back: pa.Table) -> pa.Table:
+        home = graph.column("home")[0].as_py()
+        ids, node, member, member_home, fresh = _edges(graph, 0)
+        came, source, new = _numbers(back, "node"), _numbers(back, "member"), _numbers(back, "fresh", "?")
+        source_home = np.repeat(back.column("origin").to_numpy(), [len(x) // 8 for x in back.column("member").to_pylist()]) if len(back) else np.zeros(0, np.int64)
+        order = np.lexsort((_mixed(turn, came, source), ~new, came))
+        order = order[_first_of_each(came[order], sample)]
+        node, member, member_home, fresh = np.r_[node, came[order]], np.r_[member, source[order]], np.r_[member_home, source_home[order]], np.r_[fresh, new[order]]
+        order = np.lexsort((~fresh, member, node))
+        keep = np.r_[True, (node[order][1:] != node[order][:-1]) | (member[order][1:] != member[order][:-1])][: len(order)]
+        order = order[keep]
+        node, member, member_home, fresh = (x[order] for x in (node, member, member_home, fresh))
+        at = np.searchsorted(ids, node)
+        if not every:
+            some = np.bincount(at, weights=fresh, minlength=len(ids))[at] > 0
+            at, member, member_home, fresh = at[some], member[some], member_home[some], fresh[some]
+        counts = np.bincount(at, minlength=len(ids)).astype("<i4")
+        own = pa.table({"kind": pa.array([0], pa.int32()), "to": pa.array([home], pa.int64()), "origin": pa.array([home], pa.int64())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in (("ids", ids), ("counts", counts), ("members", member), ("homes", member_home), ("fresh", fresh))})
+        if every:
+            return own
+        kinds, first = np.unique(member, return_index=True)
+        asked = _sent(member_home[first], home, members=kinds)
+        nothing = pa.nulls(len(asked), pa.binary())
+        asks = pa.table({"kind": pa.array([1] * len(asked), pa.int32()), "to": asked.column("to"), "origin": asked.column("origin"), "ids": nothing, "counts": nothing, "members": asked.column("members"), "homes": nothing, "fresh": nothing})
+        return pa.concat_tables([own, asks])
 
     return run
 
 
-def in_blocks(nodes: DataFrame, dim: int, size: int) -> DataFrame:
-    """``node`` and ``home``: blocks of ``size`` nodes at most, alike ones rather in one."""
-    n = nodes.count()
-    coded = nodes.mapInArrow(_coded(dim), "node long, code long").repartitionByRange(max(1, -(-n // (4 * size))), "code", "node")
-    return written(coded.sortWithinPartitions("code", "node").select("node").mapInArrow(_homes(dim, size), "node long, home long"), "homes")
+_FETCHED_SQL = "origin long, home long, ids binary, vecs binary, worst binary"
+
 
+def _fetched(dim: int):
+    """From a home's vectors (and the worst similarity in each list, if it has any) and what others ask of them: the
+    vectors, a row for each that asks."""
 
-def _compared(dim: int, send: int, k: int, buckets: int):
-    """From a block's gathered members (``node``, ``members``, ``fresh``) and their vectors (``member``, ``vec``,
-    ``worst``): for each member its nearest fellow members beyond its worst neighbour, at most ``k``, packed by bucket."""
+    def run(home: pa.Table, asks: pa.Table) -> pa.Table:
+        ids = _numbers(home, "ids")
+        x = _raw(home.column("vecs")[0].as_py(), dim, len(ids)) if len(home) else np.zeros((0, dim))
+        worst = _numbers(home, "worst", "<f8") if "worst" in home.column_names else None
+        own, vecs, worsts = [], [], []
+        for raw in asks.column("members").to_pylist():
+            at = np.searchsorted(ids, np.frombuffer(raw, "<i8"))
+            own.append(raw)
+            vecs.append(x[at].tobytes())
+            worsts.append(worst[at].tobytes() if worst is not None else None)
+        return pa.table([asks.column("origin"), pa.array([home.column("home")[0].as_py() if len(home) else 0] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array(vecs, pa.binary()), pa.array(worsts, pa.binary())], names=["origin", "home", "ids", "vecs", "worst"])
 
-    def run(gathered: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids, worst = vectors.column("member").to_numpy(), vectors.column("worst").to_numpy()
+    return run
+
+
+def _compared(dim: int, send: int, k: int):
+    """From the members that a home's nodes gather and these members' vectors: for each member its nearest fellow members
+    beyond its worst neighbour, at most ``k``, a row for each home that they go to."""
+
+    def run(gathered: pa.Table, fetched: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        nothing = _sent(none, 0, node=none, near=none, near_home=none, sims=np.zeros(0))
+        ids = _numbers(fetched, "ids")
         if not len(ids) or not len(gathered):
-            return pa.Table.from_batches([], schema=_NEWS)
-        x = _raw(vectors.column("vec").combine_chunks(), dim)
+            return nothing
+        here = gathered.column("origin")[0].as_py()
+        home = np.repeat(fetched.column("home").to_numpy(), [len(x) // 8 for x in fetched.column("ids").to_pylist()])
+        worst = _numbers(fetched, "worst", "<f8")
+        x = _raw(b"".join(fetched.column("vecs").to_pylist()), dim, len(ids))
         by_id = np.argsort(ids)
-        gathered = gathered.combine_chunks()
-        members, news = gathered.column("members").chunk(0), gathered.column("fresh").chunk(0)
-        starts, counts = members.offsets.to_numpy()[:-1].astype(np.int64), np.diff(members.offsets.to_numpy())
-        place = by_id[np.searchsorted(ids[by_id], members.values.to_numpy())]
-        new = news.values.to_numpy(zero_copy_only=False)
+        counts, place, new = _numbers(gathered, "counts", "<i4").astype(np.int64), _numbers(gathered, "members"), _numbers(gathered, "fresh", "?")
+        place = by_id[np.searchsorted(ids[by_id], place)]
+        starts = np.cumsum(counts) - counts
         order = np.argsort(counts, kind="stable")
+        order = order[counts[order] > 1]
         found = []
         for g in range(0, len(order), _GROUPS):
             s, c = starts[order[g : g + _GROUPS]], counts[order[g : g + _GROUPS]]
             m = int(c.max())
-            if m < 2:
-                continue
             at = s[:, None] + np.minimum(np.arange(m), c[:, None] - 1)
             real = np.arange(m) < c[:, None]
             fresh, at = new[at] & real, place[at]
             y = _scaled(x[at.ravel()]).reshape(*at.shape, dim)
             sims = y @ y.transpose(0, 2, 1)
-            sims[~(real[:, :, None] & real[:, None, :])] = -2
-            sims[~(fresh[:, :, None] | fresh[:, None, :])] = -2  # met before
+            sims[~(real[:, :, None] & real[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]))] = -2  # none, or met before
             sims[:, np.arange(m), np.arange(m)] = -2
             best_of = min(send, m - 1)
             best = np.argpartition(-sims, best_of - 1, axis=2)[:, :, :best_of]
@@ -297,163 +340,282 @@ def _compared(dim: int, send: int, k: int, buckets: int):
             fellow = np.take_along_axis(np.broadcast_to(at[:, None, :], sims.shape), best, 2)
             own = np.broadcast_to(at[:, :, None], best.shape)
             ok = (value > worst[own]) & (value > -2)
-            found.append((ids[own[ok]], ids[fellow[ok]], value[ok]))
+            found.append((own[ok], fellow[ok], value[ok]))
         if not found:
-            return pa.Table.from_batches([], schema=_NEWS)
+            return nothing
         node, near, sim = (np.concatenate(f) for f in zip(*found, strict=True))
-        best = pa.Table.from_batches([_best(node, near, sim, np.ones(len(node), bool), k)])
-        return _packed_news(*_flat(best)[:3], buckets)
+        order = np.lexsort((near, node))
+        order = order[np.r_[True, (node[order][1:] != node[order][:-1]) | (near[order][1:] != near[order][:-1])][: len(order)]]
+        order = order[np.lexsort((-sim[order], node[order]))]
+        order = order[_first_of_each(node[order], k)]
+        node, near, sim = node[order], near[order], sim[order]
+        return _sent(home[node], here, node=ids[node], near=ids[near], near_home=home[near], sims=sim)
 
     return run
 
 
-def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id``, ``vector`` (array<double>) and two hashes of the vectors that take part, repeats gone."""
-    v = F.col(vec_col).cast("array<double>")
-    plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
-    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    plain = plain.filter(fine)
-    sizes = plain.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 0
-    return plain.filter(F.size("vector") == dim).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit(1), "vector")).dropDuplicates(["vec_id", "k1", "k2"])
-
-
-def _packed(kind: type = np.float32):
-    """Vectors as bytes of a numpy type that holds their column's values."""
+def _projected(dim: int):
+    directions = np.random.default_rng(3).normal(size=(dim, _DIRECTIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = b.column(1).flatten().to_numpy().reshape(len(b), -1).astype(kind)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
+            for i in range(len(b)):
+                ids = np.frombuffer(b.column("ids")[i].as_py(), "<i8")
+                x = _raw(b.column("vecs")[i].as_py(), dim, len(ids))
+                along, home = _scaled(x) @ directions, pa.array([b.column("home")[i].as_py()] * len(ids), pa.int64())
+                vecs = pa.array([r.tobytes() for r in x], pa.binary())
+                for d in range(_DIRECTIONS):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), d, np.int32)), pa.array(along[:, d]), pa.array(ids), home, vecs], names=["direction", "along", "node", "home", "vec"])
 
     return run
 
 
-def _around(graph: DataFrame, sample: int, turn: int) -> DataFrame:
-    """``node``, ``member`` and ``fresh``: the neighbours of every node and up to ``sample`` of those that count it as
-    theirs, new ones first. A node that very many count as theirs is cut down before the shuffle."""
-    out = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near").alias("member"), F.col("x.fresh").alias("fresh"))
-    back = out.select(F.col("member").alias("node"), F.col("node").alias("member"), "fresh")
-    some = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "node", "member"))
-    back = back.withColumn("_at", F.row_number().over(some)).filter(F.col("_at") <= sample).drop("_at")
-    return out.unionByName(back).groupBy("node", "member").agg(F.max("fresh").alias("fresh"))
+def _blocks(dim: int, size: int):
+    """From vectors sorted along a direction: nearest ones within each block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
 
-def build_graph(nodes: DataFrame, dim: int, *, k: int = 24, sample: int = 24, rounds: int = 60, send: int = 3, least_change: float = 0.02, homes: DataFrame | None = None) -> DataFrame:
-    """NN-descent over ``nodes`` (``node``, ``vec``): per node its ``k`` nearest found, ``near`` and ``sims``."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    if homes is None:
-        homes = in_blocks(nodes, dim, home_size(dim, k + sample))
-    parts = max(1, -(-n * _DIRECTIONS // (64 * _BLOCK)))
-    along = nodes.mapInArrow(_projected(dim), "direction int, along double, node long, vec binary")
-    blocks = along.repartitionByRange(parts, "direction", "along").sortWithinPartitions("direction", "along", "node").mapInArrow(_blocks(dim), _LISTS)
-    buckets = max(1, -(-n // _MOST_HOME))
-    graph = written(_merged(blocks, k, buckets), "graph")
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            direction = table.column("direction").to_numpy()
+            for d in np.unique(direction):
+                part = table.slice(int(np.searchsorted(direction, d)), int((direction == d).sum())).combine_chunks()
+                ids, home, x = part.column("node").to_numpy(), part.column("home").to_numpy(), _units(part.column("vec").combine_chunks(), dim)
+                k = min(_FIRST, len(ids) - 1)
+                if k < 1:
+                    continue
+                found = []
+                for s in range(0, len(ids), 256):
+                    sims = x[s : s + 256] @ x.T
+                    n = len(sims)
+                    sims[np.arange(n), s + np.arange(n)] = -2
+                    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                    found.append((np.repeat(s + np.arange(n), k), at.ravel(), np.take_along_axis(sims, at, 1).ravel()))
+                node, near, sim = (np.concatenate(f) for f in zip(*found, strict=True))
+                yield from _sent(home[node], 0, node=ids[node], near=ids[near], near_home=home[near], sims=sim).to_batches()
+
+        for b in batches:
+            while len(b):
+                take = b.slice(0, size - rows)
+                held.append(take)
+                rows += len(take)
+                b = b.slice(len(take))
+                if rows == size:
+                    yield from settle(pa.Table.from_batches(held))
+                    held, rows = [], 0
+        if rows:
+            yield from settle(pa.Table.from_batches(held))
+
+    return run
+
+
+def build_graph(homes: DataFrame, dim: int, n: int, *, k: int = 24, sample: int = 24, rounds: int = 60, send: int = 3, least_change: float = 0.02) -> DataFrame:
+    """NN-descent over ``n`` nodes in ``homes``: a row a home, per node its ``k`` nearest found (see ``lists``)."""
+    spark = homes.sparkSession
+    block = block_for(n)
+    parts = max(1, -(-n * _DIRECTIONS // (16 * block)))
+    along = homes.mapInArrow(_projected(dim), "direction int, along double, node long, home long, vec binary")
+    news = along.repartitionByRange(parts, "direction", "along").sortWithinPartitions("direction", "along", "node").mapInArrow(_blocks(dim, block), _NEWS)
+    graph = written(homes.select("home", "ids").groupBy("home").cogroup(news.groupBy("to")).applyInArrow(_updated(k), _GRAPH), "graph")
+    del along, news
     released(spark)
     for turn in range(rounds if n > 2 else 0):
-        lists = _around(graph, sample, turn).groupBy("node").agg(F.collect_list(F.struct("member", "fresh")).alias("x"))
-        lists = lists.filter(F.exists("x", lambda x: x["fresh"])).join(homes, "node")
-        lists = written(lists.select("home", "node", F.col("x.member").alias("members"), F.col("x.fresh").alias("fresh")), "gathered")
-        worst = graph.select("node", F.when(F.size("sims") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).alias("worst"))
-        wanted = lists.select("home", F.explode("members").alias("node")).distinct()
-        fetched = wanted.join(nodes.join(worst, "node").hint("merge"), "node").select(F.col("home").alias("to"), F.col("node").alias("member"), "vec", "worst")
-        news = lists.groupBy("home").cogroup(fetched.groupBy("to")).applyInArrow(_compared(dim, send, k, buckets), _NEWS_SQL)
-        news = written(news, "news")
-        released(spark)
-        came = news.withColumnRenamed("bucket", "to")
-        after = written(graph.groupBy("bucket").cogroup(came.groupBy("to")).applyInArrow(_updated(k, buckets), _GRAPH), "graph")
-        changed = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
-        for done in (graph, news, lists):
-            drop_written(done)
+        back = graph.mapInArrow(_reversed(sample, turn), "to long, origin long, node binary, member binary, fresh binary")
+        gathered = written(graph.groupBy("home").cogroup(back.groupBy("to")).applyInArrow(_gathered(sample, turn, False), _GATHERED), "gathered")
+        asks, lists = gathered.filter("kind = 1").select("to", "origin", "members"), gathered.filter("kind = 0").select("origin", "counts", "members", "fresh")
+        vectors = homes.join(graph.select(F.col("home").alias("_home"), "worst"), F.col("home") == F.col("_home")).select("home", "ids", "vecs", "worst")
+        fetched = vectors.groupBy("home").cogroup(asks.groupBy("to")).applyInArrow(_fetched(dim), _FETCHED_SQL).withColumnRenamed("origin", "asker")
+        news = lists.groupBy("origin").cogroup(fetched.groupBy("asker")).applyInArrow(_compared(dim, send, k), _NEWS)
+        after = written(graph.groupBy("home").cogroup(news.groupBy("to")).applyInArrow(_updated(k), _GRAPH), "graph")
+        changed = after.agg(F.sum("n_fresh")).first()[0] or 0
+        drop_written(graph)
+        drop_written(gathered)
         graph = after
+        del back, gathered, asks, lists, vectors, fetched, news, after
         released(spark)
         if changed < least_change * k * n:
             break
     return graph
 
 
-def home_size(dim: int, members: int) -> int:
-    """Nodes of a block whose members' vectors have at most ``_FETCHED`` components together."""
-    return int(max(1, min(_MOST_HOME, _FETCHED // (dim * members))))
+def lists(graph: DataFrame) -> DataFrame:
+    """A row a node: ``node``, ``near`` and ``sims``, nearest first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                ids, counts, near, sims = (np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in (("ids", "<i8"), ("counts", "<i4"), ("near", "<i8"), ("sims", "<f8")))
+                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(near)), pa.ListArray.from_arrays(offsets, pa.array(sims))], names=["node", "near", "sims"])
 
-def _bucketed(df: DataFrame, name: str, key: str = "node") -> DataFrame:
-    """A table bucketed and sorted by ``key``, so that joins with it move only their other side."""
-    spark = df.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    return graph.mapInArrow(run, "node long, near array<long>, sims array<double>")
 
 
-def _step(dim: int, beam: int, width: int):
-    """Takes the vectors that a block of queries has fetched into their beams, and marks the nodes to visit next."""
+# -- search: a row for each block of queries
 
-    def run(state: pa.Table, fetched: pa.Table) -> pa.Table:
-        ids = fetched.column("member").to_numpy() if len(fetched) else np.zeros(0, np.int64)
-        y = _units(fetched.column("vec").combine_chunks(), dim) if len(fetched) else np.zeros((0, dim))
-        by_id = np.argsort(ids)
-        ids, y = ids[by_id], y[by_id]
+_STATE = "block long, queries binary, vecs binary, counts binary, ids binary, homes binary, sims binary, visited binary, seen_counts binary, seen binary, going long"
+_ASKED = "kind int, to long, origin long, members binary, queries binary, vecs binary, counts binary, ids binary, homes binary, sims binary, visited binary, seen_counts binary, seen binary, new_counts binary, new_homes binary"
+_GOING = 2
+
+
+def _asking(dim: int, size: int):
+    """From a home's vectors and the queries that live there: blocks of ``size`` queries at most, each at its own node."""
+
+    def run(home: pa.Table, queries: pa.Table) -> pa.Table:
+        number, ids = home.column("home")[0].as_py(), _numbers(home, "ids")
+        x = _raw(home.column("vecs")[0].as_py(), dim, len(ids))
+        own = np.unique(queries.column("query").to_numpy())
         rows = []
-        for row in state.to_pylist():
-            q = _units(pa.array([row["vec"]], pa.binary()), dim)[0]
-            more = np.array(row["unseen"], np.int64)
-            near = np.r_[np.array(row["ids"], np.int64), more]
-            sims = np.r_[np.array(row["sims"], np.float64), y[np.searchsorted(ids, more)] @ q if len(more) else np.zeros(0)]
-            visited = np.r_[np.array(row["visited"], bool), np.zeros(len(more), bool)]
-            order = np.lexsort((near, -sims))[:beam]
-            near, sims, visited = near[order], sims[order], visited[order]
-            go = np.flatnonzero(~visited)[:width]
-            visited[go] = True
-            rows.append({"home": row["home"], "query": row["query"], "vec": row["vec"], "ids": near.tolist(), "sims": sims.tolist(), "visited": visited.tolist(), "seen": sorted({*row["seen"], *row["unseen"]}), "go": near[go].tolist()})
-        return pa.Table.from_pylist(rows, schema=_STATE)
+        for i, k in enumerate(range(0, len(own), size)):
+            q = own[k : k + size]
+            one = np.ones(len(q), "<i4")
+            arrays = (q, x[np.searchsorted(ids, q)], one, q, np.full(len(q), number), np.ones(len(q)), np.full(len(q), _GOING, "u1"), one, q)
+            rows.append([(number << 16) + i, *(a.tobytes() for a in arrays), len(q)])
+        return pa.table([pa.array(list(c), pa.int64() if isinstance(c[0], int) else pa.binary()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in _STATE.split(", ")]) if rows else _empty(_STATE)
 
     return run
 
 
-_STATE = pa.schema([("home", pa.int64()), ("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("visited", pa.list_(pa.bool_())), ("seen", pa.list_(pa.int64())), ("go", pa.list_(pa.int64()))])
-_STATE_SQL = "home long, query long, vec binary, ids array<long>, sims array<double>, visited array<boolean>, seen array<long>, go array<long>"
+def _empty(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({f.split()[0]: pa.array([], kinds[f.split()[1]]) for f in schema.split(", ")})
 
 
-def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, *, sample: int = 16, beam: int | None = None, width: int | None = None) -> DataFrame:
-    """Greedy search from each query's own node. ``queries``: ``query`` and ``vec``, the query a node. Per query the
-    beam: ``ids`` and ``sims``, nearest first. A step visits ``width`` nodes, a fifth of the beam."""
-    spark = nodes.sparkSession
-    beam = beam or beam_for(nodes.count())
+def _frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From blocks: rows that ask homes for the neighbours of the nodes to visit."""
+    for b in batches:
+        for i in range(len(b)):
+            ids, homes, visited = (np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in (("ids", "<i8"), ("homes", "<i8"), ("visited", "u1")))
+            kinds, first = np.unique(ids[visited == _GOING], return_index=True)
+            yield from _sent(homes[visited == _GOING][first], b.column("block")[i].as_py(), members=kinds).to_batches()
+
+
+def _linked(links: pa.Table, asks: pa.Table) -> pa.Table:
+    """From a home's links and what is asked of them: a row for each block that asks."""
+    ids, counts, members, homes = _numbers(links, "ids"), _numbers(links, "counts", "<i4").astype(np.int64), _numbers(links, "members"), _numbers(links, "homes")
+    starts = np.cumsum(counts) - counts
+    out: list[tuple[bytes, ...]] = []
+    for raw in asks.column("members").to_pylist():
+        at = np.searchsorted(ids, np.frombuffer(raw, "<i8"))
+        n = counts[at]
+        places = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append((raw, n.astype("<i4").tobytes(), members[places].tobytes(), homes[places].tobytes()))
+    return pa.table([asks.column("origin"), *(pa.array([o[c] for o in out], pa.binary()) for c in range(4))], names=["asker", "ids", "counts", "members", "homes"])
+
+
+def _unseen(state: pa.Table, found: pa.Table) -> pa.Table:
+    """From a block and the neighbours of the nodes that it visits: the block with what each of its queries hasn't seen
+    (kind 0), and rows that ask homes for the vectors (kind 1)."""
+    block = state.column("block")[0].as_py()
+    count, seen_count = _numbers(state, "counts", "<i4"), _numbers(state, "seen_counts", "<i4")
+    ids, visited, seen = _numbers(state, "ids"), _numbers(state, "visited", "u1"), _numbers(state, "seen")
+    node, n, member, home = _numbers(found, "ids"), _numbers(found, "counts", "<i4").astype(np.int64), _numbers(found, "members"), _numbers(found, "homes")
+    by_node, starts = np.argsort(node), np.cumsum(n) - n
+    query = np.repeat(np.arange(len(count)), count)
+    going = visited == _GOING
+    at = by_node[np.searchsorted(node[by_node], ids[going])] if len(node) else np.zeros(0, np.int64)
+    asker = np.repeat(query[going], n[at])
+    places = np.repeat(starts[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
+    kinds, number = np.unique(np.r_[seen, member[places]], return_inverse=True)
+    known = np.repeat(np.arange(len(count)), seen_count) * len(kinds) + number[: len(seen)]
+    pairs, first = np.unique(asker * len(kinds) + number[len(seen) :], return_index=True)
+    new = ~np.isin(pairs, known)
+    pairs, first = pairs[new], first[new]
+    of, member, home = pairs // max(1, len(kinds)), member[places][first], home[places][first]
+    new_count = np.bincount(of, minlength=len(count)).astype("<i4")
+    wanted, one = np.unique(member, return_index=True)
+    asks = _sent(home[one], block, members=wanted)
+    own = {"kind": [0] + [1] * len(asks), "to": [block, *asks.column("to").to_pylist()], "origin": [block] * (1 + len(asks)), "members": [member.tobytes(), *asks.column("members").to_pylist()]}
+    for c in ("queries", "vecs", "counts", "ids", "homes", "sims", "visited", "seen_counts", "seen"):
+        own[c] = [state.column(c)[0].as_py()] + [None] * len(asks)
+    own |= {"new_counts": [new_count.tobytes()] + [None] * len(asks), "new_homes": [home.tobytes()] + [None] * len(asks)}
+    return pa.table({c: pa.array(v, pa.int32() if c == "kind" else pa.int64() if c in ("to", "origin") else pa.binary()) for c, v in own.items()})
+
+
+def _stepped(dim: int, beam: int, width: int):
+    """Takes the vectors that a block of queries has fetched into their beams, and marks the nodes to visit next."""
+
+    def run(asked: pa.Table, fetched: pa.Table) -> pa.Table:
+        q = _scaled(_raw(asked.column("vecs")[0].as_py(), dim, len(asked.column("queries")[0].as_py()) // 8))
+        count, seen_count, new_count = (_numbers(asked, c, "<i4") for c in ("counts", "seen_counts", "new_counts"))
+        ids, homes, sims, visited, seen = _numbers(asked, "ids"), _numbers(asked, "homes"), _numbers(asked, "sims", "<f8"), _numbers(asked, "visited", "u1"), _numbers(asked, "seen")
+        member, member_home = _numbers(asked, "members"), _numbers(asked, "new_homes")
+        own = _numbers(fetched, "ids")
+        y = _scaled(_raw(b"".join(fetched.column("vecs").to_pylist()), dim, len(own))) if len(own) else np.zeros((0, dim))
+        by_id = np.argsort(own)
+        at = by_id[np.searchsorted(own[by_id], member)] if len(member) else np.zeros(0, np.int64)
+        every = np.arange(len(count))
+        of = np.repeat(every, new_count)
+        near = np.empty(len(member))
+        for k in range(0, len(member), 1 << 15):
+            near[k : k + (1 << 15)] = np.einsum("ij,ij->i", q[of[k : k + (1 << 15)]], y[at[k : k + (1 << 15)]])
+        query = np.r_[np.repeat(every, count), of]
+        ids, homes, sims, visited = np.r_[ids, member], np.r_[homes, member_home], np.r_[sims, near], np.r_[np.minimum(visited, 1), np.zeros(len(member), "u1")]
+        order = np.lexsort((ids, -sims, query))
+        order = order[_first_of_each(query[order], beam)]
+        query, ids, homes, sims, visited = (x[order] for x in (query, ids, homes, sims, visited))
+        unvisited = np.flatnonzero(visited == 0)
+        go = unvisited[_first_of_each(query[unvisited], width)]
+        visited[go] = _GOING
+        seen_of = np.r_[np.repeat(every, seen_count), of]
+        by_query = np.argsort(seen_of, kind="stable")
+        arrays = (np.bincount(query, minlength=len(count)).astype("<i4"), ids, homes, sims, visited.astype("u1"), np.bincount(seen_of, minlength=len(count)).astype("<i4"), np.r_[seen, member][by_query])
+        return pa.table([asked.column("origin"), asked.column("queries"), asked.column("vecs"), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([len(go)], pa.int64())], names=[f.split()[0] for f in _STATE.split(", ")])
+
+    return run
+
+
+def search_graph(queries: DataFrame, homes: DataFrame, graph: DataFrame, dim: int, n: int, *, sample: int = 16, beam: int | None = None, width: int | None = None) -> DataFrame:
+    """Greedy search from each query's own node. ``queries``: ``query``, a node, and its ``home``. Per query the beam:
+    ``ids`` and ``sims``, nearest first. A step visits ``width`` nodes, a fifth of the beam."""
+    spark = homes.sparkSession
+    beam = beam or beam_for(n)
     width = width or max(1, beam // 5)
-    links = _around(graph, sample, 0).groupBy("node").agg(F.collect_list("member").alias("near"))
+    back = graph.mapInArrow(_reversed(sample, 0), "to long, origin long, node binary, member binary, fresh binary")
+    links = graph.groupBy("home").cogroup(back.groupBy("to")).applyInArrow(_gathered(sample, 0, True), _GATHERED).select(F.col("origin").alias("home"), "ids", "counts", "members", "homes")
     stem = f"lamina_{uuid.uuid4().hex}"
     try:
-        links, vectors = _bucketed(links, f"{stem}_links"), _bucketed(nodes, f"{stem}_nodes")
+        links, vectors = _bucketed(links, f"{stem}_links"), _bucketed(homes, f"{stem}_homes")
         released(spark)
-        asking = min(_MOST_ASKING, max(1, _FETCHED // (dim * width * (sample + 24))))
-        homes = in_blocks(queries.withColumnRenamed("query", "node"), dim, asking)
-        own = F.array("query")
-        state = queries.join(homes.withColumnRenamed("node", "query"), "query").select("home", "query", "vec", own.alias("ids"), F.array(F.lit(1.0)).alias("sims"), F.array(F.lit(True)).alias("visited"), own.alias("seen"), own.alias("go"))
-        state = written(state, "beams")
+        size = min(_MOST_ASKING, max(1, _FETCHED // (dim * width * (sample + 24))))
+        asking = homes.join(queries.select("home").distinct(), "home", "left_semi").groupBy("home").cogroup(queries.withColumnRenamed("home", "at").groupBy("at"))
+        state = written(asking.applyInArrow(_asking(dim, size), _STATE), "beams")
         while True:
-            frontier = state.select("query", F.explode("go").alias("node"))
-            found = frontier.join(links, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("found"))
-            asked = state.join(found, "query", "left").withColumn("unseen", F.coalesce(F.array_except("found", "seen"), F.array().cast("array<long>"))).drop("found", "go")
-            asked = written(asked, "asked")
-            wanted = asked.select("home", F.explode("unseen").alias("node")).distinct()
-            fetched = wanted.join(vectors, "node").select(F.col("home").alias("to"), F.col("node").alias("member"), "vec")
-            after = written(asked.groupBy("home").cogroup(fetched.groupBy("to")).applyInArrow(_step(dim, beam, width), _STATE_SQL), "beams")
+            asks = state.mapInArrow(_frontier, "to long, origin long, members binary")
+            found = links.groupBy("home").cogroup(asks.groupBy("to")).applyInArrow(_linked, "asker long, ids binary, counts binary, members binary, homes binary")
+            asked = written(state.groupBy("block").cogroup(found.groupBy("asker")).applyInArrow(_unseen, _ASKED), "asked")
+            wanted = asked.filter("kind = 1").select("to", "origin", "members")
+            fetched = vectors.groupBy("home").cogroup(wanted.groupBy("to")).applyInArrow(_fetched(dim), _FETCHED_SQL).withColumnRenamed("origin", "asker")
+            after = written(asked.filter("kind = 0").groupBy("origin").cogroup(fetched.groupBy("asker")).applyInArrow(_stepped(dim, beam, width), _STATE), "beams")
+            left = after.agg(F.sum("going")).first()[0] or 0
             drop_written(state)
             drop_written(asked)
             state = after
+            del asks, found, asked, wanted, fetched, after
             released(spark)
-            if not state.filter(F.size("go") > 0).limit(1).count():
+            if not left:
                 break
     finally:
-        _dropped(spark, stem)
-    return state.select("query", "ids", "sims")
+        for what in ("links", "homes"):
+            spark.sql(f"DROP TABLE IF EXISTS {stem}_{what}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                own, counts, ids, sims = (np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in (("queries", "<i8"), ("counts", "<i4"), ("ids", "<i8"), ("sims", "<f8")))
+                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(sims))], names=["query", "ids", "sims"])
 
+    return state.mapInArrow(run, "query long, ids array<long>, sims array<double>")
 
-def _dropped(spark: SparkSession, stem: str) -> None:
-    for what in ("links", "nodes"):
-        spark.sql(f"DROP TABLE IF EXISTS {stem}_{what}")
+
+def _bucketed(df: DataFrame, name: str, key: str = "home") -> DataFrame:
+    """A table bucketed and sorted by ``key``, so that joins with it move only their other side."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
 
 
 def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", beam: int | None = None, rounds: int = 60) -> DataFrame:
@@ -473,11 +635,21 @@ def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 5, rerank: int
     kind = np.float32 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
     nodes = usable.join(copies.filter("node = vec_id").select("vec_id"), "vec_id").select(F.col("vec_id").alias("node"), "vector").mapInArrow(_packed(kind), "node long, vec binary")
     nodes = written(nodes, "nodes")
-    graph = build_graph(nodes, dim, rounds=rounds)
+    n = nodes.count()
+    homes = in_homes(nodes, dim, home_size(dim, 48))
+    graph = build_graph(homes, dim, n, rounds=rounds)
     asking = usable.filter(is_query).select("vec_id", "k1", "k2").join(firsts, ["k1", "k2"]).select("vec_id", "node")
     asking = written(asking, "asking")
-    queries = asking.select("node").distinct().join(nodes, "node").withColumnRenamed("node", "query")
-    beams = search_graph(queries, nodes, graph, dim, beam=beam)
+
+    def living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for home, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(ids, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([home] * len(ids), pa.int64())], names=["query", "home"])
+
+    where = homes.select("home", "ids").mapInArrow(living, "query long, home long")
+    queries = written(where.join(asking.select(F.col("node").alias("query")).distinct(), "query"), "queries")
+    beams = search_graph(queries, homes, graph, dim, n, beam=beam)
     nearest = beams.select(F.col("query").alias("_of"), F.explode(F.slice("ids", 1, rerank)).alias("node"))
     candidates = nearest.join(copies, "node").select("_of", "vec_id")
     largest = F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))

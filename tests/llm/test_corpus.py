@@ -288,7 +288,8 @@ def test_quality_trains_on_lines_in_a_row(spark, monkeypatch):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "_BLOCK", 128)
+    monkeypatch.setattr(ann, "_MOST_BLOCK", 128)
+    monkeypatch.setattr(ann, "_MOST_HOME", 700)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[1000:1300] = x[0]  # copies
@@ -335,16 +336,18 @@ def test_neighbours_in_near_copies(spark):
 
 def test_neighbour_graph_settles(spark, monkeypatch):
     """Rounds go on while lists change; the beam follows the number of nodes."""
-    monkeypatch.setattr(ann, "_BLOCK", 32)
+    monkeypatch.setattr(ann, "_MOST_BLOCK", 32)
     rounds, compared = [], ann._compared
     monkeypatch.setattr(ann, "_compared", lambda *a: rounds.append(1) or compared(*a))
     x = np.random.default_rng(8).normal(size=(2000, 48)).astype(np.float32)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<double>")
-    nodes = df.mapInArrow(ann._packed(), "node long, vec binary")
+    homes = ann.in_homes(df.mapInArrow(ann._packed(), "node long, vec binary"), 48, 300)
+    assert homes.count() >= 7
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
-    for r in ann.build_graph(nodes, 48, least_change=1e-3).filter("node % 20 = 0").collect():
+    for r in ann.lists(ann.build_graph(homes, 48, 2000, least_change=1e-3)).filter("node % 20 = 0").collect():
         s = x @ x[r["node"]]
+        assert r["sims"] == pytest.approx(s[r["near"]].tolist(), abs=1e-6) and len(set(r["near"])) == 24
         s[r["node"]] = -9
         hits += len(set(r["near"][:5]) & set(np.argsort(-s)[:5].tolist()))
     assert hits >= 0.9 * 5 * 100 and len(rounds) > 3, (hits, rounds)
@@ -352,7 +355,8 @@ def test_neighbour_graph_settles(spark, monkeypatch):
 
 
 def test_neighbours_of_extreme_magnitudes(spark):
-    """Squares beyond the range of doubles; rounds run on a small table too."""
+    """Squares beyond the range of doubles."""
+    assert ann.block_for(500) == 90 and ann.block_for(10**9) == 2048
     rng = np.random.default_rng(11)
     x = rng.normal(size=(60, 8))
     scale = 10.0 ** rng.choice([-300, -200, 0, 200, 300], size=(60, 1))
