@@ -76,3 +76,10 @@ def strategy(hint: Column, size: Column, *, eager_most: int = 10, lazy_most: int
     most ``eager_most``, ``lazy`` if it has more than ``lazy_most``, else ``adaptive``."""
     whole = F.floor(size / (1 << 20))
     return F.when((hint == "full") & (whole <= eager_most), "eager").when(whole > lazy_most, "lazy").otherwise("adaptive")
+
+
+def upgraded(chosen: Column, size: Column, *, after: int = 100, eager_most: int = 10) -> Column:
+    """The strategy after some accesses, over the rows of ``patterns``: an ``adaptive`` one becomes ``eager`` once a
+    sequential reader has made ``after`` near jumps, in a file of at most ``eager_most`` whole megabytes."""
+    enough = (F.col("pattern") == "sequential") & (F.col("n_near") >= after) & (F.floor(size / (1 << 20)) <= eager_most)
+    return F.when((chosen == "adaptive") & enough, "eager").otherwise(chosen)

@@ -244,6 +244,9 @@ _query(
     "q57c_load_strategy",
     "select event_id, case when event_type = 'click' and (event_id * 20000) // 1048576 <= 10 then 'eager' when (event_id * 20000) // 1048576 > 50 then 'lazy' else 'adaptive' end strategy from events",
 )(lambda s, d: events(s, d).df.select("event_id", access.strategy(F.when(F.col("event_type") == "click", "full").otherwise("partial"), F.col("event_id") * 20000).alias("strategy")))
+_query("q57d_upgrade", f"with {_PATTERNS} select user_id, case when pattern = 'sequential' and n_near >= 9 and user_id % 20 <= 10 then 'eager' else 'adaptive' end strategy from k")(
+    lambda s, d: access.patterns(_accesses(s, d), "user_id", "event_id", "record").select("user_id", access.upgraded(F.lit("adaptive"), F.col("user_id") % 20 * (1 << 20) + 5, after=9).alias("strategy"))
+)
 _query("q58_group_count", "select event_type, count(*) n, round(avg(value), 4) mean from events group by 1")(lambda s, d: events(s, d).df.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")))
 _query("q59_join", "select n_name, count(*) n from customer join nation on c_nationkey = n_nationkey group by 1")(
     lambda s, d: _table(s, d, "customer").join(_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
@@ -267,11 +270,11 @@ _query("q63b_fold", "select user_id, list_aggregate(list(value order by event_id
 )
 _query(
     "q64_spans",
-    "with s as (select i, i % 20 op, (i % 20 + 1) * 1000000 base, (i::hugeint * 2246822519 % 4294967296)::bigint h, (i::hugeint * 2654435761 % 4294967296)::bigint j, ((i::hugeint * 1664525 + 1013904223) % 4294967296)::bigint p from range(10000) t(i)) "
+    "with s as (select i, i % 20 op, (i % 20 + 1) * 1000000 base, (i::hugeint * 2246822519 % 4294967296)::bigint h, (i::hugeint * 2654435761 % 4294967296)::bigint j, ((i::hugeint * 1664525 + 1013904223) % 4294967296)::bigint p from (select row_number() over () - 1 i from events)) "
     "select 'svc_' || (i % 14) service, count(*) n, sum(base + j % (base * 0.8)::bigint - (base * 0.4)::bigint)::bigint total_ns, sum((h < 128849018)::int)::bigint errors, "
     "sum((h >= 128849018 and h < 171798692)::int)::bigint timeouts, sum((op in (14, 15) or (op = 1 and i % 7 = 0) or p < 644245094)::int)::bigint payloads from s group by 1",
 )(
-    lambda s, d: spans(s, 10_000)
+    lambda s, d: spans(s, events(s, d).count())
     .groupBy("service")
     .agg(
         F.count("*").alias("n"),
