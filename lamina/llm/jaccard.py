@@ -10,7 +10,8 @@ hash is what they are known by. Then, without losing a link:
 2. For the others all shingles are counted. Two linked sets share one of their first few shingles in any order common
    to all, here the rarest first. A set whose first few nobody else has drops out; the others, by the shared shingles
    among their first, make families.
-3. A family's sets meet in one task (a very large family is cut into blocks, and each two blocks meet). There the
+3. A family's sets meet in one task. A large family is cut into bands of sizes, of which only neighbouring ones can hold
+   linked sets, and a band into blocks; each two blocks of a band meet, and those of neighbouring bands. There the
    sets, commonest shingle first, are stored in a trie. One walk down the trie carries the overlap of the path with
    every set at once, so that sets with a common start share that work; it turns back where the lengths that remain
    can't reach the similarity for any set. Overlaps found at the leaves are exact, and a task returns only as many
@@ -272,19 +273,33 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
     begins = written(common.join(left.select("class_id", "size", "take"), "class_id").withColumn("_at", F.row_number().over(by_count)).filter("_at <= take").select("shingle", "class_id", "size", "n"), "begins")
     rare = begins.filter(F.col("n") <= _COMMON).select("shingle", "class_id", "size").repartition("shingle").sortWithinPartitions("shingle", "size", "class_id")
     edges = rare.mapInArrow(_neighbours(percent), "a long, b long")
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) if percent < 100 else F.col("size").cast("double"))
+    # sets as alike as asked for are in one band or in two neighbouring ones: a band is a trifle wider than their ratio
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col("size").cast("double"))
     far = begins.filter(F.col("n") > _COMMON).select("shingle", "class_id", F.explode(F.array(band, band + 1)).alias("band"))
     heads = far.groupBy("shingle", "band").agg(F.min("class_id").alias("head"))
     more = far.join(heads, ["shingle", "band"]).filter("class_id <> head").select(F.col("head").alias("a"), F.col("class_id").alias("b"))
     families = components(written(edges.unionByName(more).distinct(), "edges")).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
 
-    # 3. families meet
-    members = families.join(sizes, "class_id")
-    loads = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / _BLOCK_SHINGLES), F.ceil(F.count("*") / F.greatest(F.lit(float(_BLOCK_SETS)), 4 * F.sqrt(F.count("*"))))).alias("blocks"))
-    dealt = members.join(loads, "family").withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
-    zero = F.lit(0).cast("long")  # a block meets every other one, and itself where there is only one
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    meeting = dealt.withColumn("_other", other).select("class_id", "family", "block", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"))
+    # 3. families meet: a small one in a task, a large one by blocks of its bands
+    members = families.join(sizes, "class_id").withColumn("band", band)
+    load = F.greatest(F.ceil(F.sum("size") / _BLOCK_SHINGLES), F.ceil(F.count("*") / F.greatest(F.lit(float(_BLOCK_SETS)), 4 * F.sqrt(F.count("*"))))).cast("long")
+    whole = members.groupBy("family").agg((load > 1).alias("large"))
+    by_band = Window.partitionBy("family").orderBy("band")
+    next_to = lambda f, d: F.when(f("band").over(by_band) == F.col("band") + d, f("blocks").over(by_band)).otherwise(F.lit(0))
+    loads = members.groupBy("family", "band").agg(load.alias("blocks")).withColumn("upper", next_to(F.lead, 1)).withColumn("lower", next_to(F.lag, -1))
+    loads = written(loads.join(whole, "family"), "loads")
+    dealt = members.join(loads, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
+    zero, cut, mine = F.lit(0).cast("long"), F.col("block"), F.col("band")
+    upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<long>"))
+    meets = lambda across, at, one, two, label: F.struct(F.lit(across).alias("across"), at.alias("at"), one.alias("one"), two.alias("two"), label.alias("label"))
+    own = F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.filter(upto(F.col("blocks")), lambda x: x != cut))
+    every = F.concat(
+        F.transform(own, lambda x: meets(0, mine, F.least(cut, x), F.greatest(cut, x), cut)),  # a block meets every other one of its band, and itself where there is only one
+        F.transform(upto(F.col("upper")), lambda x: meets(1, mine, cut, x, zero)),
+        F.transform(upto(F.col("lower")), lambda x: meets(1, mine - 1, x, cut, zero + 2)),
+    )
+    alone = F.array(meets(0, F.lit(-1).cast("long"), zero, zero, zero))
+    meeting = dealt.withColumn("_meets", F.explode(F.when(F.col("large"), every).otherwise(alone))).select("class_id", "family", "_meets.*").withColumnRenamed("label", "block")
 
     def meet(table: pa.Table) -> pa.Table:
         rows = {}
@@ -294,7 +309,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
         found = _joined_all(classes, [rows[c][1] for c in classes], [rows[c][0] for c in classes], percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = written(sets.join(meeting, "class_id").groupBy("family", "one", "two").applyInArrow(meet, "a long, b long"), "class_links")
+    links = written(sets.join(meeting, "class_id").groupBy("family", "across", "at", "one", "two").applyInArrow(meet, "a long, b long"), "class_links")
     found = written(components(links).select(F.col("node").alias("class_id"), F.col("root").alias("root")), "joined")
     # written, so that the join with a component of very many classes can be split
     least = written(found.join(firsts, "class_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
