@@ -101,6 +101,19 @@ class Records:
         """A column as an Arrow chunked array, in record order."""
         return self.scan(key).orderBy(self.rec).toArrow().column(key)
 
+    def column_numpy(self, key: str):
+        """A column of numbers as a numpy array, in record order, and which of them are absent (those read as 0)."""
+        column = self.column_buffer(key).combine_chunks()
+        absent = column.is_null().to_numpy(zero_copy_only=False)
+        return column.fill_null(0).to_numpy(zero_copy_only=False), absent
+
+    def get(self, i: int, key: str, default: object = None) -> object:
+        """One field of one record; ``default`` where the record, the field or its value is absent."""
+        if field_of(self.df.schema, key) is None:
+            return default
+        found = self.record(i).df.select(self.column(key)).limit(1).collect()
+        return default if not found or found[0][0] is None else found[0][0]
+
     def to_json(self) -> DataFrame:
         """Each record whole, absent fields left out."""
         return self.df.select(self.rec, F.to_json(F.struct(*(F.col(f"`{k}`") for k in self.keys))).alias("json"))

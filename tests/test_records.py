@@ -53,6 +53,9 @@ def test_terminals(records):
     assert records.lookup(list(range(2, 3000))).count() == 3
     assert records.slot("s") == 2 and records.slot("nope") == -1
     assert records.column_buffer("s").to_pylist() == ["a", "b", None, "a", ""]
+    values, absent = records.column_numpy("v")
+    assert values[[0, 1, 4]].tolist() == [1.0, 0.0, -5.0] and absent.tolist() == [False, True, False, False, False]
+    assert records.get(0, "s") == "a" and records.get(1, "v") is None and records.get(1, "v", 7) == 7 and records.get(99, "v", 8) == 8 and records.get(0, "nope", 9) == 9
 
 
 def test_batches_and_warm_columns(records):
