@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from lamina.llm.common import LOWER, released, written
 
-_CHUNK_BYTES = 8 << 20
+_CHUNK_BYTES = 5 << 20
 #: Chunks, or ranges, of a task.
 _TOGETHER = 4
 #: n-grams (with repeats in several chunks) of a range of hashes, on average.
