@@ -18,7 +18,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ _BLOCK = 512
 _SPACES, _LETTERS, _NUMBERS = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 #: Words whose ids a worker keeps.
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 300_000
 
 
 class WaveletMatrix:
@@ -185,10 +184,9 @@ def unpack(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
 
 
 class TextEncoder:
-    """The tokenizers library's ids of whole texts. A byte-level model merges within words only, and a word by itself is
-    split no further; so texts of Latin-1 characters without the string of an added token are cut into words by the
-    model's pattern, and the library encodes each distinct word once. All other texts, and all texts of other models, go
-    to the library whole."""
+    """The tokenizers library's ids of whole texts. A byte-level model merges within words only; so texts of Latin-1
+    characters without the string of an added token are cut into words by the model's pattern, and the library's model
+    encodes each distinct word once. All other texts, and all texts of other models, go to the library whole."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,7 +202,12 @@ class TextEncoder:
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
         self.by_words = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and bool(split.get("use_regex")) and not split.get("add_prefix_space") and not spec.get("normalizer") and not model.get("dropout")
         self.words = re.compile(_PATTERN)
+        # printable bytes stand for themselves, the others follow from 256 on
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+        self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.packed = [struct.pack(kind.replace("u2", "H").replace("u4", "I"), i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _is_plain(self, text: str) -> bool:
         if not self.by_words or any(t in text for t in self.added):
@@ -214,21 +217,30 @@ class TextEncoder:
         except UnicodeEncodeError:
             return False
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _by_words(self, text: str) -> bytes:
+        if len(self.known) > _KNOWN_WORDS:  # words that come again are taken over from the table before
+            self.known, self.before = {}, self.known
+        words = self.words.findall(text)
+        found = list(map(self.known.get, words))
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    found[i] = self.known.get(w) or self._met(w)
+        return b"".join(found)
+
+    def _met(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            tokens = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
+            ids = b"".join([self.packed[t.id] for t in tokens])
+        self.known[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._is_plain(t) for t in texts]
-        others = iter(self._encoded([t for t, p in zip(texts, plain, strict=True) if not p]))
-        words = [self.words.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        every = set(chain.from_iterable(words))
-        if len(self.known) > _KNOWN_WORDS:  # what these texts have again stays
-            self.known = {w: self.known[w] for w in every & self.known.keys()}
-        fresh = list(every.difference(self.known))
-        self.known.update(zip(fresh, self._encoded(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, w)) if p else next(others) for w, p in zip(words, plain, strict=True)]
+        others = [t for t, p in zip(texts, plain, strict=True) if not p]
+        whole = iter(self.library.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        return [self._by_words(t) if p else np.array(next(whole).ids, dtype=self.kind).tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -142,8 +142,9 @@ def test_wavelet_lookups(docs):
         wavelet.tokens_at(shards, list(range(100_001)))
 
 
-def test_text_encoder():
+def test_text_encoder(monkeypatch):
     """Word by word against whole texts, on strings of the pattern's own cases and on very long white space."""
+    monkeypatch.setattr(wavelet, "_KNOWN_WORDS", 5000)
     from tokenizers import Tokenizer
 
     library, own = Tokenizer.from_file(JSON), wavelet.TextEncoder(JSON, "<u4")
