@@ -247,18 +247,17 @@ def fit(docs: DataFrame, labels: DataFrame, kept: Column, *, label_col: str = "q
 
 
 def score(docs: DataFrame, crf: LineCRF | None, *, id_col: str = "doc_id", text_col: str = "text", into: str = "score") -> DataFrame:
-    """All columns and each document's quality, 0 to 1. There is no shuffle."""
+    """All columns and each document's quality, 0 to 1. There is no shuffle, and only texts and scores go to Python and
+    back."""
     others = [c for c in docs.columns if c != into]
-    plain = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_text")) if crf else None
     if crf is None:
         return docs.select(*others).withColumn(into, F.lit(0.5))
-    schema = docs.select(*others).schema.add(into, "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start, stop in slices(b.column(len(others)), _SLICE_BYTES):
-                rows = b.slice(start, stop - start)
-                found = pa.array(crf.score(rows.column(len(others)).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(others))), found], names=[*others, into])
+    def run(batches):
+        for texts in batches:
+            parts = [crf.score(texts.slice(start, stop - start).to_pylist()) for start, stop in slices(texts, _SLICE_BYTES)]
+            yield pa.array([x for p in parts for x in p], pa.float64())
 
-    return plain.mapInArrow(run, schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # Spark reads types, not their names
+    quality = F.arrow_udf(run, "double")(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(*others, quality.alias(into))
