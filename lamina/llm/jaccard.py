@@ -33,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LOWER, ids_and_text, written
+from lamina.llm.common import LOWER, ids_and_text, slices, written
 from lamina.llm.components import components
 
+#: Bytes of texts whose first shingles are looked at together.
+_STARTS_BYTES = 8 << 20
 #: A shared shingle of more sets than this joins them to the least of them instead of in a chain by size.
 _COMMON = 48
 #: A block of a family holds about so many shingles at most, and so many sets (or four times the root of the family's
@@ -344,38 +346,43 @@ def _joined_all(classes: list[int], sets: list[np.ndarray], blocks: list[int], p
 
 
 def _starts(words: int, shared_ids: frozenset[int] = frozenset()):
-    """From texts: the first quarter of each set as rows of shingle and class, each shingle once a batch. For shingles
-    that several classes of the batch hold the class is null, and rows without shingle count them for these classes."""
+    """From texts: the first quarter of each set as rows of shingle and class, each shingle once a slice of a batch. For
+    shingles that several classes of the slice hold the class is null, and rows without shingle count them for these
+    classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            starts: dict[int, np.ndarray] = {}
-            for k in range(0, len(b), 256):
-                for s in shingler.sets(b.column(0).slice(k, 256).to_pylist()):
-                    if len(s):
-                        starts[_class(s, shared_ids)] = s[: _quarter(len(s))]
-            if not starts:
-                continue
-            classes = np.repeat(np.fromiter(starts, np.int64, len(starts)), [len(x) for x in starts.values()])
-            shingles = np.concatenate(list(starts.values()))
-            kinds, at, counts = np.unique(shingles, return_inverse=True, return_counts=True)
-            own = counts[at] == 1
-            held, n = np.unique(classes[~own], return_counts=True)
-            known = kinds[counts > 1]
-            nulls = np.zeros(len(held), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([shingles[own], known, nulls]), mask=np.repeat([False, False, True], [own.sum(), len(known), len(held)])),
-                    pa.array(np.concatenate([classes[own], np.zeros(len(known), np.int64), held]), mask=np.repeat([False, True, False], [own.sum(), len(known), len(held)])),
-                    pa.array(np.concatenate([np.zeros(own.sum() + len(known), np.int64), n])),
-                ],
-                names=["shingle", "class_id", "shared"],
-            )
+            for start, stop in slices(b.column(0), _STARTS_BYTES):
+                starts: dict[int, np.ndarray] = {}
+                for k in range(start, stop, 256):
+                    for s in shingler.sets(b.column(0).slice(k, min(256, stop - k)).to_pylist()):
+                        if len(s):
+                            starts[_class(s, shared_ids)] = s[: _quarter(len(s))].copy()
+                if starts:
+                    yield _once_each(starts)
 
     return run
 
 
+def _once_each(starts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    classes = np.repeat(np.fromiter(starts, np.int64, len(starts)), [len(x) for x in starts.values()])
+    shingles = np.concatenate(list(starts.values()))
+    kinds, at, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+    own = counts[at] == 1
+    held, n = np.unique(classes[~own], return_counts=True)
+    known = kinds[counts > 1]
+    nulls = np.zeros(len(held), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([shingles[own], known, nulls]), mask=np.repeat([False, False, True], [own.sum(), len(known), len(held)])),
+            pa.array(np.concatenate([classes[own], np.zeros(len(known), np.int64), held]), mask=np.repeat([False, True, False], [own.sum(), len(known), len(held)])),
+            pa.array(np.concatenate([np.zeros(own.sum() + len(known), np.int64), n])),
+        ],
+        names=["shingle", "class_id", "shared"],
+    )
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by shingle and class (null first): for the classes of a batch, how many of their shingles have
     a null class or another class."""
