@@ -160,32 +160,26 @@ _HOMES = "home long, ids binary, vecs binary"
 
 
 def in_homes(nodes: DataFrame, dim: int, size: int) -> DataFrame:
-    """Nodes (``node``, ``vec``) in homes of ``size`` at most: ``home``, ``ids`` (ascending) and ``vecs``."""
+    """Nodes (``node``, ``vec``) in homes of ``size`` (the last one fewer), by their order along the codes: ``home``,
+    ``ids`` (ascending) and ``vecs``."""
     n = nodes.count()
     coded = nodes.mapInArrow(_coded(dim), "code long, node long, vec binary").repartitionByRange(max(1, -(-n // (4 * size))), "code", "node").sortWithinPartitions("code", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, ids, vecs = TaskContext.get().partitionId() << 32, [], []
-
-        def settle() -> pa.RecordBatch:
-            nonlocal home
-            order = np.argsort(np.array(ids, np.int64))
-            out = pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([np.array(ids, np.int64)[order].tobytes()]), pa.array([b"".join(vecs[i] for i in order.tolist())])], names=["home", "ids", "vecs"])
-            home += 1
-            ids.clear()
-            vecs.clear()
-            return out
-
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            for node, vec in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ids.append(node)
-                vecs.append(vec)
-                if len(ids) == size:
-                    yield settle()
-        if ids:
-            yield settle()
-
-    return written(coded.mapInArrow(run, _HOMES), "homes")
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(b), pa.int64()), pa.array(at + np.arange(len(b))), b.column(1), b.column(2)], names=["part", "at", "node", "vec"])
+            at += len(b)
+
+    def together(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        return pa.table({"home": table.column("home").slice(0, 1), "ids": [table.column("node").to_numpy().tobytes()], "vecs": [b"".join(table.column("vec").to_pylist())]})
+
+    placed = written(coded.mapInArrow(numbered, "part long, at long, node long, vec binary"), "placed")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # one row a partition
+    home = F.floor((F.col("start") + F.col("at")) / size).cast("long").alias("home")
+    return written(placed.join(starts, "part").select(home, "node", "vec").groupBy("home").applyInArrow(together, _HOMES), "homes")
 
 
 # -- the graph: a row a home with its nodes' lists, nearest first
