@@ -47,8 +47,20 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_BATCH_CONF, _SPARKS_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most for the session, unless it asks for another size than Spark's own 64 MB: a batch of
+    long texts is held several times, in the executor and in its Python workers."""
+    now = spark.conf.get(_BATCH_CONF, None)
+    if now is not None and now.rstrip("b") == str(_SPARKS_BATCH):
+        spark.conf.set(_BATCH_CONF, str(_BATCH_BYTES))
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that count, the text without nulls."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 

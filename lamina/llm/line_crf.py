@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ids_and_text, slices
+from lamina.llm.common import ids_and_text, slices, small_batches
 
 #: Kinds of bytes, by their characters; bytes of longer characters are the last kind.
 _KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\f\v", ".,;:'\"-()?", "!", "|", "#$%&*+=", "<>@^_~\\/{}[]`"]
@@ -259,5 +259,6 @@ def score(docs: DataFrame, crf: LineCRF | None, *, id_col: str = "doc_id", text_
             yield pa.array([x for p in parts for x in p], pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # Spark reads types, not their names
+    small_batches(docs.sparkSession)
     quality = F.arrow_udf(run, "double")(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(*others, quality.alias(into))

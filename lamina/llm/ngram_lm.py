@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import LOWER, released, written
+from lamina.llm.common import LOWER, released, small_batches, written
 
 _CHUNK_BYTES = 5 << 20
 #: Chunks, or ranges, of a task.
@@ -301,6 +301,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     if order < 2 or mass <= 0:
         raise ValueError("order must be 2 at least, mass positive")
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     doc_type = plain.schema["doc_id"].dataType
     read, schema = _chunks(doc_type)
