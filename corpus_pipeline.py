@@ -68,9 +68,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``ids``, ``n_tokens`` and ``decoded_sha256`` of each text."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    both = piece_codec.decode(piece_codec.encode(docs, model, end=True), model)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    both = piece_codec.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), end=True)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("mixing sources to target weights", mixture), ("SentencePiece encoding and decoding", tokens)]

@@ -77,7 +77,7 @@ class PieceCodec:
 
     NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         with open(path, "rb") as f:
             model = f.read()
         pieces, self.kinds, scores, trainer, normaliser = [], [], [], {}, {}
@@ -381,14 +381,32 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             for start, stop in slices(b.column(1), slice_bytes):
                 found = codec(model).encode(b.column(1).slice(start, stop - start).to_pylist(), end)
-                offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-                flat = pa.array(np.concatenate(found).astype(np.int32, copy=False))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), lists], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), _listed(found)], names=[id_col, "ids"])
 
     return plain.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = False, into: str = "decoded", slice_bytes: int = 2 << 20) -> DataFrame:
+    """Per row: the id, ``ids`` as ``encode`` gives them, and the text that these ids decode to: both in one pass through
+    one Python worker."""
+    plain = ids_and_text(docs, id_col, text_col)
+    schema = T.StructType([plain.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField(into, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, stop in slices(b.column(1), slice_bytes):
+                found = codec(model).encode(b.column(1).slice(start, stop - start).to_pylist(), end)
+                texts = pa.array([codec(model).decode(x.tolist()) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), _listed(found), texts], names=[id_col, "ids", into])
+
+    return plain.mapInArrow(run, schema)
+
+
+def _listed(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32, copy=False)))
+
+
 def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", into: str = "text", slice_ids: int = 1 << 19) -> DataFrame:
     """All columns, and the text of the ids (null ids: empty)."""
     schema = T.StructType([*(f for f in encoded.schema if f.name != into), T.StructField(into, T.StringType())])

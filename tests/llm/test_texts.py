@@ -90,6 +90,8 @@ def test_piece_codec_tables(docs):
     both = piece_codec.decode(piece_codec.encode(docs, MODEL, end=True, slice_bytes=5000), MODEL, slice_ids=1000).collect()
     want = [(i, ids := library.encode(t or "", add_eos=True), library.decode(ids)) for i, t in ROWS]
     assert _by_id((r["doc_id"], r["ids"], r["text"]) for r in both) == _by_id(want)
+    once = piece_codec.round_trip(docs, MODEL, end=True, slice_bytes=5000).collect()
+    assert _by_id((r["doc_id"], r["ids"], r["decoded"]) for r in once) == _by_id(want)
 
 
 def test_wavelet_units():
