@@ -51,18 +51,20 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
-        zeros, planes, blocks = [], [], []
+        n, zeros, planes, blocks = len(values), [], [], []
         for k in range(bits - 1, -1, -1):
-            one = (values >> k & 1).astype(bool)
+            one = (values & values.dtype.type(1 << k)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             packed = np.pad(packed, (0, -len(packed) % (_BLOCK // 8)))
             per_block = np.bitwise_count(packed.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(packed)
             blocks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(per_block, dtype=np.uint32)]))
-            low = np.compress(~one, values)
-            zeros.append(len(low))
-            values = np.concatenate([low, np.compress(one, values)])
-        return cls(len(values), zeros, planes, blocks)
+            z, parted = n - int(np.count_nonzero(one)), np.empty_like(values)
+            np.compress(one, values, out=parted[z:])
+            np.compress(np.logical_not(one, out=one), values, out=parted[:z])
+            values = parted
+            zeros.append(z)
+        return cls(n, zeros, planes, blocks)
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
         """Ones before the places ``i`` of a plane."""
@@ -222,10 +224,10 @@ class TextEncoder:
             self.known, self.before = {}, self.known
         words = self.words.findall(text)
         found = list(map(self.known.get, words))
-        if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    found[i] = self.known.get(w) or self._met(w)
+        i = 0
+        for _ in range(found.count(None)):
+            i = found.index(None, i)
+            found[i] = self.known.get(words[i]) or self._met(words[i])
         return b"".join(found)
 
     def _met(self, word: str) -> bytes:
