@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, as ``bytes.split()`` also takes it.
 LOWER = bytes(range(256)).lower()
+#: Rows of a file of a table whose rows are few numbers each.
+_ROWS_A_FILE = 1 << 15
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,10 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: later steps survive the loss of any executor
-    and don't compute it again."""
+    and don't compute it again. ``rows``: a bound on the number of rows, where they are few numbers each; so many
+    partitions of few rows don't make a file each (for each file that it makes on a local file system, Hadoop starts a
+    process from the executor)."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // _ROWS_A_FILE)))
     path = f"{shared_folder(spark)}/lamina/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -77,6 +85,14 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Returns memory that this process has freed to the system. Idle Python workers stay beside their executor for the
+    stages that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes of text, or ids of lists, each; one row at least."""
     import pyarrow.compute as pc

@@ -28,11 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large stars: neighbours above a node go to the least node around it
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "large")
+        large = written(large, "large", rows=2 * now[0])
         # small stars: a node and its lesser neighbours go to the least of these
         least = _least(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("u <> m").select("u", F.col("m").alias("v")))
-        after = written(small.distinct(), "small")
+        after = written(small.distinct(), "small", rows=2 * now[0])
         drop_written(links)
         drop_written(large)
         links = after

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LOWER, ids_and_text, slices, written
+from lamina.llm.common import LOWER, ids_and_text, slices, trimmed, written
 from lamina.llm.components import components
 
 #: Bytes of texts whose first shingles are looked at together.
@@ -216,6 +216,8 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
                 rows = b.slice(k, 256)
                 sets = shingler.sets(rows.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s, _shared_ids) for s in sets], pa.int64()), pa.array([_second(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class_id", "second"])
+        del shingler
+        trimmed()
 
     def read_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,11 +233,12 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
         known = plain.mapInArrow(read, "doc_id long, n_shingles long, class_id long, second long")
     known = written(known, "shingled")
     firsts = known.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.min("second").alias("low"), F.max("second").alias("high"))
-    firsts = written(firsts, "firsts")
+    firsts = written(firsts, "firsts", rows=known.count())
     shared_ids = frozenset(r["class_id"] for r in firsts.filter("low <> high").select("class_id").toLocalIterator())  # n^2 / 2^65 expected: 3 of 10^10
     if shared_ids:
         return link(docs, percent=percent, words=words, id_col=id_col, text_col=text_col, text_key=text_key, _shared_ids=_shared_ids | shared_ids)
     firsts = firsts.drop("low", "high")
+    n = firsts.count()
 
     # 1. sets with enough shared shingles in their first quarter
     started = written(plain.select("text").mapInArrow(_starts(words, _shared_ids), "shingle long, class_id long, shared long"), "started")
@@ -245,10 +248,11 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
     # the partner whose quarter ends first shares all of it but what it may lack; for the other, rounding costs one
     quarter, may_lack = F.ceil(F.col("size") / 4), F.col("size") - F.ceil(F.col("size") * percent / 100)
     active = firsts.filter("doc_id is not null").join(shared, "class_id").filter(F.col("shared") >= F.greatest(F.lit(1), quarter - may_lack - 1)).select("doc_id", "class_id", "size")
-    active = written(active, "active")
+    active = written(active, "active", rows=n)
 
     # 2. sets that share one of their first shingles, rarest first
     bits, wanted = _wanted(active)
+    shingles = active.agg(F.sum("size")).first()[0] or 0
     sent_bits = docs.sparkSession.sparkContext.broadcast(wanted)
     marked = plain.filter("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("_bit"))
 
@@ -262,17 +266,19 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
                 offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
                 yield pa.RecordBatch.from_arrays([pa.array([_class(s, _shared_ids) for s in sets], pa.int64()), lists], names=["class_id", "shingles"])
+        del shingler
+        trimmed()
 
     fetched = marked.mapInArrow(fetch, "class_id long, shingles array<long>")
-    sets = written(fetched.join(active.select("class_id"), "class_id").groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = written(fetched.join(active.select("class_id"), "class_id").groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets", rows=shingles)
     held = sets.select("class_id", F.explode("shingles").alias("shingle"))
     counts = held.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    common = written(held.join(counts, "shingle"), "common")
+    common = written(held.join(counts, "shingle"), "common", rows=shingles)
     sizes = sets.select("class_id", F.size("shingles").alias("size"))
     first_few = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     left = common.groupBy("class_id").agg(F.count("*").alias("others")).join(sizes, "class_id").withColumn("take", first_few - (F.col("size") - F.col("others"))).filter("take > 0")
     by_count = Window.partitionBy("class_id").orderBy("n", "shingle")
-    begins = written(common.join(left.select("class_id", "size", "take"), "class_id").withColumn("_at", F.row_number().over(by_count)).filter("_at <= take").select("shingle", "class_id", "size", "n"), "begins")
+    begins = written(common.join(left.select("class_id", "size", "take"), "class_id").withColumn("_at", F.row_number().over(by_count)).filter("_at <= take").select("shingle", "class_id", "size", "n"), "begins", rows=common.count())
     rare = begins.filter(F.col("n") <= _COMMON).select("shingle", "class_id", "size").repartition("shingle").sortWithinPartitions("shingle", "size", "class_id")
     edges = rare.mapInArrow(_neighbours(percent), "a long, b long")
     # sets as alike as asked for are in one band or in two neighbouring ones: a band is a trifle wider than their ratio
@@ -280,7 +286,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
     far = begins.filter(F.col("n") > _COMMON).select("shingle", "class_id", F.explode(F.array(band, band + 1)).alias("band"))
     heads = far.groupBy("shingle", "band").agg(F.min("class_id").alias("head"))
     more = far.join(heads, ["shingle", "band"]).filter("class_id <> head").select(F.col("head").alias("a"), F.col("class_id").alias("b"))
-    families = components(written(edges.unionByName(more).distinct(), "edges")).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
+    families = components(written(edges.unionByName(more).distinct(), "edges", rows=2 * begins.count())).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
 
     # 3. families meet: a small one in a task, a large one by blocks of its bands
     members = families.join(sizes, "class_id").withColumn("band", band)
@@ -289,7 +295,7 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
     by_band = Window.partitionBy("family").orderBy("band")
     next_to = lambda f, d: F.when(f("band").over(by_band) == F.col("band") + d, f("blocks").over(by_band)).otherwise(F.lit(0))
     loads = members.groupBy("family", "band").agg(load.alias("blocks")).withColumn("upper", next_to(F.lead, 1)).withColumn("lower", next_to(F.lag, -1))
-    loads = written(loads.join(whole, "family"), "loads")
+    loads = written(loads.join(whole, "family"), "loads", rows=n)
     dealt = members.join(loads, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
     zero, cut, mine = F.lit(0).cast("long"), F.col("block"), F.col("band")
     upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<long>"))
@@ -312,12 +318,12 @@ def link(docs: DataFrame, *, percent: int = 85, words: int = 4, id_col: str = "d
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     links = written(sets.join(meeting, "class_id").groupBy("family", "across", "at", "one", "two").applyInArrow(meet, "a long, b long"), "class_links")
-    found = written(components(links).select(F.col("node").alias("class_id"), F.col("root").alias("root")), "joined")
+    found = written(components(links).select(F.col("node").alias("class_id"), F.col("root").alias("root")), "joined", rows=n)
     # written, so that the join with a component of very many classes can be split
-    least = written(found.join(firsts, "class_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    least = written(found.join(firsts, "class_id").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least", rows=n)
     linked = found.join(least, "root").select("class_id", "component_id")
     of_class = firsts.join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    of_class = written(of_class, "of_class")  # as above, for a class of very many copies
+    of_class = written(of_class, "of_class", rows=n)  # as above, for a class of very many copies
     columns = ["doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id")]
     return known.join(of_class, "class_id", "left").select(*columns, *(["text_key"] if text_key else []))
 
@@ -361,6 +367,8 @@ def _starts(words: int, shared_ids: frozenset[int] = frozenset()):
                             starts[_class(s, shared_ids)] = s[: _quarter(len(s))].copy()
                 if starts:
                     yield _once_each(starts)
+        del shingler
+        trimmed()
 
     return run
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lamina.llm.common import ids_and_text, slices
+from lamina.llm.common import ids_and_text, slices, trimmed
 
 SPACE = "▁"
 _NEVER = np.iinfo(np.int32).max
@@ -398,6 +398,7 @@ def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col:
                 found = codec(model).encode(b.column(1).slice(start, stop - start).to_pylist(), end)
                 texts = pa.array([codec(model).decode(x.tolist()) for x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), _listed(found), texts], names=[id_col, "ids", into])
+        trimmed()
 
     return plain.mapInArrow(run, schema)
 

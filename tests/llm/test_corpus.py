@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamina.llm import ann, jaccard, line_crf, mixing, ngram_lm
+from lamina.llm import components as components_module
+from lamina.llm.common import written
 from lamina.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -479,3 +481,27 @@ def test_shingles_of_arrow_batches():
             for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got[c] += n
         assert got == want
+
+
+def test_few_rows_make_few_files(spark):
+    numbers = spark.range(300).withColumn("at", F.col("id") % 3).repartition(40, "id")
+    assert len(written(numbers, "many").inputFiles()) > 30
+    few = written(numbers, "few", rows=300)
+    assert len(few.inputFiles()) == 1 and sorted(few.collect()) == sorted(numbers.collect())
+    assert len(written(numbers, "none", rows=0).inputFiles()) == 1
+    assert len(written(numbers, "large", rows=1 << 30).inputFiles()) > 30  # a bound is no call for more files
+
+
+def test_rounds_of_components_make_few_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components_module, "written", lambda df, name, **options: made.append((name, written(df, name, **options))) or made[-1][1])
+    monkeypatch.setattr(components_module, "drop_written", lambda df: None)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r["root"] for r in components(chain).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {len(df.inputFiles()) for name, df in made if name != "links"} == {1}
