@@ -21,12 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import ids_and_text, input_partitions, written
+from lamina.llm.common import ids_and_text, input_partitions, slices, written
 
 _MAGIC = b"LWM1"
 #: Places or ids that one lookup may list.
@@ -38,8 +39,15 @@ _BLOCK = 512
 # text before merging.
 _SPACES, _LETTERS, _NUMBERS = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
-#: Words whose ids a worker keeps.
+#: Which ASCII characters may end a stretch (1: before a space, 2: before any that is no letter), and which may follow it.
+_BEFORE = np.array([3 if chr(b).isalpha() and b < 0x80 or b >= 0x80 else 1 if b > 0x20 else 0 for b in range(256)], np.uint8)
+_AFTER = np.array([3 if b == 0x20 else 0 if b >= 0x80 or chr(b).isalpha() else 2 for b in range(256)], np.uint8)
+#: Words whose ids a worker keeps, and stretches of columns, of so many characters at most.
 _KNOWN_WORDS = 300_000
+_KNOWN_STRETCHES = 1_000_000
+_KNOWN_LENGTH = 64
+#: Bytes of texts that are encoded together.
+_SLICE_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -188,7 +196,11 @@ def unpack(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
 class TextEncoder:
     """The tokenizers library's ids of whole texts. A byte-level model merges within words only; so texts of Latin-1
     characters without the string of an added token are cut into words by the model's pattern, and the library's model
-    encodes each distinct word once. All other texts, and all texts of other models, go to the library whole."""
+    encodes each distinct word once. All other texts, and all texts of other models, go to the library whole.
+
+    Columns of texts are first cut where no word of the pattern goes on: before a space that follows something else than
+    white space, and behind a letter that an ASCII character other than a letter follows. What the pattern looks ahead to,
+    behind white space, is on the same side. Each distinct stretch of a slice is looked up once."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -210,6 +222,7 @@ class TextEncoder:
         self.packed = [struct.pack(kind.replace("u2", "H").replace("u4", "I"), i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
 
     def _is_plain(self, text: str) -> bool:
         if not self.by_words or any(t in text for t in self.added):
@@ -233,11 +246,85 @@ class TextEncoder:
     def _met(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            tokens = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
-            ids = b"".join([self.packed[t.id] for t in tokens])
+            ids = self._new(word)
         self.known[word] = ids
         return ids
 
+    def _new(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", self.shown[0x20])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.shown)
+        return b"".join([self.packed[t.id] for t in self.library.model.tokenize(shown)])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), one text after another, and how many each has."""
+        texts = texts.cast(pa.large_string())
+        plain = self._plain(texts)
+        if plain.all():
+            return self._by_stretches(texts)
+        flat, n = self._by_stretches(texts.filter(pa.array(plain)))
+        parts, lengths = iter(np.split(flat, np.cumsum(n)[:-1])), np.zeros(len(texts), np.int64)
+        whole = iter(self.library.encode_batch_fast(texts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False))
+        out = [next(parts) if p else np.array(next(whole).ids, dtype=self.kind) for p in plain.tolist()]
+        lengths[:] = [len(x) for x in out]
+        return np.concatenate(out), lengths
+
+    @staticmethod
+    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' bytes, and where in them each text starts and the last one ends."""
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+        raw = np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]) if data and at[-1] > at[0] else np.zeros(0, np.uint8)
+        return raw, at - at[0]
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """As ``_is_plain``, of each text: beyond Latin-1, the first byte of a character is 0xC4 at least."""
+        plain = np.full(len(texts), self.by_words)
+        raw, at = self._bytes(texts)
+        plain[np.searchsorted(at, np.flatnonzero(raw >= 0xC4), side="right") - 1] = False
+        for t in self.added:
+            plain &= ~pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        return plain
+
+    def _by_stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        raw, at = self._bytes(texts)
+        after = _AFTER[raw[1:]]
+        cuts = np.flatnonzero((_BEFORE[raw[:-1]] & after).astype(bool)) + 1
+        last, lead = raw[cuts - 1], raw[cuts - 2]
+        wide = last >= 0x80  # two bytes: blanks after 0xC2, letters after 0xC3 but for the signs of times and division
+        letter = (lead == 0xC3) & (last != 0x97) & (last != 0xB7)
+        blank = (lead == 0xC2) & ((last == 0x85) | (last == 0xA0))
+        fine = ~wide | letter | ((raw[cuts] == 0x20) & ~blank)
+        starts = np.zeros(len(raw) + 1, bool)
+        starts[cuts[fine]] = True
+        starts[at] = True
+        starts = np.flatnonzero(starts[:-1])
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, len(raw)].astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        ids = self._known_stretches(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        kinds, place = np.frombuffer(b"".join(ids), self.kind), pieces.indices.to_numpy()
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        begins, n = (np.cumsum(n) - n)[place], n[place]
+        ends = np.cumsum(n)
+        index = np.int32 if len(raw) < 1 << 31 else np.int64  # a byte makes one id at most
+        flat = kinds[np.repeat((begins - (ends - n)).astype(index), n) + np.arange(ends[-1] if len(ends) else 0, dtype=index)]
+        return flat, np.diff(np.r_[0, ends][np.searchsorted(starts, at)])
+
+    def _known_stretches(self, texts: list[str]) -> list[bytes]:
+        found = list(map(self.stretches.get, texts))
+        if len(self.stretches) > _KNOWN_STRETCHES:  # those that this slice has again stay
+            self.stretches = {t: f for t, f in zip(texts, found, strict=True) if f is not None}
+        i = 0
+        for _ in range(found.count(None)):
+            i = found.index(None, i)
+            t = texts[i]
+            found[i] = b"".join(map(self._new, self.words.findall(t)))
+            if len(t) <= _KNOWN_LENGTH:
+                self.stretches[t] = found[i]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._is_plain(t) for t in texts]
         others = [t for t, p in zip(texts, plain, strict=True) if not p]
@@ -263,35 +350,42 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_col: st
     plain = ids_and_text(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = vocabulary_bits(tokenizer)
     kind = "<u2" if bits <= 16 else "<u4"
-    tail = np.array([end_id], dtype=kind).tobytes()
-    width = len(tail)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         ids: list[int | None] = []
         size = 0
 
         def shard() -> pa.RecordBatch:
             nonlocal seq, before, size
-            values = np.frombuffer(b"".join(held), dtype=kind)
-            payload = pack(values, ids, np.array([len(h) // width for h in held]), bits)
+            values = np.concatenate(held)
+            payload = pack(values, ids, np.concatenate(lengths), bits)
             out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_tokens": len(values), "n_docs": len(ids), "payload": payload}], schema=arrow)
             seq, before, size = seq + 1, before + len(values), 0
-            held.clear()
-            ids.clear()
+            for kept in (held, lengths, ids):
+                kept.clear()
             return out
 
         arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
         encoder = _encoder(tokenizer, kind)
         for b in batches:
-            for k in range(0, len(b), 256):
-                rows = b.slice(k, 256)
-                for doc_id, found in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
-                    held.append(found + tail)
-                    ids.append(doc_id)
-                    size += len(held[-1]) // width
+            for first, stop in slices(b.column(1), _SLICE_BYTES):
+                rows = b.slice(first, stop - first)
+                flat, n = encoder.encode_column(rows.column(1))
+                flat, n, doc_ids = np.insert(flat, np.cumsum(n), end_id), n + 1, rows.column(0).to_pylist()
+                ends = np.cumsum(n)
+                at = base = 0
+                while at < len(n):
+                    upto = min(len(n), int(np.searchsorted(ends, base + shard_tokens - size)) + 1)  # with the document that fills the shard
+                    end = int(ends[upto - 1])
+                    held.append(flat[base:end])
+                    lengths.append(n[at:upto])
+                    ids += doc_ids[at:upto]
+                    size += end - base
+                    at, base = upto, end
                     if size >= shard_tokens:
                         yield shard()
         if held:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,29 @@ def test_text_encoder(monkeypatch):
     assert all(np.frombuffer(g, "<u4").tolist() == w.ids for g, w in zip(got, want, strict=True))
 
 
+def test_text_encoder_of_columns(monkeypatch):
+    """Columns by distinct stretches against the library's ids of whole texts, each stretch looked up once a slice."""
+    monkeypatch.setattr(wavelet, "_KNOWN_STRETCHES", 5000)
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(JSON), wavelet.TextEncoder(JSON, "<u4")
+    rng = random.Random(9)
+    latin = [chr(c) for c in range(256)]
+    texts = ["".join(rng.choice("ab'st  \n\r1é.,-àÅ\x85\xa0\x1c" if rng.random() < 0.9 else latin) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    texts += [t or "" for _, t in ROWS] + ["x" + " " * 1_500_000, " " + "\n" * 1_500_000 + " y", "a" * 50_000, "", "\xa0 \x85 a\xa0 b\x85 c", "日 本", "a <|endoftext|> b", "", "it's é's à, Å. ×÷× a×b÷, 2²x1 ¼x'S 'll're'x"]
+    for column in (pa.array(texts), pa.array(["cut off", *texts, "too"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        flat, n = own.encode_column(column)
+        want = [w.ids for w in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    for few in ([], [""], ["", ""], ["日"], ["a"]):
+        flat, n = own.encode_column(pa.array(few, pa.string()))
+        assert (flat.tolist(), n.tolist()) == (library.encode("".join(few), add_special_tokens=False).ids, [len(library.encode(t).ids) for t in few])
+    asked = []
+    monkeypatch.setattr(own, "_new", lambda t: asked.append(t) or b"")
+    own.encode_column(pa.array(["seldomseen thing"] * 50))
+    assert asked == ["seldomseen", " thing"]
+
+
 def test_differencing():
     rng = random.Random(1)
     for _ in range(50):
