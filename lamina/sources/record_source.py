@@ -2,11 +2,12 @@
 
 Reading: ``path`` is a file or folder on a file system that all executors mount; ``columns`` (comma separated) reads
 only those; ``records_per_partition`` sets the split, which in paged files follows the pages. Records are numbered through
-the files in the order of their names, in ``_rec``; filters on ``_rec`` narrow the partitions. ``register`` comes first. For
+the files in the order of their names, in ``_rec``; filters on ``_rec`` narrow the partitions. With ``pages`` (true) the number
+of each record's page, through the files likewise, is in ``_page`` (null where a file has none). ``register`` comes first. For
 other file systems ``read_anywhere`` reads whole files through Spark, and ``ranged`` reads byte ranges by a function.
 
-Writing: files per partition in ``layout`` (row, compact, columnar or paged; a columnar file has ``records_per_file`` at most),
-renamed into place when the job commits. An overwrite then removes the record files that were there before, and nothing
+Writing: files per partition in ``layout`` (row, compact, columnar or paged; a columnar file has ``records_per_file`` at most, a
+page ``page_records``, the last one fewer, and one sooner that would take more than 64 MB), renamed into place when the job commits. An overwrite then removes the record files that were there before, and nothing
 else: until then a reader may see both, and no crash loses the old ones. With ``batch`` (a number), files of an earlier run
 of the same batch are replaced, so that a repeated batch leaves its records once.
 
@@ -22,6 +23,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
@@ -36,6 +38,7 @@ SUFFIX = ".rec"
 _PER_PARTITION = 1 << 18
 _PER_FILE = 1 << 20
 _BATCH = 1 << 15
+_PAGE_BYTES = 1 << 26
 
 
 def _local(path: str) -> str:
@@ -53,6 +56,10 @@ def files(path: str) -> list[str]:
     return [path] if os.path.exists(path) else []
 
 
+def _asked(options: dict[str, str], name: str) -> bool:
+    return options.get(name, "false").strip().lower() == "true"
+
+
 def mapped(path: str, streaming: bool = False) -> RecordFile:
     with open(path, "rb") as f:
         if not os.fstat(f.fileno()).st_size:
@@ -60,12 +67,17 @@ def mapped(path: str, streaming: bool = False) -> RecordFile:
         return RecordFile.open(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)), streaming)
 
 
-def _batches(f: RecordFile, start: int, stop: int, schema: pa.Schema, base: int = 0) -> Iterator[pa.RecordBatch]:
+def _batches(f: RecordFile, start: int, stop: int, schema: pa.Schema, base: int = 0, page: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``base``: records of the files before; ``page``: pages of those, if ``_page`` is asked for."""
+    firsts = np.array([p.first for p in f.pages] if page is not None else [], np.int64)
     for k in range(start, stop, _BATCH):
         b = f.read(k, min(stop, k + _BATCH), schema)
         if base and "_rec" in schema.names:
             at = schema.get_field_index("_rec")
             b = b.set_column(at, schema.field(at), pa.array(range(base + k, base + k + len(b)), pa.int64()))
+        if len(firsts) and "_page" in schema.names:
+            at = schema.get_field_index("_page")
+            b = b.set_column(at, schema.field(at), pa.array(page - 1 + np.searchsorted(firsts, np.arange(k, k + len(b)), "right"), pa.int64()))
         yield b
 
 
@@ -88,6 +100,7 @@ class Range(ds.InputPartition):
     start: int
     stop: int
     base: int
+    page: int | None = None
 
 
 class RecordReader(ds.DataSourceReader):
@@ -113,20 +126,22 @@ class RecordReader(ds.DataSourceReader):
 
     def partitions(self) -> list[Range]:
         step, base, out = int(self.options.get("records_per_partition", _PER_PARTITION)), 0, []
+        page = 0 if _asked(self.options, "pages") else None
         for path in files(self.options["path"]):
             f = mapped(path)
             n = f.n
             if self.only is not None:
-                out += [Range(path, i - base, i - base + 1, base) for i in sorted(self.only) if base <= i < base + n and i >= self.low and (self.high is None or i <= self.high)]
+                out += [Range(path, i - base, i - base + 1, base, page) for i in sorted(self.only) if base <= i < base + n and i >= self.low and (self.high is None or i <= self.high)]
             else:
                 low, high = max(0, self.low - base), n if self.high is None else min(n, self.high + 1 - base)
-                out += [Range(path, a, z, base) for a, z in _cuts(f, low, high, step)]
+                out += [Range(path, a, z, base, page) for a, z in _cuts(f, low, high, step)]
             base += n
+            page = None if page is None else page + len(f.pages)
         return out or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.path:
-            yield from _batches(mapped(part.path), part.start, part.stop, to_arrow_schema(self.schema), part.base)
+            yield from _batches(mapped(part.path), part.start, part.stop, to_arrow_schema(self.schema), part.base, part.page)
 
 
 @dataclass
@@ -165,9 +180,8 @@ class RecordWriter(ds.DataSourceArrowWriter):
             w, size = encode.PageWriter(schema), int(self.options.get("page_records", 4096))
             with open(temporary(), "wb") as f:
                 f.write(w.head())
-                for b in every:
-                    for k in range(0, len(b), size):
-                        f.write(w.page(b.slice(k, size)))
+                for b in _pages(every, size):
+                    f.write(w.page(b))
                 f.write(w.tail())
         elif layout == "columnar":
             most = int(self.options.get("records_per_file", _PER_FILE))
@@ -226,6 +240,22 @@ def _full(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Reco
         yield held
 
 
+def _pages(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut anew, ``most`` rows each but the last; fewer where those, from several batches, would take more than
+    ``_PAGE_BYTES``."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        while len(b):
+            take = b.slice(0, most - n)
+            if n == most or held and size + take.nbytes > _PAGE_BYTES:
+                yield pa.concat_batches(held)
+                held, n, size, take = [], 0, 0, b.slice(0, most)
+            held.append(take)
+            n, size, b = n + len(take), size + take.nbytes, b.slice(len(take))
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Arrived(ds.InputPartition):
     path: str
@@ -283,6 +313,10 @@ class RecordSource(ds.DataSource):
         schema = wider_schema([mapped(name, streaming=True).arrow_schema() for name in found])
         if wanted := [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]:
             schema = pa.schema([schema.field(c) for c in ["_rec", *wanted] if c in schema.names])
+        if _asked(self.options, "pages"):
+            if "_page" in schema.names:
+                raise ValueError("the files have a key _page; read without the option pages")
+            schema = schema.insert(1, pa.field("_page", pa.int64()))
         return from_arrow_schema(schema)
 
     def reader(self, schema: StructType) -> RecordReader:
