@@ -67,7 +67,7 @@ def test_page_numbers(spark, tmp_path):
     assert spark.read.format("records").load(str(tmp_path)).columns == ["_rec", "id"]
 
 
-@pytest.mark.parametrize("name", ["s11_page_partitions"])
+@pytest.mark.parametrize("name", ["s11_page_partitions", "s12_describe"])
 def test_query_beyond_a_batch(spark, events, name):
     df = source_queries.QUERIES[name](spark, events)
     con = duckdb.connect()
